@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from driftgrid.catalog.registry import integer, number, query
 from driftgrid.functions import formats, text, timestamps
+from driftgrid.functions.spatial import trunc_int
 from driftgrid.operators import joins, knn, query_state
 from driftgrid.operators.aggregates import latest_per_key
+from driftgrid.session import cut_lineage
 from driftgrid.sources import decoders, tables
 
 
@@ -351,12 +353,10 @@ def format_change(spark, sf_dir):
 
 def daily_changes(spark, sf_dir):
     """Changes of the nearest-object lists from day to day, each day on its own updates."""
-    from driftgrid.functions.spatial import trunc_int
-
     daily = latest_per_key(
         tables.points(spark, sf_dir).withColumn("d", F.to_date("ts")), ["d", "oid"], "ts", "pid"
     )
     located = daily.select("d", "oid", trunc_int(F.col("x")).alias("x"), trunc_int(F.col("y")).alias("y"))
-    ranked = knn.knn_join(located, tables.knn_queries(spark, sf_dir), 8.0, by=["d"])
+    ranked = cut_lineage(knn.knn_join(located, tables.knn_queries(spark, sf_dir), 4.0, by=["d"]))
     before = ranked.withColumn("d", F.date_add("d", 1))
     return knn.knn_changes(before, ranked, by=["d"])

@@ -187,7 +187,7 @@ _RANKED = """with r as (
     f"{_RANKED} select qid, oid, round(distance, 9) distance, cast(rank as int) rank from r where rank <= k",
 )
 def knn_join(spark, sf_dir):
-    ranked = knn.knn_join(_latest_int(spark, sf_dir), tables.knn_queries(spark, sf_dir), 8.0)
+    ranked = knn.knn_join(_latest_int(spark, sf_dir), tables.knn_queries(spark, sf_dir), 4.0)
     return ranked.withColumn("distance", F.round("distance", 9))
 
 
@@ -197,7 +197,7 @@ def knn_join(spark, sf_dir):
 )
 def knn_current(spark, sf_dir):
     return knn.knn_current(
-        knn.knn_join(_latest_int(spark, sf_dir), tables.knn_queries(spark, sf_dir), 8.0)
+        knn.knn_join(_latest_int(spark, sf_dir), tables.knn_queries(spark, sf_dir), 4.0)
     )
 
 
@@ -207,7 +207,7 @@ def knn_current(spark, sf_dir):
     from r where rank <= k group by qid""",
 )
 def knn_kth_distance(spark, sf_dir):
-    ranked = knn.knn_join(_latest_int(spark, sf_dir), tables.knn_queries(spark, sf_dir), 8.0)
+    ranked = knn.knn_join(_latest_int(spark, sf_dir), tables.knn_queries(spark, sf_dir), 4.0)
     return knn.kth_distance(ranked).withColumn("kth_distance", F.round("kth_distance", 9))
 
 

@@ -55,7 +55,7 @@ def distinct_words(words: Column) -> Column:
 
 def shared_words(w1: Column, w2: Column) -> Column:
     """Distinct words found in both arrays (case-sensitive), in word order."""
-    return F.array_sort(F.array_intersect(w1, w2))
+    return F.sort_array(F.array_intersect(w1, w2))
 
 
 def any_shared_word(w1: Column, w2: Column) -> Column:

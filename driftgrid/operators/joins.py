@@ -179,13 +179,20 @@ def _pairs(
     if require_keywords:
         met = met.where(F.size("shared") > 0)
 
-    def way(a: str, b: str):
-        return F.struct(
-            *(F.col(f"{c}{a}").alias(f"{c}1") for c in names),
-            *(F.col(f"{c}{b}").alias(f"{c}2") for c in names),
-        )
+    window = (
+        []
+        if distinct_pairs
+        else [F.col("_slot.start").alias("window_start"), F.col("_slot.end").alias("window_end")]
+    )
+    turned = met.withColumn("_turned", F.explode(F.array(F.lit(False), F.lit(True))))
 
-    window = [] if distinct_pairs else [
-        F.col("_slot.start").alias("window_start"), F.col("_slot.end").alias("window_end")
-    ]
-    return met.select(*window, "distance", "shared", F.inline(F.array(way("1", "2"), way("2", "1"))))
+    def side(c: str, a: str, b: str):
+        return F.when(F.col("_turned"), F.col(f"{c}{b}")).otherwise(F.col(f"{c}{a}"))
+
+    return turned.select(
+        *window,
+        "distance",
+        "shared",
+        *(side(c, "1", "2").alias(f"{c}1") for c in names),
+        *(side(c, "2", "1").alias(f"{c}2") for c in names),
+    )

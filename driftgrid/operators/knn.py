@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from driftgrid.functions import spatial
 from driftgrid.operators.aggregates import latest_per_key
 from driftgrid.plans import sizing, skew
-from driftgrid.plans.grid import FAN, grid_join
+from driftgrid.plans.grid import grid_join
 from driftgrid.session import cut_lineage
 
-# Levels of the density histogram; the last takes in all objects.
-_LEVELS = 7
+# Levels of the density histogram, cells doubling; the last takes in all objects.
+_LEVELS = 14
 _EVERYWHERE = 99
 
 
@@ -40,7 +40,7 @@ def _search_boxes(
         F.min("y").alias("_y0"), F.max("y").alias("_y1"),
     )
     levels = F.array(*(F.lit(v) for v in [*range(_LEVELS), _EVERYWHERE]))
-    fan = F.pow(F.lit(float(FAN)), F.col("_lv"))
+    fan = F.pow(F.lit(2.0), F.col("_lv"))
 
     def at_level(c):
         return F.when(F.col("_lv") == _EVERYWHERE, 0).otherwise(F.floor(c / fan))

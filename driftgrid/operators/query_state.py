@@ -56,7 +56,7 @@ def query_polygon(corners: DataFrame, limit: int = LIST_LIMIT) -> DataFrame:
     return (
         corners.withColumn("part", F.floor(F.col("pos") / limit).cast("int"))
         .groupBy("qid", "part")
-        .agg(F.array_sort(F.collect_list(F.struct("pos", "x", "y"))).alias("_corners"))
+        .agg(F.sort_array(F.collect_list(F.struct("pos", "x", "y"))).alias("_corners"))
         .select(
             "qid",
             "part",
@@ -85,5 +85,5 @@ def inside_objects(
     )
     item = F.col(columns[0]) if len(columns) == 1 else F.struct(*columns)
     return dealt.groupBy("qid", "part", "n_inside").agg(
-        F.array_sort(F.collect_list(item)).alias("objects")
+        F.sort_array(F.collect_list(item)).alias("objects")
     )

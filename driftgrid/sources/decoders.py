@@ -25,16 +25,29 @@ def _at(arr: Column, i: int) -> Column:
     return F.get(arr, F.lit(i))
 
 
+def _once(df: DataFrame, *columns: Column) -> DataFrame:
+    """``select`` whose columns are worked out once per row.
+
+    A filter on the result of a plain ``select`` is moved below it and works out the
+    columns it needs a second time; parsing text is too dear for that.
+    """
+    return df.select(F.inline(F.array(F.struct(*columns))))
+
+
+def _fields(df: DataFrame, sep: str) -> DataFrame:
+    return _once(df, fields(F.col("value"), sep).alias("f"))
+
+
 def _complete(df: DataFrame, *names: str) -> DataFrame:
     return df.dropna(subset=list(names))
 
 
 def decode_points(df: DataFrame) -> DataFrame:
     """``id date time lat lng word…`` → id, ts, x (lat), y (lng)."""
-    f = fields(F.col("value"))
-    kept = df.select(f.alias("f")).where(has_fields(F.col("f"), 6) & is_all_digits(_at(F.col("f"), 0)))
     f = F.col("f")
-    out = kept.select(
+    kept = _fields(df, " ").where(has_fields(f, 6) & is_all_digits(_at(f, 0)))
+    out = _once(
+        kept,
         to_long(_at(f, 0)).alias("id"),
         parse_ts(F.concat_ws(" ", _at(f, 1), _at(f, 2))).alias("ts"),
         prefix_double(_at(f, 3)).alias("x"),
@@ -46,8 +59,9 @@ def decode_points(df: DataFrame) -> DataFrame:
 def decode_tweet_words(df: DataFrame) -> DataFrame:
     """``id date time lat lng word…`` → id, x, y, words, n_fields, n_words, t."""
     f = F.col("f")
-    typed = df.select(fields(F.col("value")).alias("f")).select(
-        "f",
+    typed = _once(
+        _fields(df, " "),
+        f.alias("f"),
         to_double(_at(f, 0)).alias("id"),
         to_double(_at(f, 3)).alias("x"),
         to_double(_at(f, 4)).alias("y"),
@@ -67,34 +81,37 @@ def decode_tweet_words(df: DataFrame) -> DataFrame:
 
 def decode_tweet_csv(df: DataFrame) -> DataFrame:
     """``id,createdAt,lat,lng,text``; the text stops at the next comma."""
-    f = fields(F.col("value"), ",")
-    out = df.select(f.alias("f")).select(
-        to_long(_at(F.col("f"), 0)).alias("id"),
-        _at(F.col("f"), 1).alias("created_at"),
-        to_double(_at(F.col("f"), 2)).alias("lat"),
-        to_double(_at(F.col("f"), 3)).alias("lng"),
-        _at(F.col("f"), 4).alias("text"),
+    f = F.col("f")
+    out = _once(
+        _fields(df, ","),
+        to_long(_at(f, 0)).alias("id"),
+        _at(f, 1).alias("created_at"),
+        to_double(_at(f, 2)).alias("lat"),
+        to_double(_at(f, 3)).alias("lng"),
+        _at(f, 4).alias("text"),
     )
     return _complete(out, "id", "lat", "lng", "text")
 
 
 def decode_tweet_record(df: DataFrame) -> DataFrame:
     """``id,createdAt,lat,lng,userId,text``; the text keeps its commas."""
-    f = F.split(F.col("value"), ",", 6)
-    out = df.select(f.alias("f")).select(
-        to_long(_at(F.col("f"), 0)).alias("id"),
-        _at(F.col("f"), 1).alias("created_at"),
-        to_double(_at(F.col("f"), 2)).alias("lat"),
-        to_double(_at(F.col("f"), 3)).alias("lng"),
-        to_long(_at(F.col("f"), 4)).alias("user_id"),
-        _at(F.col("f"), 5).alias("text"),
+    f = F.col("f")
+    out = _once(
+        _once(df, F.split(F.col("value"), ",", 6).alias("f")),
+        to_long(_at(f, 0)).alias("id"),
+        _at(f, 1).alias("created_at"),
+        to_double(_at(f, 2)).alias("lat"),
+        to_double(_at(f, 3)).alias("lng"),
+        to_long(_at(f, 4)).alias("user_id"),
+        _at(f, 5).alias("text"),
     )
     return _complete(out, "id", "lat", "lng", "user_id", "text")
 
 
 def _trip_fields(df: DataFrame) -> DataFrame:
     f = F.col("f")
-    return df.select(fields(F.col("value"), ",").alias("f")).select(
+    return _once(
+        _fields(df, ","),
         to_long(_at(f, 0)).alias("oid"),
         _at(f, 1).alias("tripid"),
         parse_ts(_at(f, 2)).alias("tstart"),
@@ -142,9 +159,7 @@ def decode_range_query(df: DataFrame, axes: str = "xy") -> DataFrame:
 
     f = F.col("f")
     corners = F.transform(F.slice(f, 2, F.greatest(F.size(f) - 1, F.lit(0))), corner)
-    out = df.select(fields(F.col("value"), ",").alias("f")).select(
-        _at(f, 0).alias("qid"), corners.alias("points")
-    )
+    out = _once(_fields(df, ","), _at(f, 0).alias("qid"), corners.alias("points"))
     return out.where(~F.exists("points", lambda p: p["x"].isNull() | p["y"].isNull()))
 
 
@@ -184,30 +199,28 @@ def decode_rect(c: Column) -> Column:
 
 def decode_knn_query(df: DataFrame) -> DataFrame:
     """``id,x,y,k``, all integers."""
-    f = fields(F.col("value"), ",")
-    out = df.select(f.alias("f")).select(
-        *(to_int(_at(F.col("f"), i)).alias(n) for i, n in enumerate(("qid", "fx", "fy", "k")))
-    )
+    names = ("qid", "fx", "fy", "k")
+    typed = (to_int(_at(F.col("f"), i)).alias(n) for i, n in enumerate(names))
+    out = _once(_fields(df, ","), *typed)
     return _complete(out, "qid", "fx", "fy", "k")
 
 
 def decode_query_point(df: DataFrame) -> DataFrame:
     """``qid,x,y``: one corner of a query."""
-    f = fields(F.col("value"), ",")
-    out = df.select(f.alias("f")).select(
-        to_long(_at(F.col("f"), 0)).alias("qid"),
-        to_double(_at(F.col("f"), 1)).alias("x"),
-        to_double(_at(F.col("f"), 2)).alias("y"),
+    f = F.col("f")
+    out = _once(
+        _fields(df, ","),
+        to_long(_at(f, 0)).alias("qid"),
+        to_double(_at(f, 1)).alias("x"),
+        to_double(_at(f, 2)).alias("y"),
     )
     return _complete(out, "qid", "x", "y")
 
 
 def decode_entity(df: DataFrame) -> DataFrame:
     """Tab-separated entity line → eid (first field) and uri (third field)."""
-    f = fields(F.col("value"), "\t")
-    out = df.select(f.alias("f")).select(
-        _at(F.col("f"), 0).alias("eid"), _at(F.col("f"), 2).alias("uri")
-    )
+    f = F.col("f")
+    out = _once(_fields(df, "\t"), _at(f, 0).alias("eid"), _at(f, 2).alias("uri"))
     return _complete(out, "uri")
 
 
