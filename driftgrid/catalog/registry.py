@@ -94,12 +94,16 @@ def integer(text: str) -> str:
     return f"case when regexp_matches({text}, '^[+-]?[0-9]+$') then try_cast({text} as bigint) end"
 
 
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    """Register a query under ``name``."""
+def query(
+    name: str, sql: str | None = None, same_as: str | None = None
+) -> Callable[[Query], Query]:
+    """Register a query under ``name``, with its SQL or the query whose rows it gives."""
 
     def add(fn: Query) -> Query:
         QUERIES[name] = fn
-        if sql is not None:
+        if same_as is not None:
+            ORACLES[name] = ORACLES[same_as]
+        elif sql is not None:
             ORACLES[name] = with_views(sql.strip())
         return fn
 

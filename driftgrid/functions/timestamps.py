@@ -41,6 +41,20 @@ def epoch_seconds(df: DataFrame, name: str) -> Column:
     return F.unix_seconds(c)
 
 
+def as_instant(ts: Column) -> Column:
+    """A timestamp without zone as the instant it names in UTC, for watermarks."""
+    days = F.datediff(F.to_date(ts), F.to_date(F.lit("1970-01-01"))).cast("bigint")
+    whole = days * 86400 + F.hour(ts) * 3600 + F.minute(ts) * 60
+    micros = (F.date_part(F.lit("SECOND"), ts) * 1_000_000).cast("bigint")
+    return F.timestamp_micros(whole * 1_000_000 + micros)
+
+
+def as_calendar(instant: Column) -> Column:
+    """The UTC calendar time, without zone, of an instant; undoes ``as_instant``."""
+    secs = (F.unix_micros(instant) / F.lit(1_000_000).cast("decimal(10,0)")).cast("decimal(18,6)")
+    return F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(secs=secs)
+
+
 def seconds(n) -> Column:
     """Day-time interval of ``n`` seconds (a number or a column)."""
     n = n if isinstance(n, Column) else F.lit(float(n))

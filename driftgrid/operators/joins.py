@@ -12,7 +12,7 @@ from driftgrid.functions.text import shared_words
 from driftgrid.functions.timestamps import epoch_seconds, seconds
 from driftgrid.operators.aggregates import latest_per_key
 from driftgrid.plans import ordered, skew
-from driftgrid.plans.grid import grid_join
+from driftgrid.plans.grid import STREAM_LEVELS, grid_join
 
 BOUNDS = ("x_min", "y_min", "x_max", "y_max")
 
@@ -34,8 +34,14 @@ def range_join_ttl(
     live = queries.select(
         "qid", *BOUNDS, F.col("ts").alias("q_ts"), (F.col("ts") + seconds(ttl)).alias("_end")
     )
-    joined = grid_join(points, live, cell, valid=("q_ts", "_end"), bucket=ttl)
-    return joined.drop("_end", *BOUNDS)
+    # A lifetime is one time bucket long, so it always lies on the lowest time level.
+    levels = [(level, 0) for level in range(STREAM_LEVELS)]
+    joined = grid_join(
+        points, live, cell, valid=("q_ts", "_end"), bucket=ttl, levels=levels
+    ).drop("_end", *BOUNDS)
+    # Said once more on the watermarked columns: a stream may then forget old points.
+    life = F.expr(f"interval '{ttl}' second")
+    return joined.where(F.col("ts") < F.col("q_ts") + life)
 
 
 def query_validity(versions: DataFrame, chunk_seconds: float = 86400.0) -> DataFrame:

@@ -46,6 +46,7 @@ def grid_join(
     bucket: float | None = None,
     ts: str = "ts",
     salts: int = 8,
+    levels: Sequence[tuple] | None = None,
 ) -> DataFrame:
     """Join points (x, y) to the closed boxes (x_min, y_min, x_max, y_max) holding them.
 
@@ -54,7 +55,8 @@ def grid_join(
     end; ``bucket`` is the finest time cell in seconds.
 
     Static boxes are measured first: if they are small they are broadcast, otherwise
-    both sides are shuffled by cell with crowded cells split.
+    both sides are shuffled by cell with crowded cells split.  Streaming boxes go to the
+    ``levels`` given, or to the first few, with ``salts`` parts for every cell.
     """
     measured = not boxes.isStreaming
     top = TOP_LEVEL if measured else STREAM_LEVELS - 1
@@ -92,7 +94,7 @@ def grid_join(
         size = sizing.measure(boxes, n_cells, levels=F.collect_set(kinds))
         n_bytes = size["n_bytes"]
         levels = sorted(tuple(r) for r in size["levels"])
-    else:
+    elif levels is None:
         tlevels = [(t,) for t in range(-1, STREAM_LEVELS)] if valid else [()]
         levels = [(lv, *t) for lv in range(STREAM_LEVELS) for t in tlevels]
 
