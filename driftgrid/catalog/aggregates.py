@@ -14,7 +14,7 @@ RECT = "60,70,20,10"
 HOUR = 3600.0
 INSIDE = "x between 20 and 60 and y between 10 and 70"
 WINDOWS = f"""
-    select time_bucket(interval '1 hour', ts) window_start, count(*) n, max(x) mx, min(x) mn, sum(x) s
+    select time_bucket(interval '1 hour', ts) window_start, count(*) n, max(x) mx, min(x) mn, sum(cast(x as decimal(12,2))) s
     from points where {INSIDE} group by 1"""
 
 
@@ -33,40 +33,44 @@ def agg_landmark_count_batch(spark, sf_dir):
     return agg.agg_landmark(tables.points(spark, sf_dir), "count", decoders.parse_rect(RECT), 0)
 
 
-def _rounded(df):
-    """Sums of doubles depend on the order of their terms in the last digits."""
-    return df.withColumns({c: F.round(c, 6) for c, t in df.dtypes if t == "double"})
+def measured(points):
+    """Points with x once more as a decimal, so that sums do not depend on their order."""
+    return points.withColumn("m", F.col("x").cast("decimal(12,2)"))
+
+
+def doubles(df):
+    return df.withColumns({c: F.col(c).cast("double") for c, t in df.dtypes if "decimal" in t})
 
 
 def _window_query(fn):
     def run(spark, sf_dir):
-        points = tables.points(spark, sf_dir)
-        return _rounded(agg.agg_window(points, fn, decoders.parse_rect(RECT), HOUR))
+        points = measured(tables.points(spark, sf_dir))
+        return doubles(agg.agg_window(points, fn, decoders.parse_rect(RECT), HOUR, value="m"))
 
     return run
 
 
 def _landmark_query(fn):
     def run(spark, sf_dir):
-        points = tables.points(spark, sf_dir)
-        return _rounded(agg.agg_landmark(points, fn, decoders.parse_rect(RECT), HOUR))
+        points = measured(tables.points(spark, sf_dir))
+        return doubles(agg.agg_landmark(points, fn, decoders.parse_rect(RECT), HOUR, value="m"))
 
     return run
 
 
 _PER_WINDOW = {
     "count": "n n_points",
-    "max": "round(mx, 6) max_value",
-    "min": "round(mn, 6) min_value",
-    "sum": "round(s, 6) sum_value",
-    "avg": "round(s / n, 6) avg_value",
+    "max": "mx max_value",
+    "min": "mn min_value",
+    "sum": "cast(s as double) sum_value",
+    "avg": "cast(s as double) / n avg_value",
 }
 _RUNNING = {
     "count": "cast(sum(n) over o as bigint) n_points",
-    "max": "round(max(mx) over o, 6) max_value",
-    "min": "round(min(mn) over o, 6) min_value",
-    "sum": "round(sum(s) over o, 6) sum_value",
-    "avg": "round(sum(s) over o / sum(n) over o, 6) avg_value",
+    "max": "max(mx) over o max_value",
+    "min": "min(mn) over o min_value",
+    "sum": "cast(sum(s) over o as double) sum_value",
+    "avg": "cast(sum(s) over o as double) / sum(n) over o avg_value",
 }
 for _fn in agg.FUNCTIONS:
     query(
@@ -84,18 +88,19 @@ for _fn in agg.FUNCTIONS:
 
 @query(
     "agg_window_filled",
-    """with w as (select time_bucket(interval '10 minutes', ts) window_start, count(*) n, sum(x) s
+    """with w as (select time_bucket(interval '10 minutes', ts) window_start, count(*) n,
+                      sum(cast(x as decimal(12,2))) s
                from points where x between 20 and 60 and y between 10 and 70 group by 1),
     c as (select unnest(generate_series(min(window_start), max(window_start),
                                         interval '10 minutes')) window_start from w)
     select c.window_start, c.window_start + interval '10 minutes' window_end,
-           coalesce(w.n, 0) n_points, coalesce(round(w.s / w.n, 6), 0.0) avg_value
+           coalesce(w.n, 0) n_points, coalesce(cast(w.s as double) / w.n, 0.0) avg_value
     from c left join w using (window_start)""",
 )
 def agg_window_filled(spark, sf_dir):
-    points = tables.points(spark, sf_dir)
+    points = measured(tables.points(spark, sf_dir))
     rect = decoders.parse_rect(RECT)
-    return _rounded(agg.agg_window(points, ["count", "avg"], rect, 600.0, fill_empty=True))
+    return agg.agg_window(points, ["count", "avg"], rect, 600.0, value="m", fill_empty=True)
 
 
 @query(

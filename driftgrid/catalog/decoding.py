@@ -257,7 +257,7 @@ def format_pair_json(spark, sf_dir):
     """with h as (select distinct b.qid, l.oid, l.x, l.y from latest l join boxes b
                on l.x between b.x_min and b.x_max and l.y between b.y_min and b.y_max)
     select h.qid, concat('{"QueryID":', h.qid, ' }') short, count(*) n_inside,
-           min(h.oid) first_oid, max(h.oid) last_oid, round(sum(h.x), 6) sum_x, cast(2 as int) n_corners
+           min(h.oid) first_oid, max(h.oid) last_oid, cast(sum(cast(h.x as decimal(12,2))) as double) sum_x, cast(2 as int) n_corners
     from h group by all""",
 )
 def format_query(spark, sf_dir):
@@ -287,7 +287,7 @@ def format_query(spark, sf_dir):
             F.count("*").alias("n_inside"),
             F.min("o.oid").alias("first_oid"),
             F.max("o.oid").alias("last_oid"),
-            F.round(F.sum("o.x"), 6).alias("sum_x"),
+            F.sum(F.col("o.x").cast("decimal(12,2)")).cast("double").alias("sum_x"),
         )
     )
 

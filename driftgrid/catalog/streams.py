@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from driftgrid.catalog.aggregates import HOUR, RECT, WINDOWS, _rounded
+from driftgrid.catalog.aggregates import HOUR, RECT, WINDOWS, doubles, measured
 from driftgrid.catalog.joining import CELL, _listed
 from driftgrid.catalog.registry import query
 from driftgrid.functions import spatial, text
@@ -32,28 +32,28 @@ def _points(session, sf_dir, timed=True):
 @query(
     "stream_agg_window",
     f"""with w as ({WINDOWS}) select window_start, window_start + interval '1 hour' window_end,
-    n n_points, round(mx, 6) max_value, round(mn, 6) min_value, round(s, 6) sum_value,
-    round(s / n, 6) avg_value from w""",
+    n n_points, mx max_value, mn min_value, cast(s as double) sum_value,
+    cast(s as double) / n avg_value from w""",
 )
 def stream_agg_window(spark, sf_dir):
     session = run.replay_session(spark)
-    points = _points(session, sf_dir)
-    windows = agg.agg_window(points, agg.FUNCTIONS, decoders.parse_rect(RECT), HOUR)
+    points = measured(_points(session, sf_dir))
+    windows = agg.agg_window(points, agg.FUNCTIONS, decoders.parse_rect(RECT), HOUR, value="m")
     out = run.collected(spark, windows, "update", ["window_start", "window_end"])
-    return _rounded(run.calendar_time(out))
+    return doubles(run.calendar_time(out))
 
 
 @query(
     "stream_landmark",
-    f"""with w as ({WINDOWS}) select cast(sum(n) as bigint) n_points, round(max(mx), 6) max_value,
-    round(min(mn), 6) min_value, round(sum(s), 6) sum_value, round(sum(s) / sum(n), 6) avg_value
-    from w""",
+    f"""with w as ({WINDOWS}) select cast(sum(n) as bigint) n_points, max(mx) max_value,
+    min(mn) min_value, cast(sum(s) as double) sum_value,
+    cast(sum(s) as double) / sum(n) avg_value from w""",
 )
 def stream_landmark(spark, sf_dir):
     session = run.replay_session(spark)
-    points = _points(session, sf_dir)
-    totals = agg.agg_batch(points, agg.FUNCTIONS, decoders.parse_rect(RECT))
-    return _rounded(run.collected(spark, totals, "complete"))
+    points = measured(_points(session, sf_dir))
+    totals = agg.agg_batch(points, agg.FUNCTIONS, decoders.parse_rect(RECT), "m")
+    return doubles(run.collected(spark, totals, "complete"))
 
 
 @query("stream_word_count", same_as="word_count_window")

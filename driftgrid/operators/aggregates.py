@@ -1,6 +1,7 @@
 """Aggregates over the points of a rectangle: per batch, per window, since a landmark.
 
-Points carry x, y and, for windows, ``ts``.  All operators work on static frames;
+Points carry x, y and, for windows, ``ts``.  The measure (``value``) is x unless told
+otherwise; sums of a decimal measure are exact, those of doubles are not.  All operators work on static frames;
 ``agg_batch`` and ``agg_window`` also on streams (see ``driftgrid.streaming``).
 """
 
@@ -35,7 +36,13 @@ def _names(fn: str | Sequence[str]) -> list[str]:
 
 def aggregate_columns(fn: str | Sequence[str], value: str = "x") -> list[Column]:
     """The named aggregates of a column as n_points, max_value, min_value, …"""
-    make = {"count": lambda c: F.count("*"), "max": F.max, "min": F.min, "sum": F.sum, "avg": F.avg}
+    make = {
+        "count": lambda c: F.count("*"),
+        "max": F.max,
+        "min": F.min,
+        "sum": F.sum,
+        "avg": lambda c: F.sum(c).cast("double") / F.nullif(F.count("*"), F.lit(0)),
+    }
     return [make[f](F.col(value)).alias(_NAMES[f]) for f in _names(fn)]
 
 
@@ -142,7 +149,7 @@ def agg_landmark(
         windows, "window_start", size, {_NAMES[p]: folds[p] for p in parts}
     )
     if "avg" in fns:
-        totals = totals.withColumn("avg_value", F.col("sum_value") / F.col("n_points"))
+        totals = totals.withColumn("avg_value", F.col("sum_value").cast("double") / F.col("n_points"))
     return totals.select("window_start", "window_end", *(_NAMES[f] for f in fns))
 
 
