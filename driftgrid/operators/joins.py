@@ -13,6 +13,7 @@ from driftgrid.functions.timestamps import epoch_seconds, seconds
 from driftgrid.operators.aggregates import latest_per_key
 from driftgrid.plans import ordered, skew
 from driftgrid.plans.grid import STREAM_LEVELS, grid_join
+from driftgrid.session import cut_lineage
 
 BOUNDS = ("x_min", "y_min", "x_max", "y_max")
 
@@ -64,7 +65,7 @@ def moving_range_join(
     A point meets, per query id, the version that was the latest at its own ``ts``.
     ``bucket`` (seconds) is best near the usual time between two versions.
     """
-    live = query_validity(versions)
+    live = cut_lineage(query_validity(versions), "validity")
     joined = grid_join(points, live, cell, valid=("valid_from", "valid_to"), bucket=bucket)
     return joined.drop("valid_to", *BOUNDS)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from driftgrid.operators.aggregates import latest_per_key
 from driftgrid.plans import skew
+from driftgrid.session import cut_lineage
 
 # Longest list held in one row; longer ones continue in further rows (parts).
 LIST_LIMIT = 10_000
@@ -76,7 +77,7 @@ def inside_objects(
     than about ``limit`` objects gets several rows (parts), its objects dealt out by
     their hash, so that no row or task holds an unbounded list.
     """
-    pairs = matches.select("qid", *columns).distinct()
+    pairs = cut_lineage(matches.select("qid", *columns).distinct(), "pairs")
     parts = pairs.groupBy("qid").agg(
         F.count("*").alias("n_inside"), F.ceil(F.count("*") / limit).cast("int").alias("parts")
     )

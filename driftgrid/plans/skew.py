@@ -2,24 +2,48 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from driftgrid.plans import sizing
 
-# A key is hot when it holds more than this share of all rows.  There are then at
-# most 1/share such keys, which bounds what hot_keys() returns and broadcasts.
-HOT_SHARE = 1 / 1000
+# A key is hot when it holds more than this share of all rows and more rows than a
+# task should get.  At most 1/share keys can be, however large the data.
+HOT_SHARE = 1 / 10_000
+TASK_ROWS = 1_000_000
 
+_HASH = "_key_hash"
 
-def hot_keys(df: DataFrame, keys: Sequence[str], share: float = HOT_SHARE) -> DataFrame:
-    """Keys above ``share`` of the rows, and how many parts to split each into."""
-    counts = df.groupBy(*keys).agg(F.count("*").alias("_n"))
-    heavy = counts.agg((F.sum("_n") * share).alias("h")).scalar()
-    parts = F.ceil(F.col("_n") / heavy).cast("int")
-    return counts.where(F.col("_n") > heavy).select(*keys, parts.alias("_parts"))
+
+def _hash(keys: Sequence[str]) -> Column:
+    return F.xxhash64(*(F.col(k) for k in keys))
+
+
+def hot_keys(
+    df: DataFrame, keys: Sequence[str], share: float = HOT_SHARE, task_rows: int = TASK_ROWS
+) -> list[tuple[int, int]]:
+    """Hashes of the hot keys of a frame, and how many parts to split each into.
+
+    One pass over the key columns: rows are counted per key hash on the executors, and
+    only the counts of the largest keys, at most 1/share, reach the driver.  Two keys of
+    the same hash are split alike, which does no harm.
+    """
+    all_rows = Observation()
+    counts = df.groupBy(_hash(keys).alias(_HASH)).agg(F.count("*").alias("n"))
+    largest = (
+        counts.observe(all_rows, F.sum("n").alias("n"))
+        .where(F.col("n") > task_rows)
+        .orderBy(F.desc("n"))
+        .limit(math.ceil(1 / share))
+        .collect()
+    )
+    if not largest:
+        return []
+    part = max(task_rows, share * all_rows.get["n"])
+    return [(r[_HASH], math.ceil(r["n"] / part)) for r in largest if r["n"] > part]
 
 
 def salted_join(
@@ -28,24 +52,32 @@ def salted_join(
     keys: Sequence[str],
     how: str = "inner",
     share: float = HOT_SHARE,
+    task_rows: int | None = None,
 ) -> DataFrame:
     """Shuffle join on ``keys`` with the hot keys of ``big`` split over many tasks.
 
-    Rows of a hot key go to a part chosen at random-like by row content; the rows of
-    ``small`` with that key are repeated once per part, so every pair still meets
+    The rows of a hot key are dealt to its parts by a hash of their content, and the rows
+    of ``small`` with that key are repeated once per part, so every pair still meets
     exactly once.  ``how`` may be inner, left, left_semi or left_anti.
     """
-    hot = hot_keys(big, keys, share)
+    hot = hot_keys(big, keys, share, TASK_ROWS if task_rows is None else task_rows)
+    if not hot:
+        return big.join(small, list(keys), how)
+    parts = F.broadcast(
+        big.sparkSession.createDataFrame(hot, f"{_HASH} bigint, _parts int")
+    )
     spread = F.xxhash64(*(F.col(c) for c in big.columns))
     big = (
-        big.join(F.broadcast(hot), list(keys), "left")
+        big.withColumn(_HASH, _hash(keys))
+        .join(parts, _HASH, "left")
         .withColumn("_salt", F.coalesce(F.pmod(spread, F.col("_parts")).cast("int"), F.lit(0)))
-        .drop("_parts")
+        .drop("_parts", _HASH)
     )
     small = (
-        small.join(F.broadcast(hot), list(keys), "left")
+        small.withColumn(_HASH, _hash(keys))
+        .join(parts, _HASH, "left")
         .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)))
-        .drop("_parts")
+        .drop("_parts", _HASH)
     )
     return big.join(small, [*keys, "_salt"], how).drop("_salt")
 

@@ -1,0 +1,344 @@
+"""Grid joins against plain nested loops: large boxes, crowded cells, both join ways."""
+
+import datetime as dt
+import random
+
+import brute
+import pytest
+from pyspark.sql import functions as F
+
+from driftgrid.operators import joins, knn, query_state
+from driftgrid.plans import grid, skew
+
+T0 = dt.datetime(2024, 1, 1)
+
+
+def frame(spark, rows, schema):
+    return spark.createDataFrame([tuple(r[c.split()[0]] for c in schema.split(", ")) for r in rows], schema)
+
+
+POINT = "pid bigint, oid bigint, ts timestamp_ntz, x double, y double"
+BOX = "qid bigint, x_min double, y_min double, x_max double, y_max double"
+VERSION = BOX + ", ts timestamp_ntz"
+
+
+def some_points(n, seed, crowd=0.34):
+    """A third of all points in one spot, the others all over, below zero too."""
+    rnd = random.Random(seed)
+    out = []
+    for i in range(n):
+        if rnd.random() < crowd:
+            x, y = 5.0 + rnd.random() * 0.5, 5.0
+        else:
+            x, y = rnd.uniform(-500, 500), rnd.uniform(-500, 500)
+        out.append(
+            dict(pid=i, oid=i % 17, ts=T0 + dt.timedelta(minutes=rnd.randrange(3000)), x=round(x, 1), y=round(y, 1))
+        )
+    return out
+
+
+def some_boxes(n, seed):
+    """Boxes from a point to nearly everything, some inverted."""
+    rnd = random.Random(seed)
+    out = []
+    for i in range(n):
+        size = rnd.choice([0, 0.5, 3, 20, 200, 2000])
+        x, y = rnd.uniform(-500, 500), rnd.uniform(-500, 500)
+        if i % 3 == 0:
+            x, y = 5.0 - size / 2, 5.0 - size / 2
+        w = -1 if i % 10 == 9 else size
+        out.append(
+            dict(qid=i, x_min=x, y_min=y, x_max=x + w, y_max=y + size, ts=T0 + dt.timedelta(minutes=rnd.randrange(3000)))
+        )
+    return out
+
+
+@pytest.fixture(params=["broadcast", "shuffled", "salted"])
+def way(request, spark, monkeypatch):
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    if request.param != "broadcast":
+        spark.conf.set(key, "-1")
+    if request.param == "salted":
+        monkeypatch.setattr(skew, "TASK_ROWS", 20)
+    yield request.param
+    spark.conf.set(key, before)
+
+
+@pytest.mark.parametrize("cell", [1.0, 30.0])
+def test_range_join(spark, way, cell):
+    points, boxes = some_points(600, 1), some_boxes(60, 2)
+    got = joins.range_join(frame(spark, points, POINT), frame(spark, boxes, BOX), cell)
+    rows = [(r.qid, r.pid) for r in got.collect()]
+    assert len(rows) == len(set(rows))
+    assert set(rows) == brute.range_join(points, boxes)
+
+
+def test_points_on_the_edge_are_inside(spark):
+    points = [dict(pid=i, oid=i, ts=T0, x=x, y=y) for i, (x, y) in enumerate([(0, 0), (2, 3), (2, 0), (2.01, 0)])]
+    for p in points:
+        p["x"], p["y"] = float(p["x"]), float(p["y"])
+    boxes = [dict(qid=7, x_min=0.0, y_min=0.0, x_max=2.0, y_max=3.0)]
+    got = joins.range_join(frame(spark, points, POINT), frame(spark, boxes, BOX), 1.0)
+    assert {r.pid for r in got.collect()} == {0, 1, 2}
+
+
+def test_no_boxes_no_rows(spark):
+    points = frame(spark, some_points(10, 1), POINT)
+    assert joins.range_join(points, spark.createDataFrame([], BOX), 1.0).count() == 0
+
+
+def test_hot_cell_is_split(spark):
+    points = frame(spark, some_points(600, 1), POINT).withColumn("c", F.floor("x"))
+    hot = skew.hot_keys(points, ["c"], share=1 / 10_000, task_rows=20)
+    assert len(hot) == 1 and hot[0][1] >= 600 / 3 / 20 - 2
+    assert skew.hot_keys(points, ["c"]) == []
+
+
+def test_large_boxes_fill_few_cells(spark):
+    boxes = frame(spark, some_boxes(60, 2), BOX)
+    width = F.col("y_max") - F.col("y_min")
+    filed = boxes.withColumn("lv", grid.level_for(width, 1.0, grid.TOP_LEVEL))
+    cells = filed.select(
+        (
+            grid.cell_index(F.col("y_max"), 1.0, F.col("lv"))
+            - grid.cell_index(F.col("y_min"), 1.0, F.col("lv"))
+            + 1
+        ).alias("n")
+    )
+    assert cells.agg(F.max("n")).first()[0] <= grid.FAN + 1
+
+
+@pytest.mark.parametrize("ttl", [600, 100_000])
+def test_range_join_ttl(spark, way, ttl):
+    points, boxes = some_points(300, 3), some_boxes(60, 4)
+    got = joins.range_join_ttl(frame(spark, points, POINT), frame(spark, boxes, VERSION), ttl, 10.0)
+    live = dt.timedelta(seconds=ttl)
+    expected = {
+        (b["qid"], p["pid"])
+        for p in points
+        for b in boxes
+        if brute.inside(p, b) and b["ts"] <= p["ts"] < b["ts"] + live
+    }
+    rows = [(r.qid, r.pid) for r in got.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == expected
+
+
+def some_versions(seed):
+    """One query id with a third of all versions; same times on purpose."""
+    out = []
+    for b in some_boxes(120, seed):
+        b["qid"] = 0 if b["qid"] % 3 == 0 else b["qid"] % 11
+        out.append(b)
+        if b["qid"] == 5:
+            out.append({**b, "x_min": b["x_min"] - 1, "x_max": b["x_max"] + 1})
+    return out
+
+
+@pytest.mark.parametrize("bucket", [300.0, 86400.0])
+def test_moving_range_join(spark, way, bucket):
+    points, versions = some_points(300, 5), some_versions(6)
+    got = joins.moving_range_join(
+        frame(spark, points, POINT), frame(spark, versions, VERSION), 10.0, bucket
+    )
+    rows = [(r.qid, r.pid, r.valid_from) for r in got.collect()]
+    assert len(rows) == len(set(rows))
+    assert set(rows) == brute.moving_join(points, versions)
+
+
+@pytest.mark.parametrize("chunk", [60.0, 3600.0, 1e9])
+def test_query_validity_over_any_chunk(spark, chunk):
+    versions = some_versions(7)
+    got = joins.query_validity(frame(spark, versions, VERSION), chunk).collect()
+    times = {}
+    for v in versions:
+        times.setdefault(v["qid"], set()).add(v["ts"])
+    expected = set()
+    for qid, ts in times.items():
+        order = sorted(ts)
+        expected |= {(qid, a, b) for a, b in zip(order, [*order[1:], None], strict=True)}
+    assert {(r.qid, r.valid_from, r.valid_to) for r in got} == expected
+    assert len(got) == len(expected)
+
+
+def test_ever_inside(spark, way):
+    points, boxes = some_points(300, 8), some_boxes(40, 9)
+    for i, p in enumerate(points):
+        p["ts"] = T0 + dt.timedelta(seconds=i)
+    got = joins.ever_inside(frame(spark, points, POINT), frame(spark, boxes, BOX), 10.0)
+    expected = set()
+    for b in boxes:
+        entered = set()
+        for p in sorted(points, key=lambda p: p["ts"]):
+            now = brute.inside(p, b)
+            if now:
+                entered.add(p["oid"])
+            if p["oid"] in entered:
+                expected.add((b["qid"], p["pid"], now))
+    rows = [(r.qid, r.pid, r.inside_now) for r in got.collect()]
+    assert len(rows) == len(expected) and set(rows) == expected
+
+
+def words_frame(spark, rows):
+    return spark.createDataFrame(
+        [(p["id"], p["ts"], p["x"], p["y"], p["words"]) for p in rows],
+        "id bigint, ts timestamp_ntz, x double, y double, words array<string>",
+    )
+
+
+def some_messages(n, seed):
+    rnd = random.Random(seed)
+    out = []
+    for i in range(n):
+        crowd = i % 3 == 0
+        out.append(
+            dict(
+                id=i % (n - 10),  # a few ids come twice
+                ts=T0 + dt.timedelta(seconds=rnd.randrange(60)),
+                x=round(rnd.uniform(-1, 1) if crowd else rnd.uniform(-40, 40), 1),
+                y=round(rnd.uniform(-1, 1) if crowd else rnd.uniform(-40, 40), 1),
+                words=[rnd.choice("abcdefgh") for _ in range(rnd.randrange(5))],
+            )
+        )
+    return out
+
+
+def test_distance_self_join_in_windows(spark, way):
+    rows = some_messages(150, 10)
+    got = joins.distance_self_join(words_frame(spark, rows), 5.0, 20.0).collect()
+    expected = {p for p in brute.close_pairs(rows, 5.0) if (p[2] - T0).seconds // 20 == (p[3] - T0).seconds // 20}
+    found = [(r.id1, r.id2, r.ts1, r.ts2) for r in got]
+    assert set(found) == expected
+    words = {(p["id"], p["ts"], p["x"], p["y"]): p["words"] for p in rows}
+    for r in got:
+        assert r.shared == sorted(set(r.words1) & set(r.words2))
+        assert r.distance < 5.0
+        assert words[(r.id1, r.ts1, r.x1, r.y1)] is not None
+
+
+def test_distance_self_join_slides(spark):
+    rows = some_messages(60, 11)
+    slid = joins.distance_self_join(words_frame(spark, rows), 5.0, 20.0, 10.0)
+    per_pair = slid.groupBy("id1", "id2", "ts1", "ts2", "x1", "x2", "y1", "y2").count()
+    assert {r["count"] for r in per_pair.collect()} == {1, 2}
+
+
+def test_distance_self_join_distinct(spark, way):
+    rows = some_messages(150, 12)
+    got = joins.distance_self_join(words_frame(spark, rows), 5.0, 20.0, distinct_pairs=True)
+    expected = {p for p in brute.close_pairs(rows, 5.0) if abs((p[2] - p[3]).total_seconds()) < 20}
+    found = [(r.id1, r.id2, r.ts1, r.ts2) for r in got.collect()]
+    assert set(found) == expected
+
+
+def test_keywords_may_be_required(spark):
+    rows = some_messages(80, 13)
+    df = words_frame(spark, rows)
+    every = joins.distance_self_join(df, 5.0, 20.0)
+    some = joins.distance_self_join(df, 5.0, 20.0, require_keywords=True)
+    assert every.where(F.size("shared") == 0).count() > 0
+    assert some.count() == every.where(F.size("shared") > 0).count() > 0
+
+
+def some_queries(n, seed):
+    rnd = random.Random(seed)
+    return [
+        dict(qid=i, fx=rnd.choice([rnd.uniform(-600, 600), 5.0]), fy=rnd.choice([rnd.uniform(-600, 600), 5.0]), k=rnd.randrange(1, 8))
+        for i in range(n)
+    ] + [dict(qid=n, fx=1e6, fy=-1e6, k=3), dict(qid=n + 1, fx=0.0, fy=0.0, k=10_000)]
+
+
+@pytest.mark.parametrize("cell", [0.5, 50.0])
+def test_knn_join(spark, way, cell):
+    points, queries = some_points(250, 14), some_queries(25, 15)
+    objects = [dict(oid=p["pid"], x=p["x"], y=p["y"]) for p in points]
+    got = knn.knn_join(
+        frame(spark, objects, "oid bigint, x double, y double"),
+        frame(spark, queries, "qid int, fx double, fy double, k int"),
+        cell,
+    )
+    rows = [(r.qid, r.oid, r.rank) for r in got.collect()]
+    assert len(rows) == len(set(rows))
+    assert set(rows) == brute.knn(objects, queries)
+
+
+def test_knn_by_group(spark):
+    points, queries = some_points(200, 16), some_queries(5, 17)
+    objects = [dict(g=p["pid"] % 4, oid=p["pid"], x=p["x"], y=p["y"]) for p in points]
+    got = knn.knn_join(
+        frame(spark, objects, "g int, oid bigint, x double, y double"),
+        frame(spark, queries, "qid int, fx double, fy double, k int"),
+        10.0,
+        by=["g"],
+    )
+    for g in range(4):
+        rows = {(r.qid, r.oid, r.rank) for r in got.where(F.col("g") == g).collect()}
+        assert rows == brute.knn([o for o in objects if o["g"] == g], queries)
+
+
+def test_knn_ties_go_to_the_lesser_id(spark):
+    objects = spark.createDataFrame([(3, 1.0, 0.0), (1, 0.0, 1.0), (2, -1.0, 0.0)], "oid bigint, x double, y double")
+    queries = spark.createDataFrame([(1, 0.0, 0.0, 2)], "qid int, fx double, fy double, k int")
+    ranked = knn.by_distance(knn.knn_join(objects, queries, 1.0)).collect()
+    assert [(r.oid, r.rank) for r in ranked] == [(1, 1), (2, 2)]
+
+
+def test_knn_query_sent_again_replaces(spark):
+    objects = spark.createDataFrame([(1, 0.0, 0.0), (2, 9.0, 9.0)], "oid bigint, x double, y double")
+    queries = spark.createDataFrame(
+        [(1, 0.0, 0.0, 1, T0), (1, 9.0, 9.0, 1, T0 + dt.timedelta(1))],
+        "qid int, fx double, fy double, k int, ts timestamp_ntz",
+    )
+    assert [r.oid for r in knn.knn_join(objects, queries, 1.0).collect()] == [2]
+
+
+def test_knn_changes(spark):
+    shape = "qid int, oid bigint, distance double, rank int"
+    prev = spark.createDataFrame([(1, 10, 1.0, 1), (1, 11, 2.0, 2), (1, 12, 3.0, 3)], shape)
+    cur = spark.createDataFrame([(1, 11, 0.5, 1), (1, 12, 3.0, 3), (1, 13, 2.0, 2)], shape)
+    got = {(r.oid, r.change, r["rank"]) for r in knn.knn_changes(prev, cur).collect()}
+    assert got == {(10, "-", None), (11, "U", 1), (13, "+", 2)}
+    kth = knn.kth_distance(cur).first()
+    assert (kth.kth_distance, kth.n_found) == (3.0, 3)
+
+
+def test_segment_join(spark, way):
+    rnd = random.Random(18)
+    points = some_points(300, 19, crowd=0.1)
+    segments = []
+    for i in range(30):
+        x, y = rnd.uniform(-400, 400), rnd.uniform(-400, 400)
+        segments.append(dict(sid=i, x1=x, y1=y, x2=x + rnd.uniform(-200, 200), y2=y + rnd.uniform(-9, 9)))
+    p = points[0]
+    segments.append(dict(sid=30, x1=p["x"], y1=p["y"] + 3, x2=p["x"], y2=p["y"] - 3))
+    got = joins.segment_join(
+        frame(spark, points, POINT),
+        frame(spark, segments, "sid bigint, x1 double, y1 double, x2 double, y2 double"),
+        20.0,
+        eps=2.0,
+    )
+    expected = set()
+    for s in segments:
+        for q in points:
+            if s["x1"] == s["x2"]:
+                ok = q["x"] == s["x1"] and min(s["y1"], s["y2"]) <= q["y"] <= max(s["y1"], s["y2"])
+            else:
+                a = (s["y2"] - s["y1"]) / (s["x2"] - s["x1"])
+                ok = abs(q["y"] - (a * q["x"] + s["y1"] - a * s["x1"])) < 2.0
+                ok = ok and min(s["x1"], s["x2"]) <= q["x"] <= max(s["x1"], s["x2"])
+            if ok:
+                expected.add((s["sid"], q["pid"]))
+    assert {(r.sid, r.pid) for r in got.collect()} == expected
+    assert (30, 0) in expected
+
+
+def test_inside_objects_in_parts(spark, way):
+    matches = spark.createDataFrame(
+        [(1, i % 50) for i in range(100)] + [(2, 7)], "qid bigint, oid bigint"
+    )
+    whole = {r.qid: r.objects for r in query_state.inside_objects(matches).collect()}
+    assert whole == {1: list(range(50)), 2: [7]}
+    parts = query_state.inside_objects(matches, limit=10).where(F.col("qid") == 1).collect()
+    assert len(parts) == 5
+    assert sorted(o for r in parts for o in r.objects) == list(range(50))
+    assert {r.n_inside for r in parts} == {50}
