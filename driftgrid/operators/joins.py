@@ -104,6 +104,7 @@ def segment_join(
     return near.where(on).drop(*ends, *BOUNDS)
 
 
+_MESSAGE = ("id", "ts", "x", "y", "words")
 # Cells around a cell, one of each opposite pair, plus the cell itself.
 _HALF_NEIGHBOURS = ((0, 0), (1, 0), (-1, 1), (0, 1), (1, 1))
 
@@ -126,15 +127,17 @@ def distance_self_join(
     Cells have side ``r``.  Every unordered pair is tested once, in the cell of the first
     message, and turned round afterwards.
     """
-    rows = df.select("id", "ts", "x", "y", "words")
+    rows = df.select(*_MESSAGE)
     if distinct_pairs:
         rows = rows.withColumn("_slot", F.floor(epoch_seconds(rows, "ts") / F.lit(float(size))))
     else:
         text = f"{int(size * 1000)} milliseconds"
         window = F.window("ts", text, f"{int((slide or size) * 1000)} milliseconds")
         rows = rows.withColumn("_slot", window)
+    # On a stream the window alone is to carry the watermark, so the time gives it up.
+    plain_ts = F.col("ts").alias("ts1", metadata={"comment": "message time"})
     rows = rows.select(
-        *(F.col(c).alias(f"{c}1") for c in ("id", "ts", "x", "y", "words")),
+        *(plain_ts if c == "ts" else F.col(c).alias(f"{c}1") for c in _MESSAGE),
         "_slot",
         F.floor(F.col("x") / float(r)).alias("_cx"),
         F.floor(F.col("y") / float(r)).alias("_cy"),
@@ -156,12 +159,11 @@ def _pairs(
             for t, dx, dy in steps
         )
     )
-    names = ("id", "ts", "x", "y", "words")
     other = rows.select(
-        *(F.col(f"{c}1").alias(f"{c}2") for c in names), "_slot", "_cx", "_cy", F.inline(moves)
+        *(F.col(f"{c}1").alias(f"{c}2") for c in _MESSAGE), "_slot", "_cx", "_cy", F.inline(moves)
     )
     other = other.select(
-        *(f"{c}2" for c in names),
+        *(f"{c}2" for c in _MESSAGE),
         (F.col("_slot") + F.col("dt") if distinct_pairs else F.col("_slot")).alias("_slot"),
         (F.col("_cx") + F.col("dx")).alias("_cx"),
         (F.col("_cy") + F.col("dy")).alias("_cy"),
@@ -200,6 +202,6 @@ def _pairs(
         *window,
         "distance",
         "shared",
-        *(side(c, "1", "2").alias(f"{c}1") for c in names),
-        *(side(c, "2", "1").alias(f"{c}2") for c in names),
+        *(side(c, "1", "2").alias(f"{c}1") for c in _MESSAGE),
+        *(side(c, "2", "1").alias(f"{c}2") for c in _MESSAGE),
     )
