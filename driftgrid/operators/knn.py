@@ -13,8 +13,9 @@ from driftgrid.plans import sizing, skew
 from driftgrid.plans.grid import grid_join
 from driftgrid.session import cut_lineage
 
-# Levels of the density histogram, cells doubling; the last takes in all objects.
-_LEVELS = 14
+# Levels of the density histogram and how cells grow; a last one takes in all objects.
+_LEVELS = 7
+_STEP = 4.0
 _EVERYWHERE = 99
 
 
@@ -40,7 +41,7 @@ def _search_boxes(
         F.min("y").alias("_y0"), F.max("y").alias("_y1"),
     )
     levels = F.array(*(F.lit(v) for v in [*range(_LEVELS), _EVERYWHERE]))
-    fan = F.pow(F.lit(2.0), F.col("_lv"))
+    fan = F.pow(F.lit(_STEP), F.col("_lv"))
 
     def at_level(c):
         return F.when(F.col("_lv") == _EVERYWHERE, 0).otherwise(F.floor(c / fan))

@@ -102,12 +102,12 @@ def grid_join(
     for name, (lo, hi) in spans.items():
         filed = filed.withColumn(name, F.explode(F.sequence(lo, hi)))
 
-    probes = _with_levels(points, levels, bool(valid))
-    for axis in ("x", "y"):
-        probes = probes.withColumn(f"_c{axis}", cell_index(F.col(axis), cell, F.col("_lv")))
+    probes = _with_levels(points, levels, cell, bucket)
+    found = {f"_c{axis}": F.floor(F.col(axis) / F.col("_size")) for axis in ("x", "y")}
     if valid:
-        at = cell_index(epoch_seconds(points, ts), bucket, F.col("_tl"))
-        probes = probes.withColumn("_tb", F.when(F.col("_tl") < 0, 0).otherwise(at))
+        at = F.floor(epoch_seconds(points, ts) / F.col("_tsize"))
+        found["_tb"] = F.when(F.col("_tl") < 0, 0).otherwise(at)
+    probes = probes.withColumns(found).drop("_size", "_tsize")
 
     keys = [*on, "_lv", *(["_tl"] if valid else []), *spans]
     joined = skew.sized_join(probes, filed, keys, n_bytes=n_bytes, salts=salts)
@@ -122,16 +122,20 @@ def grid_join(
     return joined.where(hit).drop("_lv", "_tl", *spans)
 
 
-def _with_levels(points: DataFrame, levels: list[tuple], timed: bool) -> DataFrame:
-    names = ("_lv", "_tl") if timed else ("_lv",)
+def _with_levels(
+    points: DataFrame, levels: list[tuple], cell: float, bucket: float | None
+) -> DataFrame:
+    """Every point once per level, with the level's cell size."""
+
+    def level(lv: int, tl: int | None = None) -> list[Column]:
+        columns = [F.lit(lv).cast("int").alias("_lv"), F.lit(cell * float(FAN) ** lv).alias("_size")]
+        if tl is not None:
+            columns.append(F.lit(tl).cast("int").alias("_tl"))
+            columns.append(F.lit(bucket * float(FAN) ** max(tl, 0)).alias("_tsize"))
+        return columns
+
     if len(levels) == 1:
-        return points.withColumns(
-            {n: F.lit(v).cast("int") for n, v in zip(names, levels[0], strict=True)}
-        )
-    rows = [
-        F.struct(*(F.lit(v).cast("int").alias(n) for n, v in zip(names, lv, strict=True)))
-        for lv in levels
-    ]
-    if not rows:  # no boxes at all
-        return points.withColumns({n: F.lit(0) for n in names}).where(F.lit(False))
-    return points.select("*", F.inline(F.array(*rows)))
+        return points.select("*", *level(*levels[0]))
+    if not levels:  # no boxes at all
+        return points.select("*", *level(0, 0 if bucket else None)).where(F.lit(False))
+    return points.select("*", F.inline(F.array(*(F.struct(*level(*lv)) for lv in levels))))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftgrid.functions.timestamps import epoch_seconds
+from driftgrid.plans import skew
 
 CHUNK_ROWS = 4096
 
@@ -58,8 +59,11 @@ def with_next(
 ) -> DataFrame:
     """Add ``name``: the value of ``order`` in the next row of the same key, null at the end.
 
-    Rows of one key that share an ``order`` value must have been reduced to one.
+    Rows of one key that share an ``order`` value must have been reduced to one.  If no
+    key has more rows than a task should get, one ordered pass per key will do.
     """
+    if keys and not skew.hot_keys(df, keys):
+        return df.withColumn(name, F.lead(order).over(Window.partitionBy(*keys).orderBy(order)))
     chunked = df.withColumn("_chunk", F.floor(epoch_seconds(df, order) / F.lit(chunk_seconds)))
     local = chunked.withColumn(
         name, F.lead(order).over(Window.partitionBy(*keys, "_chunk").orderBy(order))

@@ -23,7 +23,7 @@ def _hash(keys: Sequence[str]) -> Column:
 
 
 def hot_keys(
-    df: DataFrame, keys: Sequence[str], share: float = HOT_SHARE, task_rows: int = TASK_ROWS
+    df: DataFrame, keys: Sequence[str], share: float = HOT_SHARE, task_rows: int | None = None
 ) -> list[tuple[int, int]]:
     """Hashes of the hot keys of a frame, and how many parts to split each into.
 
@@ -31,6 +31,7 @@ def hot_keys(
     only the counts of the largest keys, at most 1/share, reach the driver.  Two keys of
     the same hash are split alike, which does no harm.
     """
+    task_rows = TASK_ROWS if task_rows is None else task_rows
     all_rows = Observation()
     counts = df.groupBy(_hash(keys).alias(_HASH)).agg(F.count("*").alias("n"))
     largest = (
@@ -60,7 +61,7 @@ def salted_join(
     of ``small`` with that key are repeated once per part, so every pair still meets
     exactly once.  ``how`` may be inner, left, left_semi or left_anti.
     """
-    hot = hot_keys(big, keys, share, TASK_ROWS if task_rows is None else task_rows)
+    hot = hot_keys(big, keys, share, task_rows)
     if not hot:
         return big.join(small, list(keys), how)
     parts = F.broadcast(
