@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftgrid.functions import spatial
-from driftgrid.functions.text import shared_words
+from driftgrid.functions.text import any_shared_word, shared_words
 from driftgrid.functions.timestamps import epoch_seconds, seconds
 from driftgrid.operators.aggregates import latest_per_key
 from driftgrid.plans import ordered, skew
@@ -125,31 +125,58 @@ def distance_self_join(
     ``require_keywords`` keeps only pairs that share a word.
 
     Cells have side ``r``.  Every unordered pair is tested once, in the cell of the first
-    message, and turned round afterwards.
+    message, and turned round afterwards.  Where windows overlap, pairs are found once by
+    their times and only then put into the windows that hold both.
     """
-    rows = df.select(*_MESSAGE)
-    if distinct_pairs:
-        rows = rows.withColumn("_slot", F.floor(epoch_seconds(rows, "ts") / F.lit(float(size))))
+    sliding = slide is not None and slide < size
+    by_time = distinct_pairs or sliding
+    met = _met(df.select(*_MESSAGE), r, size, by_time)
+    if require_keywords:
+        met = met.where(any_shared_word(F.col("words1"), F.col("words2")))
+    met = met.withColumn("shared", shared_words(F.col("words1"), F.col("words2")))
+
+    window = [] if distinct_pairs else ["window_start", "window_end"]
+    if window:
+        if sliding:
+            later, earlier = F.greatest("ts1", "ts2"), F.least("ts1", "ts2")
+            met = met.withColumn("_slot", _window(later, size, slide))
+            met = met.where(F.col("_slot.start") <= earlier)
+        met = met.withColumns({w: F.col(f"_slot.{w[7:]}") for w in window})
+    turned = met.withColumn("_turned", F.explode(F.array(F.lit(False), F.lit(True))))
+
+    def side(c: str, a: str, b: str):
+        return F.when(F.col("_turned"), F.col(f"{c}{b}")).otherwise(F.col(f"{c}{a}"))
+
+    return turned.select(
+        *window,
+        "distance",
+        "shared",
+        *(side(c, "1", "2").alias(f"{c}1") for c in _MESSAGE),
+        *(side(c, "2", "1").alias(f"{c}2") for c in _MESSAGE),
+    )
+
+
+def _window(ts: Column, size: float, slide: float) -> Column:
+    return F.window(ts, f"{int(size * 1000)} milliseconds", f"{int(slide * 1000)} milliseconds")
+
+
+def _met(df: DataFrame, r: float, size: float, by_time: bool) -> DataFrame:
+    """Pairs closer than ``r``, each once: of one window, or less than ``size`` apart in time."""
+    if by_time:
+        slot = F.floor(epoch_seconds(df, "ts") / F.lit(float(size)))
+        ts = F.col("ts").alias("ts1")
     else:
-        text = f"{int(size * 1000)} milliseconds"
-        window = F.window("ts", text, f"{int((slide or size) * 1000)} milliseconds")
-        rows = rows.withColumn("_slot", window)
-    # On a stream the window alone is to carry the watermark, so the time gives it up.
-    plain_ts = F.col("ts").alias("ts1", metadata={"comment": "message time"})
-    rows = rows.select(
-        *(plain_ts if c == "ts" else F.col(c).alias(f"{c}1") for c in _MESSAGE),
+        slot = _window(F.col("ts"), size, size)
+        # On a stream the window alone is to carry the watermark, so the time gives it up.
+        ts = F.col("ts").alias("ts1", metadata={"comment": "message time"})
+    rows = df.withColumn("_slot", slot).select(
+        *(ts if c == "ts" else F.col(c).alias(f"{c}1") for c in _MESSAGE),
         "_slot",
         F.floor(F.col("x") / float(r)).alias("_cx"),
         F.floor(F.col("y") / float(r)).alias("_cy"),
     )
-    return _pairs(rows, r, size, require_keywords, distinct_pairs)
-
-
-def _pairs(
-    rows: DataFrame, r: float, size: float, require_keywords: bool, distinct_pairs: bool
-) -> DataFrame:
     steps = [(0, dx, dy) for dx, dy in _HALF_NEIGHBOURS]
-    if distinct_pairs:
+    if by_time:
         # Times under ``size`` apart lie in the same or in adjoining slots; all nine
         # cells of the later slot are looked up from the earlier one.
         steps += [(1, dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]
@@ -164,44 +191,19 @@ def _pairs(
     )
     other = other.select(
         *(f"{c}2" for c in _MESSAGE),
-        (F.col("_slot") + F.col("dt") if distinct_pairs else F.col("_slot")).alias("_slot"),
+        (F.col("_slot") + F.col("dt") if by_time else F.col("_slot")).alias("_slot"),
         (F.col("_cx") + F.col("dx")).alias("_cx"),
         (F.col("_cy") + F.col("dy")).alias("_cy"),
         ((F.col("dt") == 0) & (F.col("dx") == 0) & (F.col("dy") == 0)).alias("_same"),
     )
-    keys = ["_slot", "_cx", "_cy"]
-    if rows.isStreaming:
-        met = skew.sized_join(rows, other, keys)
-    else:
-        met = skew.salted_join(rows, other, keys)
-    d = spatial.dist(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
+    join = skew.sized_join if df.isStreaming else skew.salted_join
+    met = join(rows, other, ["_slot", "_cx", "_cy"])
     # Within one cell each pair shows up both ways and the order of the ids picks one.
     ordered_ids, other_ids = F.col("id1") < F.col("id2"), F.col("id1") != F.col("id2")
     met = met.where(F.when(F.col("_same"), ordered_ids).otherwise(other_ids))
-    met = met.withColumn("distance", d).where(spatial.within(F.col("distance"), r))
-    if distinct_pairs:
-        met = met.where(
-            (F.col("ts1") < F.col("ts2") + seconds(size))
-            & (F.col("ts2") < F.col("ts1") + seconds(size))
-        )
-    met = met.withColumn("shared", shared_words(F.col("words1"), F.col("words2")))
-    if require_keywords:
-        met = met.where(F.size("shared") > 0)
-
-    window = (
-        []
-        if distinct_pairs
-        else [F.col("_slot.start").alias("window_start"), F.col("_slot.end").alias("window_end")]
-    )
-    turned = met.withColumn("_turned", F.explode(F.array(F.lit(False), F.lit(True))))
-
-    def side(c: str, a: str, b: str):
-        return F.when(F.col("_turned"), F.col(f"{c}{b}")).otherwise(F.col(f"{c}{a}"))
-
-    return turned.select(
-        *window,
-        "distance",
-        "shared",
-        *(side(c, "1", "2").alias(f"{c}1") for c in _MESSAGE),
-        *(side(c, "2", "1").alias(f"{c}2") for c in _MESSAGE),
-    )
+    if by_time:
+        span = F.expr(f"interval '{size}' second")
+        met = met.where(F.col("ts1") < F.col("ts2") + span)
+        met = met.where(F.col("ts2") < F.col("ts1") + span)
+    d = spatial.dist(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
+    return met.withColumn("distance", d).where(spatial.within(F.col("distance"), r))

@@ -28,8 +28,13 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tweets_of(points: DataFrame, documents: DataFrame) -> DataFrame:
-    """Every document at the place and time of the event of its number."""
+    """Every document at the place and time of the event of its number.
+
+    Both sides grow with the data, so static ones are shuffled, never broadcast.
+    """
     text = documents.select(F.col("doc_id").alias("pid"), "text")
+    if not points.isStreaming:
+        text = text.hint("merge")
     return points.join(text, "pid").select(
         F.col("pid").alias("id"),
         "ts",
