@@ -9,6 +9,7 @@ from driftgrid.catalog.registry import query
 from driftgrid.functions import spatial, text
 from driftgrid.operators import enrich, joins, knn, query_state
 from driftgrid.operators.aggregates import latest_per_key
+from driftgrid.plans import skew
 from driftgrid.sources import tables
 
 CELL = 16.0
@@ -313,15 +314,11 @@ def on_line(spark, sf_dir):
     )
     routed = route.join(tables.segments(spark, sf_dir), "sid")
     ends = [F.col(c) for c in ("x1", "y1", "x2", "y2")]
-    return (
-        tables.points(spark, sf_dir)
-        .join(routed, "oid")
-        .select(
-            "pid",
-            "sid",
-            F.round(spatial.slope(*ends), 9).alias("slope"),
-            spatial.on_line(F.col("x"), F.col("y"), *ends).alias("on_line"),
-        )
+    return skew.sized_join(tables.points(spark, sf_dir), routed, ["oid"]).select(
+        "pid",
+        "sid",
+        F.round(spatial.slope(*ends), 9).alias("slope"),
+        spatial.on_line(F.col("x"), F.col("y"), *ends).alias("on_line"),
     )
 
 

@@ -27,7 +27,7 @@ def match_pattern(
         "s", F.col("o").alias("label"), "lang"
     )
     members = triples.where((F.col("p") == type_pred) & (F.col("o") == type_uri)).select("s")
-    return labels.join(members, "s", "left_semi")
+    return skew.sized_join(labels, members.distinct(), ["s"], "left_semi")
 
 
 def enrich_labels(

@@ -20,12 +20,12 @@ def latest_query(df: DataFrame) -> DataFrame:
 
 def minus_by_key(a: DataFrame, b: DataFrame, key: str = "qid") -> DataFrame:
     """Rows of ``a`` whose key ``b`` lacks."""
-    return a.join(b.select(key), key, "left_anti")
+    return skew.sized_join(a, b.select(key).distinct(), [key], "left_anti")
 
 
 def semi_by_key(a: DataFrame, b: DataFrame, key: str = "qid") -> DataFrame:
     """Rows of ``a`` whose key ``b`` has."""
-    return a.join(b.select(key), key, "left_semi")
+    return skew.sized_join(a, b.select(key).distinct(), [key], "left_semi")
 
 
 def append_queries(a: DataFrame, b: DataFrame) -> DataFrame:
