@@ -164,7 +164,13 @@ def one_line(text: Column) -> Column:
 
 
 def seconds_text(ts: Column) -> Column:
-    return F.date_format(ts, "yyyy-MM-dd HH:mm:ss")
+    """``yyyy-MM-dd HH:mm:ss`` of a time without zone, whatever the session's zone."""
+    return F.substring(ts.cast("string"), 1, 19)
+
+
+def millis_text(ts: Column) -> Column:
+    millis = F.rpad(F.substring(ts.cast("string"), 21, 3), 3, "0")
+    return F.concat_ws(".", seconds_text(ts), millis)
 
 
 def lines_of(df: DataFrame, sep: str, *columns: Column) -> DataFrame:
@@ -204,14 +210,16 @@ def tweet_csv_lines(spark: SparkSession, sf_dir: str, with_user: bool) -> DataFr
 
 def trip_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trip lines, their times in four layouts in turn."""
-    layouts = ("yyyy-MM-dd HH:mm:ss.SSS", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd")
     turn = F.col("tripid") % 4
 
     def stamp(c: str) -> Column:
-        text = F.date_format(c, layouts[0])
-        for i, layout in enumerate(layouts):
-            text = F.when(turn == i, F.date_format(c, layout)).otherwise(text)
-        return text
+        text = seconds_text(F.col(c))
+        return (
+            F.when(turn == 0, millis_text(F.col(c)))
+            .when(turn == 1, text)
+            .when(turn == 2, F.substring(text, 1, 16))
+            .otherwise(F.substring(text, 1, 10))
+        )
 
     return lines_of(
         trips(spark, sf_dir),
