@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from driftgrid.catalog.registry import query
+from driftgrid.catalog.registry import PLANAR_LAT, PLANAR_LNG, query
 from driftgrid.functions import spatial
 from driftgrid.operators import aggregates as agg
 from driftgrid.operators import words
@@ -177,21 +177,7 @@ def mbr_contains(spark, sf_dir):
 
 @query(
     "planar_to_latlng",
-    """select moid, tripid,
-      round(((xstart - -780761.760862528) * 1214.24447469596
-             - (ystart - -5844741.03397902) * 67978.2421158527)
-            / (-2285.59137120724 * 1214.24447469596 - 67978.2421158527 * 111217.945663725), 9) lat,
-      round(((xstart - -780761.760862528) * 111217.945663725
-             - (ystart - -5844741.03397902) * -2285.59137120724)
-            / (67978.2421158527 * 111217.945663725 - 1214.24447469596 * -2285.59137120724), 9) lng
-    from (select moid, tripid, xstart, ystart from trips)""".replace(
-        "-780761.760862528", "cast(-780761.760862528 as double)"
-    )
-    .replace("-5844741.03397902", "cast(-5844741.03397902 as double)")
-    .replace("67978.2421158527", "cast(67978.2421158527 as double)")
-    .replace("-2285.59137120724", "cast(-2285.59137120724 as double)")
-    .replace("1214.24447469596", "cast(1214.24447469596 as double)")
-    .replace("111217.945663725", "cast(111217.945663725 as double)"),
+    f"select moid, tripid, round({PLANAR_LAT}, 9) lat, round({PLANAR_LNG}, 9) lng from trips",
 )
 def planar_to_latlng(spark, sf_dir):
     p = spatial.planar_to_latlng(F.col("xstart"), F.col("ystart"))

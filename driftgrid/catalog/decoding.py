@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from driftgrid.catalog.registry import integer, number, query
+from driftgrid.catalog.registry import PLANAR_LAT, PLANAR_LNG, integer, number, query
 from driftgrid.functions import formats, text, timestamps
 from driftgrid.functions.spatial import trunc_int
 from driftgrid.operators import joins, knn, query_state
@@ -292,20 +292,10 @@ def format_query(spark, sf_dir):
     )
 
 
-_LAT = """((xstart + cast(780761.760862528 as double)) * cast(1214.24447469596 as double)
- - (ystart + cast(5844741.03397902 as double)) * cast(67978.2421158527 as double))
- / (cast(-2285.59137120724 as double) * cast(1214.24447469596 as double)
-    - cast(67978.2421158527 as double) * cast(111217.945663725 as double))"""
-_LNG = """((xstart + cast(780761.760862528 as double)) * cast(111217.945663725 as double)
- - (ystart + cast(5844741.03397902 as double)) * cast(-2285.59137120724 as double))
- / (cast(67978.2421158527 as double) * cast(111217.945663725 as double)
-    - cast(1214.24447469596 as double) * cast(-2285.59137120724 as double))"""
-
-
 @query(
     "format_point",
-    f"select tripid, round({_LAT}, 9) lat, round({_LNG}, 9) lng, "
-    f"round({_LAT}, 9) json_lat, round({_LNG}, 9) json_lng from trips",
+    f"select tripid, round({PLANAR_LAT}, 9) lat, round({PLANAR_LNG}, 9) lng, "
+    f"round({PLANAR_LAT}, 9) json_lat, round({PLANAR_LNG}, 9) json_lng from trips",
 )
 def format_point(spark, sf_dir):
     """Both texts of a planar point, read back."""

@@ -108,3 +108,14 @@ def query(
         return fn
 
     return add
+
+
+# The planar map of trip starts to degrees.
+PLANAR_LAT = """((xstart + cast(780761.760862528 as double)) * cast(1214.24447469596 as double)
+ - (ystart + cast(5844741.03397902 as double)) * cast(67978.2421158527 as double))
+ / (cast(-2285.59137120724 as double) * cast(1214.24447469596 as double)
+    - cast(67978.2421158527 as double) * cast(111217.945663725 as double))"""
+PLANAR_LNG = """((xstart + cast(780761.760862528 as double)) * cast(111217.945663725 as double)
+ - (ystart + cast(5844741.03397902 as double)) * cast(-2285.59137120724 as double))
+ / (cast(67978.2421158527 as double) * cast(111217.945663725 as double)
+    - cast(1214.24447469596 as double) * cast(-2285.59137120724 as double))"""

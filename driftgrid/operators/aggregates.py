@@ -142,14 +142,29 @@ def agg_landmark(
     if size == 0 and fns == ["count"]:
         return agg_batch(points, fn, rect, value, predicate)
     size = _window_seconds(size, fn)
-    parts = [f for f in FUNCTIONS[:4] if f in fns or ("avg" in fns and f in ("count", "sum"))]
-    windows = agg_window(points, parts, rect, size, None, value, predicate)
+    windows = agg_window(points, landmark_parts(fn), rect, size, None, value, predicate)
+    totals = ordered.running(windows, "window_start", size, landmark_folds(fn))
+    return landmark_result(totals, fn)
+
+
+def landmark_parts(fn: str | Sequence[str]) -> list[str]:
+    """The aggregates of a single window that totals of ``fn`` are made of."""
+    fns = _names(fn)
+    return [f for f in FUNCTIONS[:4] if f in fns or ("avg" in fns and f in ("count", "sum"))]
+
+
+def landmark_folds(fn: str | Sequence[str]) -> dict[str, str]:
+    """Column of a window → how it is carried on (counts and sums add up)."""
     folds = {"count": "sum", "sum": "sum", "min": "min", "max": "max"}
-    totals = ordered.running(
-        windows, "window_start", size, {_NAMES[p]: folds[p] for p in parts}
-    )
+    return {_NAMES[p]: folds[p] for p in landmark_parts(fn)}
+
+
+def landmark_result(totals: DataFrame, fn: str | Sequence[str]) -> DataFrame:
+    """The totals asked for; the average is the running sum over the running count."""
+    fns = _names(fn)
     if "avg" in fns:
-        totals = totals.withColumn("avg_value", F.col("sum_value").cast("double") / F.col("n_points"))
+        average = F.col("sum_value").cast("double") / F.col("n_points")
+        totals = totals.withColumn("avg_value", average)
     return totals.select("window_start", "window_end", *(_NAMES[f] for f in fns))
 
 

@@ -85,6 +85,31 @@ def test_landmark_of_a_stream(spark, tmp_path):
     assert (got.n_points, got.max_value) == (len(rows), max(r[3] for r in rows))
 
 
+def test_landmark_per_window_of_a_stream(spark, tmp_path):
+    rows = some_points()
+    end = (9999, 0, T0 + dt.timedelta(days=9), 30.0, 30.0)  # closes all windows before it
+    points = run.event_time(feed(spark, tmp_path, [*rows, end], SHAPE, 5), "5 minutes")
+    store = str(tmp_path / "store")
+    rect = (5, 5, 50, 50)
+    writer = stateful.landmark_stream(points, agg.FUNCTIONS, rect, 300.0, store)
+    run.drain(writer, spark)
+    out = spark.read.parquet(f"{store}/landmark")
+    assert out.select("batch_id").distinct().count() > 2
+    got = run.calendar_time(out.drop("batch_id"))
+    batch = agg.agg_landmark(spark.createDataFrame(rows, SHAPE), agg.FUNCTIONS, rect, 300.0)
+
+    def rounded(df):
+        return df.withColumns({c: F.round(c, 6) for c in ("sum_value", "avg_value")})
+
+    same(rounded(got), rounded(batch))
+
+
+def test_queries_take_their_time_of_arrival(spark, tmp_path):
+    queries = feed(spark, tmp_path, [(1, "q"), (2, "r")], "qid bigint, name string", 1)
+    out = run.collected(spark, readers.with_arrival(queries))
+    assert out.where(F.col("ts").isNotNull()).count() == 2
+
+
 def test_word_counts_of_a_stream(spark, tmp_path):
     rows = [(T0 + dt.timedelta(seconds=i), "a,b" if i % 2 else "a") for i in range(40)]
     shape = "ts timestamp_ntz, value string"
