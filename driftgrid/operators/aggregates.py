@@ -1,8 +1,9 @@
 """Aggregates over the points of a rectangle: per batch, per window, since a landmark.
 
 Points carry x, y and, for windows, ``ts``.  The measure (``value``) is x unless told
-otherwise; sums of a decimal measure are exact, those of doubles are not.  All operators work on static frames;
-``agg_batch`` and ``agg_window`` also on streams (see ``driftgrid.streaming``).
+otherwise; sums of a decimal measure are exact, those of doubles are not.  All operators
+work on static frames; ``agg_batch`` and ``agg_window`` also on streams, and
+``driftgrid.streaming.stateful.landmark_stream`` carries totals from window to window.
 """
 
 from __future__ import annotations
