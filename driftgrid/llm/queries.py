@@ -5,9 +5,10 @@ from __future__ import annotations
 import string
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from driftgrid.llm import quality, urls
+from driftgrid.llm import language, quality, toxicity, urls
 from driftgrid.llm.frames import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +21,42 @@ def query(run: Query) -> Query:
     return run
 
 
+def fold(parts: int) -> Column:
+    """The remainder that deals documents to learning and held-out folds."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts
+
+
+@query
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; its lexicon is learned from the folds 1 to 4 of 5."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    lexicon = toxicity.learn(docs, table(spark, sf_dir, "labels"), fold(5) != 0)
+    rated = toxicity.rate(docs, lexicon)
+    score = F.col("toxicity.score")
+    return rated.select(
+        "doc_id",
+        F.coalesce(fold(5) == 0, F.lit(False)).alias("held_out"),
+        score.alias("score"),
+        F.when(score >= 0.5, 1).otherwise(0).alias("predicted"),
+        F.col("toxicity.hits").alias("hits"),
+    )
+
+
+@query
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; the model is trained on the folds other than 2 of 4."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language.learn(docs, fold(4) != 2)
+    found = language.identify(docs.select("doc_id", "text"), model)
+    return found.select(
+        "doc_id",
+        F.coalesce(fold(4) == 2, F.lit(False)).alias("held_out"),
+        F.col("language.lang_pred").alias("lang_pred"),
+        F.col("language.score").alias("score"),
+        F.col("language.rejected").alias("rejected"),
+    )
+
+
 @query
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict for every page's URL."""
