@@ -165,12 +165,12 @@ def bounds(
     )
     merged = [F.sum("n").alias("n"), *(F.kll_merge_agg_double(m).alias(m) for m in MEASURES)]
     langs = pairs.groupBy("__lang").agg(*merged)
-    every = langs.agg(*merged).withColumn("__one", F.lit(1))
+    every = langs.agg(*merged).withColumn("__every", F.lit(0))
     pick = (
         pairs.alias("p")
         .join(langs.alias("l"), F.col("p.__lang").eqNullSafe(F.col("l.__lang")))
-        .withColumn("__key", F.lit(1))
-        .join(every.alias("e"), F.col("__key") == F.col("e.__one"))
+        .withColumn("__key", F.least(F.col("p.n"), F.lit(0)))
+        .join(every.alias("e"), F.col("__key") == F.col("e.__every"))
     )
 
     def chosen(m: str) -> Column:
