@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftgrid.llm import language, quality, toxicity, urls
+from driftgrid.llm import language, packing, quality, simhash, toxicity, urls
 from driftgrid.llm.frames import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,23 @@ def fold(parts: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts
 
 
+@query
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of near-copies of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = simhash.near_duplicates(docs, simhash.exact_scheme())
+    return found.select(
+        "doc_id", F.lower(F.hex("fp")).alias("fingerprint"), F.col("component_id")
+    )
+
+
+@query
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place of every token piece of every document in sequences of 2048 tokens."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(docs, keep_ids=False)
+
+
 @query
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document; its lexicon is learned from the folds 1 to 4 of 5."""
