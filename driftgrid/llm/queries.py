@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftgrid.llm import bpe, language, packing, quality, simhash, toxicity, urls
+from driftgrid.llm import ann, bpe, language, packing, quality, simhash, toxicity, urls
 from driftgrid.llm.frames import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -130,6 +130,13 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five nearest of all embeddings for each whose id is divisible by 50."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.nearest(rows, F.col("vec_id") % 50 == 0)
+
+
 @query
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids of every document, and of the bytes those ids decode to."""
