@@ -297,7 +297,8 @@ def nearest(
         """Each row in its own block, once for each block of the other side."""
         mine = F.pmod(F.xxhash64("vec_id"), F.col(own)).cast("int").alias(names[0])
         every = F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(names[1])
-        return df.join(blocks, ["d", "part"]).select("vec_id", "v", "d", "part", mine, every)
+        same = [F.col(c).alias(c) for c in ("vec_id", "v", "d", "part")]
+        return df.join(blocks, ["d", "part"]).select(*same, mine, every)
 
     left = dealt(homes, "nv", "nq", ("bv", "bq")).groupBy("d", "part", "bv", "bq")
     right = dealt(asked, "nq", "nv", ("bq", "bv")).groupBy("d", "part", "bv", "bq")
