@@ -207,10 +207,14 @@ def learn(docs: DataFrame, usable: Column, settings: Settings = Settings(), text
     able = docs.where(usable & y.isNotNull() & (F.length(t) <= settings.sample_chars))
     able = able.select(y.alias("label"), t.alias("text")).where(F.col("text").rlike(r"\p{L}"))
     able = able.withColumn("h", F.xxhash64("text"))
-    first = Window.partitionBy("label").orderBy("h")
-    # Only hashes are ranked; the best of each task go to the shuffle.
-    marks = able.select("label", "h").withColumn("r", F.row_number().over(first))
-    marks = marks.where(F.col("r") <= settings.sample).select("label", "h").distinct()
+    # Only hashes are ranked: first in 64 parts of each language, then the best of the parts.
+    within = Window.partitionBy("label", F.pmod("h", F.lit(64))).orderBy("h")
+    across = Window.partitionBy("label").orderBy("h")
+    marks = able.select("label", "h")
+    for window in (within, across):
+        marks = marks.withColumn("r", F.row_number().over(window))
+        marks = marks.where(F.col("r") <= settings.sample).select("label", "h")
+    marks = marks.distinct()
     rows = able.join(F.broadcast(marks), ["label", "h"]).dropDuplicates(["label", "h"])
     found = sorted((r.label, r.text) for r in rows.select("label", "text").collect())
     if not found:

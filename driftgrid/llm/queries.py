@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftgrid.llm import ann, bpe, language, packing, quality, simhash, toxicity, urls
+from driftgrid.llm import ann, bpe, language, packing, pii, quality, simhash, toxicity, urls
 from driftgrid.llm.frames import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,12 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text with keyed surrogates for the personal data in it."""
+    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place of every token piece of every document in sequences of 2048 tokens."""
