@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftgrid.llm import ann, bpe, language, packing, pii, quality, simhash, toxicity, urls
+from driftgrid.llm import ann, bpe, html, language, packing, pii, quality, simhash, toxicity, urls
 from driftgrid.llm.frames import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -120,6 +120,12 @@ def _op6_sql() -> str:
 ORACLES["op6_url_filters"] = _op6_sql()
 
 
+@query
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 @query
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, the base rules and the adaptive verdict for every document."""
