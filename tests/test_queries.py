@@ -4,6 +4,7 @@ import oracle
 import pytest
 
 import __spark_entry__ as entry
+from driftgrid import catalog
 
 SF = "/root/testdata/sf0.001"
 
@@ -13,12 +14,17 @@ def con():
     return oracle.connect(SF)
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(catalog.QUERIES))
 def test_query_gives_the_rows_of_its_sql(spark, con, name):
     df = entry.queries()[name](spark, SF)
     assert oracle.compare(df, con, entry.oracle_sql()[name]) is None
 
 
+def test_every_query_of_the_catalogue_is_registered():
+    assert set(catalog.QUERIES) <= set(entry.queries())
+    assert set(catalog.ORACLES) <= set(entry.oracle_sql()) <= set(entry.queries())
+
+
 def test_entry_runs(spark):
     df = entry.entry(spark)
     assert df.count() > 0
@@ -29,7 +35,7 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", [n for n in entry.queries() if not n.startswith("stream_")])
+@pytest.mark.parametrize("name", [n for n in catalog.QUERIES if not n.startswith("stream_")])
 def test_no_cross_join_and_no_python(spark, name):
     text = plan(entry.queries()[name](spark, SF))
     for operator in ("CartesianProduct", "NestedLoopJoin", "Python", "Pandas"):
