@@ -69,6 +69,7 @@ class Settings:
     least_support: int = 5
     least_ratio: float = 30.0
     company: int = 8
+    phrases: int = 20
 
 
 @dataclass
@@ -141,6 +142,9 @@ def build(toxic: list[str], clean: list[str], settings: Settings = Settings()) -
     for text in good:
         in_clean.update(e for e in _entries(text, settings.stem) if e in holders)
 
+    phrases, eased = _harmless(set(holders), in_clean, bad, good, settings)
+    in_clean.update({e: n - in_clean[e] for e, n in eased.items()})
+
     def ratio(e: str, n: float) -> float:
         return ((n + 0.5) / (len(bad) + 1)) / ((in_clean[e] + 0.5) / (len(good) + 1))
 
@@ -168,37 +172,51 @@ def build(toxic: list[str], clean: list[str], settings: Settings = Settings()) -
     for e in sorted(rest, key=lambda e: (len(holders[e]), e.endswith(" "), len(e)), reverse=True):
         if len(weights) < settings.entries and not any(w.startswith(e) or e.startswith(w) for w in weights):
             weights[e] = float(np.log(ratio(e, len(holders[e]))))
-    lexicon = Lexicon(weights)
-    lexicon.exceptions = _harmless(lexicon, bad, good, settings)
-    return _curve(lexicon, bad, good)
+    exceptions = sorted({p for e in weights for p in phrases.get(e, ())})
+    return _curve(Lexicon(weights, tuple(exceptions)), bad, good)
 
 
-def _harmless(lexicon: Lexicon, bad: list[str], good: list[str], settings: Settings) -> tuple[str, ...]:
-    """Pairs of neighbouring words around a hit that mark clean texts far more than toxic."""
-    found = lexicon.automaton()
+def _harmless(
+    words: set[str], in_clean: Counter[str], bad: list[str], good: list[str], settings: Settings
+) -> tuple[dict[str, list[str]], dict[str, int]]:
+    """Words that mark toxic texts once some phrases are left out: their phrases, and in how
+    many clean texts they stand outside of these.
 
-    def pairs(text: str) -> set[str]:
-        out = set()
-        for end, (size, _) in found.iter(text):
-            start = end - size + 1
-            stop = text.find(" ", start + 1)
-            before = text.rfind(" ", 0, start)
-            after = text.find(" ", stop + 1)
-            if before >= 0:
-                out.add(text[before : stop + 1])
-            if after >= 0:
-                out.add(text[start : after + 1])
+    A phrase is the word with a neighbour, found in clean texts far more than in toxic ones;
+    a word has ``phrases`` of them at most.
+    """
+    known = {e[1:-1] for e in words if e.endswith(" ") and in_clean[e]}
+
+    def pairs(text: str) -> dict[str, list[tuple[str, str]]]:
+        tokens = ["", *text.split(), ""]
+        out: dict[str, list[tuple[str, str]]] = {}
+        for i, w in enumerate(tokens):
+            if w in known:
+                out.setdefault(w, []).append((f" {tokens[i - 1]} {w} ", f" {w} {tokens[i + 1]} "))
         return out
 
-    harmless = Counter(p for t in good for p in pairs(t))
-    harmful = Counter(p for t in bad for p in pairs(t))
-    return tuple(
-        sorted(
-            p
-            for p, n in harmless.items()
-            if n >= settings.least_support
-            and n / len(good) >= settings.least_ratio * (harmful[p] + 0.5) / len(bad)
-        )
+    in_good = [pairs(t) for t in good]
+    harmless = Counter(p for d in in_good for p in {p for spots in d.values() for two in spots for p in two})
+    harmful = Counter(p for t in bad for p in {p for spots in pairs(t).values() for two in spots for p in two})
+    mild = {
+        p: n
+        for p, n in harmless.items()
+        if n >= settings.least_support
+        and n / len(good) >= settings.least_ratio * (harmful[p] + 0.5) / len(bad)
+    }
+    phrases: dict[str, list[str]] = {}
+    for p in sorted(mild, key=lambda p: (-mild[p], p)):
+        for w in p.split():
+            if w in known and len(phrases.setdefault(w, [])) < settings.phrases:
+                phrases[w].append(p)
+    outside: Counter[str] = Counter()
+    for d in in_good:
+        for w in phrases.keys() & d.keys():
+            safe = set(phrases[w])
+            outside[w] += any(not safe.intersection(two) for two in d[w])
+    return (
+        {f" {w} ": found for w, found in phrases.items()},
+        {f" {w} ": outside[w] for w in phrases},
     )
 
 
