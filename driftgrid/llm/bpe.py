@@ -50,6 +50,11 @@ class RankQueue:
                 break
             rank = word
 
+    def fill(self, rank: int, bucket: list[int]) -> None:
+        """Queue all positions of a rank that has none yet."""
+        self.push(rank, bucket[0])
+        self.buckets[rank] = bucket
+
     def least(self) -> int:
         """The least rank with a bucket, or -1."""
         at = 0
@@ -76,16 +81,15 @@ class Encoder:
 
     All new pre-tokens of a block are merged in one pass of the queue: parts of many of them
     share a rank, so that a bucket, once found, serves them all.  About ``KEPT`` pre-tokens
-    are remembered between blocks, and always those of the last block.
+    are remembered between blocks, packed as bytes, and always those of the last block.
     """
 
-    KEPT = 400_000
+    KEPT = 250_000
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        self.longest = max(map(len, ranks), default=0)
         self.queue = RankQueue(max(ranks.values(), default=0) + 1)
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}
         self.pairs = np.full(1 << 16, -1, np.int64)
         for token, rank in ranks.items():
             if len(token) == 2:
@@ -101,30 +105,32 @@ class Encoder:
                 pieces.append(piece)
                 names.append(word)
             else:
-                self.known[word] = (whole,)
+                self.known[word] = np.int32(whole).tobytes()
         self.known.update(zip(names, self.merge(pieces), strict=True))
 
-    def merge(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
+    def merge(self, pieces: list[bytes]) -> list[bytes]:
         """Join the neighbours of least rank in each piece, leftmost first, to the end.
 
         Pieces lie one after the other with an edge between them.  Parts are a linked list
         over their first bytes.  ``rank_at`` holds the rank of the pair that starts at a
         part; a queued position whose pair has since changed is stale and passed over.
         """
-        ranks, queue, longest = self.ranks, self.queue, self.longest
+        if not pieces:
+            return []
+        queue, buckets, push, rank_of = self.queue, self.queue.buckets, self.queue.push, self.ranks.get
         data = b"\0".join(pieces) + b"\0"
         sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
         ends = np.cumsum(sizes + 1) - 1
         n = len(data)
-        edge = bytearray(n)
-        for e in ends.tolist():
-            edge[e] = 1
-        after = list(range(1, n + 1))
-        before = list(range(-1, n - 1))
-        for e in ends.tolist():
-            if e + 1 < n:
-                before[e + 1] = -1
-        # First pairs: all at once, by the rank of two bytes.
+        edges = np.zeros(n, np.uint8)
+        edges[ends] = 1
+        edge = edges.tobytes()
+        links = np.arange(n + 1)
+        after = links[1:].tolist()
+        links -= 1
+        links[ends + 1] = -1
+        before = links[:n].tolist()
+        # First pairs: all at once, by the rank of two bytes, one bucket per rank.
         codes = np.frombuffer(data, np.uint8).astype(np.int64)
         first = np.full(n, -1, np.int64)
         first[:-1] = self.pairs[codes[:-1] << 8 | codes[1:]]
@@ -132,11 +138,12 @@ class Encoder:
         first[ends[sizes > 0] - 1] = -1
         rank_at = first.tolist()
         queued = np.flatnonzero(first >= 0)
-        order = queued[np.argsort(first[queued], kind="stable")]
-        for at in order.tolist():
-            queue.push(rank_at[at], at)
+        order = queued[np.argsort(-first[queued], kind="stable")]
+        runs = np.flatnonzero(np.diff(first[order])) + 1
+        for run in np.split(order, runs):
+            if len(run):
+                queue.fill(int(first[run[0]]), run.tolist())
         rank = queue.least()
-        buckets, push = queue.buckets, queue.push
         while rank >= 0:
             bucket = buckets[rank]
             bucket.sort(reverse=True)
@@ -151,32 +158,43 @@ class Encoder:
                 rank_at[gone] = rank_at[at] = -1
                 if not edge[end]:
                     before[end] = at
-                    r = ranks.get(data[at : after[end]])
+                    r = rank_of(data[at : after[end]])
                     if r is not None:
                         rank_at[at] = r
-                        push(r, at)
+                        if r in buckets:
+                            buckets[r].append(at)
+                        else:
+                            push(r, at)
                         lower = r < rank
                 left = before[at]
                 if left >= 0:
-                    r = ranks.get(data[left:end]) if end - left <= longest else None
+                    r = rank_of(data[left:end])
                     if r is None:
                         rank_at[left] = -1
                     else:
                         rank_at[left] = r
-                        push(r, left)
+                        if r in buckets:
+                            buckets[r].append(left)
+                        else:
+                            push(r, left)
                         lower = lower or r < rank
             if not bucket:
                 queue.drop(rank)
             rank = queue.least()
-        out = []
-        for e, size in zip(ends.tolist(), sizes.tolist(), strict=True):
-            at, ids = e - size, []
-            while at < e:
+        return self._packed(data, after, ends.tolist(), sizes.tolist())
+
+    def _packed(self, data: bytes, after: list[int], ends: list[int], sizes: list[int]) -> list[bytes]:
+        """The ids of each piece, read off its linked list."""
+        ids, cuts = [], [0]
+        for end, size in zip(ends, sizes, strict=True):
+            at = end - size
+            while at < end:
                 stop = after[at]
-                ids.append(ranks[data[at:stop]])
+                ids.append(self.ranks[data[at:stop]])
                 at = stop
-            out.append(tuple(ids))
-        return out
+            cuts.append(4 * len(ids))
+        packed = np.array(ids, np.int32).tobytes()
+        return [packed[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
     def block(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each whole text of a block."""
@@ -184,7 +202,7 @@ class Encoder:
         seen = set(chain.from_iterable(cut))
         self.learn(seen.difference(self.known))
         of = self.known.__getitem__
-        out = [np.fromiter(chain.from_iterable(map(of, c)), np.int32) for c in cut]
+        out = [np.frombuffer(b"".join(map(of, c)), np.int32) for c in cut]
         if len(self.known) > self.KEPT:
             self.known = {w: self.known[w] for w in seen}
         return out
@@ -256,7 +274,7 @@ def encode(text: Column, path: str = RANKS) -> Column:
         encoder, _ = load(path)
         out: list[np.ndarray] = []
         frame = pd.DataFrame({"text": texts})
-        for run in text_blocks(iter([frame]), "text"):
+        for run in text_blocks(iter([frame]), "text", 1 << 20):
             out += encoder.block([t if isinstance(t, str) else "" for t in run["text"]])
         return pd.Series(out, dtype=object)
 
