@@ -103,6 +103,41 @@ def agg_window_filled(spark, sf_dir):
     return agg.agg_window(points, ["count", "avg"], rect, 600.0, value="m", fill_empty=True)
 
 
+@query(
+    "agg_avg_nulls",
+    f"""with w as (select time_bucket(interval '6 hours', ts) window_start, count(*) n,
+                      sum(case when pid % 3 <> 0 then cast(x as decimal(12,2)) end) s,
+                      count(*) filter (pid % 3 <> 0) m from points where {INSIDE} group by 1)
+    select window_start, window_start + interval '6 hours' window_end, n n_points,
+           cast(s as double) / nullif(m, 0) avg_value,
+           cast(sum(s) over o as double) / nullif(cast(sum(m) over o as bigint), 0) avg_since
+    from w window o as (order by window_start rows unbounded preceding)""",
+)
+def agg_avg_nulls(spark, sf_dir):
+    """Averages per window and since the first point; every third point has no measure."""
+    points = measured(tables.points(spark, sf_dir))
+    points = points.withColumn("m", F.when(F.col("pid") % 3 != 0, F.col("m")))
+    rect = decoders.parse_rect(RECT)
+    windows = agg.agg_window(points, ["count", "avg"], rect, 6 * HOUR, value="m")
+    since = agg.agg_landmark(points, "avg", rect, 6 * HOUR, value="m")
+    since = since.select("window_start", F.col("avg_value").alias("avg_since"))
+    return windows.join(since, "window_start").select(*windows.columns, "avg_since")
+
+
+@query(
+    "agg_window_predicate",
+    f"""select time_bucket(interval '1 hour', ts) window_start,
+           time_bucket(interval '1 hour', ts) + interval '1 hour' window_end, count(*) n_points,
+           max(x) max_value
+    from points where {INSIDE} and oid % 2 = 0 and y < 50 group by 1, 2""",
+)
+def agg_window_predicate(spark, sf_dir):
+    """Windows over the points that a user's own condition keeps."""
+    own = (F.col("oid") % 2 == 0) & (F.col("y") < 50)
+    rect = decoders.parse_rect(RECT)
+    return agg.agg_window(tables.points(spark, sf_dir), ["count", "max"], rect, HOUR, predicate=own)
+
+
 @query(
     "latest_per_object",
     "select pid, oid, ts, x, y from latest",
@@ -114,17 +149,39 @@ def latest_per_object(spark, sf_dir):
 @query(
     "word_count",
     """select word, count(*) n
-    from (select unnest(string_split(rtrim(text, ' '), ' ')) word from documents) group by word""",
+    from (select unnest(case when rtrim(text, ' ') = '' and text <> '' then []
+                        else string_split(rtrim(text, ' '), ' ') end) word from documents) group by word""",
 )
 def word_count(spark, sf_dir):
     return words.word_count(tables.table(spark, sf_dir, "documents"), " ", "text")
 
 
+@query(
+    "word_count_blank",
+    """with t as (select case doc_id % 4 when 0 then repeat(' ', cast(1 + doc_id % 7 as int))
+                               when 1 then '' else left(text, 40) end s from documents)
+    select word, count(*) n
+    from (select unnest(case when rtrim(s, ' ') = '' and s <> '' then []
+                        else string_split(rtrim(s, ' '), ' ') end) word from t) group by word""",
+)
+def word_count_blank(spark, sf_dir):
+    """Lines of blanks only have no word, empty lines an empty one."""
+    part = F.col("doc_id") % 4
+    line = (
+        F.when(part == 0, F.repeat(F.lit(" "), (1 + F.col("doc_id") % 7).cast("int")))
+        .when(part == 1, F.lit(""))
+        .otherwise(F.left("text", F.lit(40)))
+    )
+    docs = tables.table(spark, sf_dir, "documents").select(line.alias("value"))
+    return words.word_count(docs)
+
+
 @query(
     "word_count_window",
     """with w as (
         select time_bucket(interval '3 hours', ts) - g * interval '3 hours' window_start,
-               unnest(string_split(rtrim(text, ','), ',')) word
+               unnest(case when rtrim(text, ',') = '' and text <> '' then []
+                      else string_split(rtrim(text, ','), ',') end) word
         from tweets, (select unnest([0, 1]) g))
     select window_start, window_start + interval '6 hours' window_end, word, count(*) n
     from w group by all""",

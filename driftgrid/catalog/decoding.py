@@ -52,6 +52,20 @@ def decode_tweet_words(spark, sf_dir):
     return t.withColumn("words", F.array_join("words", " "))
 
 
+@query(
+    "decode_long_ids",
+    "select 324567890000000000 + id id, id + 5 check_id from tweets",
+)
+def decode_long_ids(spark, sf_dir):
+    """Ids of 18 digits keep them all."""
+    long_id = F.col("id") + F.lit(324567890000000000)
+    lines = tables.tweets(spark, sf_dir).select(
+        F.concat_ws(" ", long_id.cast("string"), F.lit("2024-01-01 00:00:00 1.5 2.5 a b")).alias("value")
+    )
+    ids = decoders.decode_tweet_words(lines).select("id")
+    return ids.withColumn("check_id", F.col("id") - F.lit(324567890000000000) + 5)
+
+
 @query(
     "decode_tweet_csv",
     """select id, strftime(ts, '%Y-%m-%d %H:%M:%S') created_at, lat, lng,
@@ -265,7 +279,7 @@ def format_query(spark, sf_dir):
     latest = latest_per_key(tables.points(spark, sf_dir), "oid", "ts", "pid")
     boxes = tables.boxes(spark, sf_dir)
     lists = query_state.inside_objects(
-        joins.range_join(latest, boxes, 16.0), ("oid", "x", "y")
+        joins.range_join(latest, boxes, 16.0), ("oid", "x", "y"), page=7
     )
     corners = F.array(
         F.struct(F.col("x_max").alias("x"), F.col("y_max").alias("y")),

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from driftgrid.catalog.decoding import DAILY_CHANGES, daily_changes
 from driftgrid.catalog.registry import query
-from driftgrid.functions import spatial, text
+from driftgrid.functions import formats, spatial, text, timestamps
 from driftgrid.operators import enrich, joins, knn, query_state
 from driftgrid.operators.aggregates import latest_per_key
 from driftgrid.plans import skew
-from driftgrid.sources import tables
+from driftgrid.sources import decoders, tables
 
 CELL = 16.0
 HOUR = 3600.0
@@ -34,12 +35,15 @@ def range_join_corners(spark, sf_dir):
 
 @query(
     "inside_objects",
-    """select qid, cast(0 as int) part, count(distinct oid) n_inside,
-       array_to_string(list_sort(list(distinct oid)), ',') objects from hits group by qid""",
+    """with d as (select distinct qid, oid from hits),
+    r as (select *, row_number() over (partition by qid order by oid) - 1 place,
+                 count(*) over (partition by qid) n_inside from d)
+    select qid, cast(place // 20 as int) part, n_inside, string_agg(oid, ',' order by oid) objects
+    from r group by all""",
 )
 def inside_objects(spark, sf_dir):
     hits = joins.range_join(tables.points(spark, sf_dir), tables.boxes(spark, sf_dir), CELL)
-    lists = query_state.inside_objects(hits)
+    lists = query_state.inside_objects(hits, page=20)
     return lists.withColumn("objects", F.array_join(F.col("objects").cast("array<string>"), ","))
 
 
@@ -100,7 +104,8 @@ def _worded(spark, sf_dir):
 
 _DIST = "sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y))"
 _WORDED = """with t as (
-    select id, ts, lat x, lng y, string_split(rtrim(text, ' '), ' ') words from tweets)"""
+    select id, ts, lat x, lng y, case when rtrim(text, ' ') = '' and text <> '' then []
+           else string_split(rtrim(text, ' '), ' ') end words from tweets)"""
 _SHARED = "list_sort(list_intersect(a.words, b.words))"
 
 
@@ -146,6 +151,67 @@ def distance_self_join_distinct(spark, sf_dir):
     return _listed(pairs)
 
 
+_PRESSED = "epoch_us(timestamp '2024-01-01') + (epoch_us(ts) - epoch_us(timestamp '2024-01-01')) // 10000"
+
+
+@query(
+    "distance_self_join_fraction",
+    f"""with t as (select id, {_PRESSED} us, lat x, lng y from tweets)
+    select a.id id1, b.id id2, round({_DIST}, 9) distance from t a join t b
+    on a.id <> b.id and {_DIST} < 10 and abs(a.us - b.us) < 1500000""",
+)
+def distance_self_join_fraction(spark, sf_dir):
+    """Times pressed together ten-thousandfold, met within a second and a half."""
+    worded = _worded(spark, sf_dir)
+    start = F.unix_micros(F.timestamp_seconds(F.lit(1704067200)))
+    past = timestamps.epoch_micros(worded, "ts") - start
+    pressed = ((past - F.pmod(past, F.lit(10000))) / 10000).cast("bigint") + start
+    worded = worded.withColumn("ts", timestamps.as_calendar(F.timestamp_micros(pressed)))
+    pairs = joins.distance_self_join(worded, 10.0, 1.5, distinct_pairs=True)
+    return pairs.select("id1", "id2", F.round("distance", 9).alias("distance"))
+
+
+@query(
+    "corner_lists",
+    """with q as (select *, 1 + qid % 3 n, count(*) over () m, row_number() over (order by qid) - 1 place from boxes)
+    select p.pid, q.qid, cast(q.n as int) n_corners,
+           q.n = 2 and p.x between q.x_min and q.x_max and p.y between q.y_min and q.y_max inside
+    from points p join q on p.oid % q.m = q.place""",
+)
+def corner_lists(spark, sf_dir):
+    """Points in the corner lists of decoded query lines; only two corners make a box."""
+    boxes = tables.boxes(spark, sf_dir)
+    m = boxes.count()
+    at = F.row_number().over(Window.orderBy("qid")) - 1
+    named = boxes.withColumn("at", at).withColumn("line", formats.query_line(F.col("qid"), *(F.col(b) for b in joins.BOUNDS)))
+    third = F.concat_ws(":", F.col("x_min").cast("string"), F.col("y_max").cast("string"))
+    line = (
+        F.when(F.col("qid") % 3 == 0, F.array_join(F.slice(F.split("line", ","), 1, 2), ","))
+        .when(F.col("qid") % 3 == 2, F.concat_ws(",", "line", third))
+        .otherwise(F.col("line"))
+    )
+    lines = named.select(line.alias("value"))
+    queries = decoders.decode_range_query(lines).withColumn("qid", F.col("qid").cast("bigint"))
+    placed = queries.join(named.select("qid", "at"), "qid")
+    points = tables.points(spark, sf_dir).withColumn("at", F.col("oid") % m)
+    return skew.sized_join(points, placed, ["at"]).select(
+        "pid",
+        "qid",
+        F.size("points").alias("n_corners"),
+        spatial.in_box(F.col("x"), F.col("y"), F.col("points")).alias("inside"),
+    )
+
+
+@query(
+    "first_entries",
+    "select qid, oid, min(ts) entered from hits group by all",
+)
+def first_entries(spark, sf_dir):
+    return joins.first_entries(
+        tables.points(spark, sf_dir), tables.boxes(spark, sf_dir), CELL
+    ).select("qid", "oid", "entered")
+
+
 @query(
     "shared_words",
     f"""{_WORDED}
@@ -290,11 +356,11 @@ def query_mbr(spark, sf_dir):
 
 @query(
     "query_polygon",
-    """select qid, cast(0 as int) part, string_agg(x || ':' || y, ' ' order by pos) points
-    from corners group by qid""",
+    """select qid, cast(pos // 3 as int) part, string_agg(x || ':' || y, ' ' order by pos) points
+    from corners group by all""",
 )
 def query_polygon(spark, sf_dir):
-    p = query_state.query_polygon(tables.corners(spark, sf_dir))
+    p = query_state.query_polygon(tables.corners(spark, sf_dir), page=3)
     pairs = F.transform("points", lambda c: F.concat_ws(":", c["x"].cast("string"), c["y"].cast("string")))
     return p.select("qid", "part", F.array_join(pairs, " ").alias("points"))
 

@@ -4,28 +4,85 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from driftgrid.catalog.aggregates import HOUR, RECT, WINDOWS, doubles, measured
+from driftgrid.catalog.aggregates import HOUR, INSIDE, RECT, WINDOWS, doubles, measured
 from driftgrid.catalog.joining import CELL, _listed
 from driftgrid.catalog.registry import query
-from driftgrid.functions import spatial, text
+from driftgrid.functions import spatial, text, timestamps
 from driftgrid.operators import aggregates as agg
 from driftgrid.operators import enrich, joins, words
-from driftgrid.session import fresh_dir
-from driftgrid.sources import decoders, readers, tables
+from driftgrid.session import cut_lineage, fresh_dir
+from driftgrid.sources import decoders, readers, sinks, tables
 from driftgrid.streaming import run, stateful
 
-# The files of a table come in no order of time, so nothing may count as late.
-LATENESS = "400 days"
-
-
-def _stream(session, sf_dir, name):
-    # A pattern, as a table may be a folder of files or a single file.
-    schema = tables.table(session, sf_dir, name).schema
-    return readers.replay(session, f"{sf_dir}/{name}.parquet*", schema)
-
-
-def _points(session, sf_dir, timed=True):
-    points = tables.points_of(_stream(session, sf_dir, "events"))
+# Every table is dealt to this many files, each replayed in a micro-batch of its own.
+BATCHES = 5
+# Rows lie up to this many hours out of the order of their times; watermarks allow for twice
+# as much.
+DISORDER = 12
+LATENESS = f"{2 * DISORDER} hours"
+
+_feeds: dict[tuple, str] = {}
+
+
+def _time(name):
+    """When the rows of a table happen; without a time they come as their keys fall."""
+    if name == "events":
+        return lambda df: timestamps.epoch_micros(df, "ts")
+    if name == "supplier":
+        return lambda df: (F.col("s_suppkey") * 7 % 720) * 3_600_000_000
+    return lambda df: F.pmod(F.xxhash64(df.columns[0]), F.lit(1_000_000))
+
+
+def _written(spark, sf_dir, name, kind):
+    """A folder with the table as files, in the order they are to be replayed.
+
+    ``closed`` appends a row inside ``RECT`` 40 days after all others, which lets the
+    watermark pass them; ``late`` also holds every fiftieth event back until after that.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, name, kind)
+    if key in _feeds:
+        return _feeds[key]
+    df = tables.table(spark, sf_dir, name)
+    columns = df.columns
+    disorder = F.pmod(F.xxhash64(columns[0]), F.lit(DISORDER * 3_600_000_000))
+    df = df.withColumn("_at", _time(name)(df))
+    rows = df.withColumn("_due", F.col("_at") + (disorder if name != "customer" else F.lit(0)))
+    ends = rows.agg(F.min("_due"), F.max("_due")).first()
+    span = max(1, (ends[1] or 0) - (ends[0] or 0) + 1)
+    part = F.floor((F.col("_due") - F.lit(ends[0] or 0)) * BATCHES / span).cast("int")
+    if kind == "late":
+        part = F.when(F.col("event_id") % 50 == 0, BATCHES).otherwise(part)
+    path = fresh_dir(spark, f"feed-{name}")
+    rows = cut_lineage(rows.withColumn("_part", part), "dealt")
+
+    def add(df):
+        df.select(columns).coalesce(1).write.mode("append").parquet(path)
+
+    for k in range(BATCHES):
+        add(rows.where(F.col("_part") == k))
+    if kind != "plain":
+        last = rows.orderBy(F.desc("ts")).limit(1).withColumns(
+            {
+                "event_id": F.lit(-1).cast("bigint"),
+                "ts": F.col("ts") + F.expr("interval '40' day"),
+                "value": F.lit(30.0),
+                "props": F.lit('{"k": 30}'),
+            }
+        )
+        add(last)
+    if kind == "late":
+        add(rows.where(F.col("_part") == BATCHES))
+    _feeds[key] = path
+    return path
+
+
+def _stream(session, sf_dir, name, kind="plain"):
+    path = _written(session, sf_dir, name, kind)
+    return readers.replay(session, path, tables.table(session, sf_dir, name).schema)
+
+
+def _points(session, sf_dir, timed=True, kind="plain"):
+    points = tables.points_of(_stream(session, sf_dir, "events", kind))
     return run.event_time(points, LATENESS) if timed else points
 
 
@@ -56,6 +113,55 @@ def stream_landmark(spark, sf_dir):
     return doubles(run.collected(spark, totals, "complete"))
 
 
+@query(
+    "stream_landmark_window",
+    f"""with w as ({WINDOWS}) select window_start, window_start + interval '1 hour' window_end,
+    cast(sum(n) over o as bigint) n_points, max(mx) over o max_value, min(mn) over o min_value,
+    cast(sum(s) over o as double) sum_value,
+    cast(sum(s) over o as double) / cast(sum(n) over o as bigint) avg_value
+    from w window o as (order by window_start rows unbounded preceding)""",
+)
+def stream_landmark_window(spark, sf_dir):
+    """Totals since the first point per window, carried from batch to batch as windows close."""
+    session = run.replay_session(spark)
+    points = measured(_points(session, sf_dir, kind="closed"))
+    store = fresh_dir(spark, "landmark")
+    rect = decoders.parse_rect(RECT)
+    run.drain(stateful.landmark_stream(points, agg.FUNCTIONS, rect, HOUR, store, "m"), spark)
+    out = session.read.parquet(f"{store}/landmark").drop("batch_id")
+    return doubles(run.calendar_time(out))
+
+
+@query(
+    "stream_late_rows",
+    f"""select time_bucket(interval '1 hour', ts) window_start,
+           time_bucket(interval '1 hour', ts) + interval '1 hour' window_end, count(*) n_points
+    from points where {INSIDE} and pid % 50 <> 0 group by 1, 2""",
+)
+def stream_late_rows(spark, sf_dir):
+    """Closed windows are given out and forgotten; rows that come after them are dropped."""
+    session = run.replay_session(spark)
+    points = _points(session, sf_dir, kind="late")
+    windows = agg.agg_window(points, "count", decoders.parse_rect(RECT), HOUR)
+    return run.calendar_time(run.collected(spark, windows))
+
+
+@query(
+    "stream_output_lines",
+    "select concat_ws(',', qid, pid, oid) line from hits",
+)
+def stream_output_lines(spark, sf_dir):
+    """Matches of every batch written as lines of a user's own format, and read back."""
+    session = run.replay_session(spark)
+    matches = joins.range_join(
+        _points(session, sf_dir, timed=False), tables.boxes(session, sf_dir), CELL
+    )
+    line = F.concat_ws(",", *(F.col(c).cast("string") for c in ("qid", "pid", "oid")))
+    path = fresh_dir(spark, "lines")
+    run.drain(sinks.write_output(matches, line, path), spark)
+    return session.read.text(path).select(F.col("value").alias("line"))
+
+
 @query("stream_word_count", same_as="word_count_window")
 def stream_word_count(spark, sf_dir):
     session = run.replay_session(spark)
@@ -140,8 +246,10 @@ def stream_knn(spark, sf_dir):
 def stream_sticky(spark, sf_dir):
     session = run.replay_session(spark)
     store = fresh_dir(spark, "sticky")
-    points = _points(session, sf_dir, timed=False)
-    run.drain(stateful.sticky_stream(points, tables.boxes(session, sf_dir), CELL, store), spark)
+    points, boxes = _points(session, sf_dir, timed=False), tables.boxes(session, sf_dir)
+    late = 2 * DISORDER * HOUR
+    run.drain(stateful.sticky_stream(points, boxes, CELL, store, late), spark)
+    stateful.sticky_flush(tables.points(session, sf_dir), boxes, CELL, store)
     return session.read.parquet(f"{store}/matches").drop("batch_id")
 
 

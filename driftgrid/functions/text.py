@@ -14,8 +14,13 @@ DIGITS_PATTERN = r"^\p{Nd}*\z"
 
 
 def fields(line: Column, sep: str = " ") -> Column:
-    """Fields of a line; empty fields at the end of the line are not counted."""
-    return F.split(F.rtrim(line, F.lit(sep)), re.escape(sep))
+    """Fields of a line; empty fields at the end of the line are not counted.
+
+    A line of separators only has no field, an empty line one, which is empty.
+    """
+    body = F.rtrim(line, F.lit(sep))
+    none = F.array().cast("array<string>")
+    return F.when((body == "") & (line != ""), none).otherwise(F.split(body, re.escape(sep)))
 
 
 def has_fields(arr: Column, n: int) -> Column:

@@ -41,6 +41,12 @@ def epoch_seconds(df: DataFrame, name: str) -> Column:
     return F.unix_seconds(c)
 
 
+def epoch_micros(df: DataFrame, name: str) -> Column:
+    """Microseconds since 1970 of a timestamp column, on its own calendar if it has no zone."""
+    c = F.col(name)
+    return F.unix_micros(as_instant(c) if isinstance(df.schema[name].dataType, T.TimestampNTZType) else c)
+
+
 def as_instant(ts: Column) -> Column:
     """A timestamp without zone as the instant it names in UTC, for watermarks."""
     days = F.datediff(F.to_date(ts), F.to_date(F.lit("1970-01-01"))).cast("bigint")

@@ -18,19 +18,22 @@ from driftgrid.functions.timestamps import seconds
 from driftgrid.plans import ordered
 
 FUNCTIONS = ("count", "max", "min", "sum", "avg")
+# Rows that have a measure: what running averages divide by.
+MEASURED = "measured"
 _NAMES = {
     "count": "n_points",
     "max": "max_value",
     "min": "min_value",
     "sum": "sum_value",
     "avg": "avg_value",
+    MEASURED: "n_measured",
 }
 
 
 def _names(fn: str | Sequence[str]) -> list[str]:
     fns = [fn] if isinstance(fn, str) else list(fn)
     for f in fns:
-        if f not in FUNCTIONS:
+        if f not in _NAMES:
             raise ValueError(f"unknown aggregate {f!r}; choose from {', '.join(FUNCTIONS)}")
     return fns
 
@@ -42,7 +45,9 @@ def aggregate_columns(fn: str | Sequence[str], value: str = "x") -> list[Column]
         "max": F.max,
         "min": F.min,
         "sum": F.sum,
-        "avg": lambda c: F.sum(c).cast("double") / F.nullif(F.count("*"), F.lit(0)),
+        # Rows without a measure take no part in an average.
+        "avg": lambda c: F.sum(c).cast("double") / F.nullif(F.count(c), F.lit(0)),
+        MEASURED: F.count,
     }
     return [make[f](F.col(value)).alias(_NAMES[f]) for f in _names(fn)]
 
@@ -137,7 +142,7 @@ def agg_landmark(
 
     With ``size`` 0 one row for all points so far (counts only, as a batch has no
     extremes of its own); otherwise one row per window with the totals up to its end.
-    The average is the running sum over the running count.
+    The average is the running sum over the running count of rows with a measure.
     """
     fns = _names(fn)
     if size == 0 and fns == ["count"]:
@@ -151,20 +156,20 @@ def agg_landmark(
 def landmark_parts(fn: str | Sequence[str]) -> list[str]:
     """The aggregates of a single window that totals of ``fn`` are made of."""
     fns = _names(fn)
-    return [f for f in FUNCTIONS[:4] if f in fns or ("avg" in fns and f in ("count", "sum"))]
+    return [f for f in (*FUNCTIONS[:4], MEASURED) if f in fns or ("avg" in fns and f in ("sum", MEASURED))]
 
 
 def landmark_folds(fn: str | Sequence[str]) -> dict[str, str]:
     """Column of a window → how it is carried on (counts and sums add up)."""
-    folds = {"count": "sum", "sum": "sum", "min": "min", "max": "max"}
+    folds = {"count": "sum", "sum": "sum", "min": "min", "max": "max", MEASURED: "sum"}
     return {_NAMES[p]: folds[p] for p in landmark_parts(fn)}
 
 
 def landmark_result(totals: DataFrame, fn: str | Sequence[str]) -> DataFrame:
-    """The totals asked for; the average is the running sum over the running count."""
+    """The totals asked for; an average is null while no row has had a measure."""
     fns = _names(fn)
     if "avg" in fns:
-        average = F.col("sum_value").cast("double") / F.col("n_points")
+        average = F.col("sum_value").cast("double") / F.nullif(F.col("n_measured"), F.lit(0))
         totals = totals.withColumn("avg_value", average)
     return totals.select("window_start", "window_end", *(_NAMES[f] for f in fns))
 

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from driftgrid.functions import spatial
 from driftgrid.functions.text import any_shared_word, shared_words
-from driftgrid.functions.timestamps import epoch_seconds, seconds
+from driftgrid.functions.timestamps import epoch_micros, seconds
 from driftgrid.operators.aggregates import latest_per_key
 from driftgrid.plans import ordered, skew
-from driftgrid.plans.grid import STREAM_LEVELS, grid_join
+from driftgrid.plans.grid import TOP_LEVEL, grid_join
 from driftgrid.session import cut_lineage
 
 BOUNDS = ("x_min", "y_min", "x_max", "y_max")
@@ -36,7 +36,7 @@ def range_join_ttl(
         "qid", *BOUNDS, F.col("ts").alias("q_ts"), (F.col("ts") + seconds(ttl)).alias("_end")
     )
     # A lifetime is one time bucket long, so it always lies on the lowest time level.
-    levels = [(level, 0) for level in range(STREAM_LEVELS)]
+    levels = [(level, 0) for level in range(TOP_LEVEL + 1)]
     joined = grid_join(
         points, live, cell, valid=("q_ts", "_end"), bucket=ttl, levels=levels
     ).drop("_end", *BOUNDS)
@@ -70,14 +70,23 @@ def moving_range_join(
     return joined.drop("valid_to", *BOUNDS)
 
 
+def first_entries(points: DataFrame, boxes: DataFrame, cell: float) -> DataFrame:
+    """The time each object first was in each box (``entered``), with the box.
+
+    One row per (qid, oid) at most: what sticky containment needs to know, without its
+    result, which has a row for every later point.
+    """
+    hits = grid_join(points.select("oid", "ts", "x", "y"), boxes.select("qid", *BOUNDS), cell)
+    return hits.groupBy("qid", "oid", *BOUNDS).agg(F.min("ts").alias("entered"))
+
+
 def ever_inside(points: DataFrame, boxes: DataFrame, cell: float) -> DataFrame:
     """Sticky containment: from an object's first point inside a box on, all its points.
 
     One row per (qid, point), with ``inside_now`` telling if the point itself is inside.
     The first entry per (qid, oid) is a small aggregate; no object's history is sorted.
     """
-    hits = grid_join(points.select("oid", "ts", "x", "y"), boxes.select("qid", *BOUNDS), cell)
-    entered = hits.groupBy("qid", "oid", *BOUNDS).agg(F.min("ts").alias("entered"))
+    entered = first_entries(points, boxes, cell)
     sticky = skew.salted_join(points, entered, ["oid"]).where(F.col("ts") >= F.col("entered"))
     now = spatial.in_bounds_box(F.col("x"), F.col("y"), *(F.col(b) for b in BOUNDS))
     return sticky.withColumn("inside_now", now).drop("entered", *BOUNDS)
@@ -104,7 +113,8 @@ def segment_join(
     return near.where(on).drop(*ends, *BOUNDS)
 
 
-_MESSAGE = ("id", "ts", "x", "y", "words")
+_PLACE = ("id", "ts", "x", "y")
+_MESSAGE = (*_PLACE, "words")
 # Cells around a cell, one of each opposite pair, plus the cell itself.
 _HALF_NEIGHBOURS = ((0, 0), (1, 0), (-1, 1), (0, 1), (1, 1))
 
@@ -130,7 +140,10 @@ def distance_self_join(
     """
     sliding = slide is not None and slide < size
     by_time = distinct_pairs or sliding
-    met = _met(df.select(*_MESSAGE), r, size, by_time)
+    if df.isStreaming:
+        met = _met(df.select(*_MESSAGE), r, size, by_time, ("words",))
+    else:
+        met = _with_words(df, _met(_marked(df), r, size, by_time, (_MARK,)))
     if require_keywords:
         met = met.where(any_shared_word(F.col("words1"), F.col("words2")))
     met = met.withColumn("shared", shared_words(F.col("words1"), F.col("words2")))
@@ -160,17 +173,42 @@ def _window(ts: Column, size: float, slide: float) -> Column:
     return F.window(ts, f"{int(size * 1000)} milliseconds", f"{int(slide * 1000)} milliseconds")
 
 
-def _met(df: DataFrame, r: float, size: float, by_time: bool) -> DataFrame:
-    """Pairs closer than ``r``, each once: of one window, or less than ``size`` apart in time."""
+# Which text a message has: a number in its place while pairs are looked for.
+_MARK = "mark"
+
+
+def _marked(df: DataFrame) -> DataFrame:
+    return df.select(*_PLACE, F.xxhash64("words").alias(_MARK))
+
+
+def _with_words(df: DataFrame, met: DataFrame) -> DataFrame:
+    """Put the words of both messages to pairs that were found without them."""
+    texts = df.select("id", F.xxhash64("words").alias(_MARK), "words").dropDuplicates(["id", _MARK])
+    for n in ("1", "2"):
+        side = texts.select(*(F.col(c).alias(f"{c}{n}") for c in ("id", _MARK, "words")))
+        met = met.join(side, [f"id{n}", f"{_MARK}{n}"])
+    return met.drop(f"{_MARK}1", f"{_MARK}2")
+
+
+def _met(
+    df: DataFrame, r: float, size: float, by_time: bool, carried: Sequence[str]
+) -> DataFrame:
+    """Pairs closer than ``r``, each once: of one window, or less than ``size`` apart in time.
+
+    ``carried`` names the columns besides id, time and place.
+    """
+    columns = (*_PLACE, *carried)
     if by_time:
-        slot = F.floor(epoch_seconds(df, "ts") / F.lit(float(size)))
+        # Slots are whole microseconds long, so that a fraction of a second counts.
+        step, micros = F.lit(round(size * 1_000_000)), epoch_micros(df, "ts")
+        slot = ((micros - F.pmod(micros, step)) / step).cast("bigint")
         ts = F.col("ts").alias("ts1")
     else:
         slot = _window(F.col("ts"), size, size)
         # On a stream the window alone is to carry the watermark, so the time gives it up.
         ts = F.col("ts").alias("ts1", metadata={"comment": "message time"})
     rows = df.withColumn("_slot", slot).select(
-        *(ts if c == "ts" else F.col(c).alias(f"{c}1") for c in _MESSAGE),
+        *(ts if c == "ts" else F.col(c).alias(f"{c}1") for c in columns),
         "_slot",
         F.floor(F.col("x") / float(r)).alias("_cx"),
         F.floor(F.col("y") / float(r)).alias("_cy"),
@@ -187,10 +225,10 @@ def _met(df: DataFrame, r: float, size: float, by_time: bool) -> DataFrame:
         )
     )
     other = rows.select(
-        *(F.col(f"{c}1").alias(f"{c}2") for c in _MESSAGE), "_slot", "_cx", "_cy", F.inline(moves)
+        *(F.col(f"{c}1").alias(f"{c}2") for c in columns), "_slot", "_cx", "_cy", F.inline(moves)
     )
     other = other.select(
-        *(f"{c}2" for c in _MESSAGE),
+        *(f"{c}2" for c in columns),
         (F.col("_slot") + F.col("dt") if by_time else F.col("_slot")).alias("_slot"),
         (F.col("_cx") + F.col("dx")).alias("_cx"),
         (F.col("_cy") + F.col("dy")).alias("_cy"),

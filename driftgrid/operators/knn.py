@@ -20,8 +20,11 @@ _EVERYWHERE = 99
 
 
 def knn_queries(df: DataFrame) -> DataFrame:
-    """One row per query id; a query sent again replaces the earlier one by ``ts``."""
-    return latest_per_key(df, "qid", "ts") if "ts" in df.columns else df.dropDuplicates(["qid"])
+    """One row per query id; a query sent again replaces the earlier one by ``ts``.
+
+    Without times the greatest (fx, fy, k) counts.
+    """
+    return latest_per_key(df, "qid", "ts" if "ts" in df.columns else "fx")
 
 
 def _search_boxes(

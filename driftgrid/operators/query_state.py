@@ -6,11 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftgrid.operators.aggregates import latest_per_key
-from driftgrid.plans import skew
-from driftgrid.session import cut_lineage
+from driftgrid.plans import ordered, skew
 
-# Longest list held in one row; longer ones continue in further rows (parts).
-LIST_LIMIT = 10_000
+# Items of a list per row: every list comes in pages of this length, whatever its size.
+PAGE = 10_000
 
 
 def latest_query(df: DataFrame) -> DataFrame:
@@ -49,13 +48,13 @@ def query_mbr(corners: DataFrame) -> DataFrame:
     )
 
 
-def query_polygon(corners: DataFrame, limit: int = LIST_LIMIT) -> DataFrame:
+def query_polygon(corners: DataFrame, page: int = PAGE) -> DataFrame:
     """Corner list of each query (qid, pos, x, y), ordered by ``pos`` counted from 0.
 
-    A list longer than ``limit`` continues in the rows of part 1, 2, …
+    The corners ``page`` * n to ``page`` * (n + 1) - 1 are in the row of part n.
     """
     return (
-        corners.withColumn("part", F.floor(F.col("pos") / limit).cast("int"))
+        corners.withColumn("part", F.floor(F.col("pos") / page).cast("int"))
         .groupBy("qid", "part")
         .agg(F.sort_array(F.collect_list(F.struct("pos", "x", "y"))).alias("_corners"))
         .select(
@@ -69,22 +68,21 @@ def query_polygon(corners: DataFrame, limit: int = LIST_LIMIT) -> DataFrame:
 
 
 def inside_objects(
-    matches: DataFrame, columns: tuple[str, ...] = ("oid",), limit: int = LIST_LIMIT
+    matches: DataFrame, columns: tuple[str, ...] = ("oid",), page: int = PAGE
 ) -> DataFrame:
     """Ids of the objects each query matched, as sorted lists.
 
-    With more ``columns`` than the id the lists hold structs of them.  A query with more
-    than about ``limit`` objects gets several rows (parts), its objects dealt out by
-    their hash, so that no row or task holds an unbounded list.
+    With more ``columns`` than the id the lists hold structs of them.  A list comes in
+    pages: part n holds its items ``page`` * n to ``page`` * (n + 1) - 1, so that no row or
+    task holds an unbounded list.
     """
-    pairs = cut_lineage(matches.select("qid", *columns).distinct(), "pairs")
-    parts = pairs.groupBy("qid").agg(
-        F.count("*").alias("n_inside"), F.ceil(F.count("*") / limit).cast("int").alias("parts")
-    )
-    dealt = skew.salted_join(pairs, parts, ["qid"]).withColumn(
-        "part", F.pmod(F.xxhash64("oid"), F.col("parts")).cast("int")
-    )
+    pairs = matches.select("qid", *columns).distinct()
+    placed = ordered.positions(pairs, ["qid"], list(columns), "_at")
+    totals = placed.groupBy("qid").agg(F.count("*").alias("n_inside"))
     item = F.col(columns[0]) if len(columns) == 1 else F.struct(*columns)
-    return dealt.groupBy("qid", "part", "n_inside").agg(
-        F.sort_array(F.collect_list(item)).alias("objects")
+    pages = (
+        placed.withColumn("part", F.floor(F.col("_at") / page).cast("int"))
+        .groupBy("qid", "part")
+        .agg(F.sort_array(F.collect_list(item)).alias("objects"))
     )
+    return pages.join(totals, "qid").select("qid", "part", "n_inside", "objects")

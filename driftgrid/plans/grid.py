@@ -19,8 +19,6 @@ from driftgrid.plans import sizing, skew
 
 FAN = 8
 TOP_LEVEL = 12
-# Levels that a stream, whose boxes cannot be looked at beforehand, probes.
-STREAM_LEVELS = 3
 
 
 def _scale(size: float, level: Column) -> Column:
@@ -45,7 +43,7 @@ def grid_join(
     valid: tuple[str, str] | None = None,
     bucket: float | None = None,
     ts: str = "ts",
-    salts: int = 8,
+    salts: int = 1,
     levels: Sequence[tuple] | None = None,
 ) -> DataFrame:
     """Join points (x, y) to the closed boxes (x_min, y_min, x_max, y_max) holding them.
@@ -55,11 +53,12 @@ def grid_join(
     end; ``bucket`` is the finest time cell in seconds.
 
     Static boxes are measured first: if they are small they are broadcast, otherwise
-    both sides are shuffled by cell with crowded cells split.  Streaming boxes go to the
-    ``levels`` given, or to the first few, with ``salts`` parts for every cell.
+    both sides are shuffled by cell with crowded cells split.  Streaming boxes,
+    which cannot be looked at beforehand, may lie on any level, or on the ``levels`` given;
+    ``salts`` above 1 split every cell of theirs over that many parts.
     """
     measured = not boxes.isStreaming
-    top = TOP_LEVEL if measured else STREAM_LEVELS - 1
+    top = TOP_LEVEL
     boxes = boxes.where(
         (F.col("x_min") <= F.col("x_max")) & (F.col("y_min") <= F.col("y_max"))
     )
@@ -95,8 +94,8 @@ def grid_join(
         n_bytes = size["n_bytes"]
         levels = sorted(tuple(r) for r in size["levels"])
     elif levels is None:
-        tlevels = [(t,) for t in range(-1, STREAM_LEVELS)] if valid else [()]
-        levels = [(lv, *t) for lv in range(STREAM_LEVELS) for t in tlevels]
+        tlevels = [(t,) for t in range(-1, TOP_LEVEL + 1)] if valid else [()]
+        levels = [(lv, *t) for lv in range(TOP_LEVEL + 1) for t in tlevels]
 
     filed = boxes
     for name, (lo, hi) in spans.items():

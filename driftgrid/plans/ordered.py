@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from driftgrid.functions.timestamps import epoch_seconds
 from driftgrid.plans import skew
+from driftgrid.session import cut_lineage
 
 CHUNK_ROWS = 4096
 
@@ -80,3 +81,27 @@ def with_next(
     closed = ends.join(following, [*keys, "_chunk"]).withColumnRenamed("_next", name)
     columns = [*df.columns, name]
     return local.where(F.col(name).isNotNull()).select(columns).unionByName(closed.select(columns))
+
+
+def positions(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
+    """Add ``name``: the place of each row, from 0, among the rows of its key in ``order``.
+
+    Rows are dealt by ranges of key and order, so that a key of any size is spread over many
+    tasks; each is counted from the start of its range, and one row per key and range
+    carries the counts before it.  ``order`` must tell the rows of a key apart.
+    """
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(ranges, *keys, *order).withColumn("_range", F.spark_partition_id())
+    dealt = cut_lineage(dealt, "ranges")
+    local = Window.partitionBy(*keys, "_range").orderBy(*order)
+    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = (
+        dealt.groupBy(*keys, "_range")
+        .agg(F.count("*").alias("_n"))
+        .select(*keys, "_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_ahead"))
+    )
+    return (
+        dealt.withColumn("_row", F.row_number().over(local) - 1)
+        .join(ahead, [*keys, "_range"])
+        .select(*df.columns, (F.col("_ahead") + F.col("_row")).alias(name))
+    )

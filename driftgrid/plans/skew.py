@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftgrid.plans import sizing
+from driftgrid.session import cut_lineage
 
-# A key is hot when it holds more than this share of all rows and more rows than a
-# task should get.  At most 1/share keys can be, however large the data.
-HOT_SHARE = 1 / 10_000
+# What one task should get of a key at most: rows of either side, and pairs of rows.
+# The bounds hold at any size of the data.
 TASK_ROWS = 1_000_000
+TASK_PAIRS = 100_000_000
 
 _HASH = "_key_hash"
 
@@ -22,29 +22,50 @@ def _hash(keys: Sequence[str]) -> Column:
     return F.xxhash64(*(F.col(k) for k in keys))
 
 
-def hot_keys(
-    df: DataFrame, keys: Sequence[str], share: float = HOT_SHARE, task_rows: int | None = None
-) -> list[tuple[int, int]]:
-    """Hashes of the hot keys of a frame, and how many parts to split each into.
-
-    One pass over the key columns: rows are counted per key hash on the executors, and
-    only the counts of the largest keys, at most 1/share, reach the driver.  Two keys of
-    the same hash are split alike, which does no harm.
-    """
+def hot_keys(df: DataFrame, keys: Sequence[str], task_rows: int | None = None) -> bool:
+    """Whether a key of the frame has more rows than a task should get."""
     task_rows = TASK_ROWS if task_rows is None else task_rows
-    all_rows = Observation()
     counts = df.groupBy(_hash(keys).alias(_HASH)).agg(F.count("*").alias("n"))
-    largest = (
-        counts.observe(all_rows, F.sum("n").alias("n"))
-        .where(F.col("n") > task_rows)
-        .orderBy(F.desc("n"))
-        .limit(math.ceil(1 / share))
-        .collect()
+    return bool(counts.where(F.col("n") > task_rows).take(1))
+
+
+def parts(
+    big: DataFrame,
+    small: DataFrame,
+    keys: Sequence[str],
+    both: bool = True,
+    task_rows: int | None = None,
+    task_pairs: int | None = None,
+) -> DataFrame:
+    """How to split the hot keys of a join: their hash, ``_pb`` parts of ``big``, ``_ps`` of
+    ``small``.
+
+    Rows are counted per key hash on both sides.  Each side is cut into parts of
+    ``task_rows`` at most, and the side with more rows in a part further, until two parts
+    make no more than ``task_pairs`` pairs.  Without ``both`` only ``big`` is cut.  Two keys
+    of the same hash are split alike, which does no harm.
+    """
+    rows = TASK_ROWS if task_rows is None else task_rows
+    pairs = TASK_PAIRS if task_pairs is None else task_pairs
+
+    def counted(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy(_hash(keys).alias(_HASH)).agg(F.count("*").alias(name))
+
+    nb, ns, pb, ps = (F.col(c) for c in ("_nb", "_ns", "_pb", "_ps"))
+    met = counted(big, "_nb").join(counted(small, "_ns"), _HASH)
+    hot = met.where((nb > rows) | (ns > rows) | (nb * ns.cast("double") > pairs))
+    cut = hot.withColumns(
+        {"_pb": F.ceil(nb / rows), "_ps": F.ceil(ns / rows) if both else F.lit(1).cast("bigint")}
+    )
+    more = F.greatest(F.ceil((nb / pb) * (ns / ps) / pairs), F.lit(1))
+    on_big = (nb / pb >= ns / ps) if both else F.lit(True)
+    cut = cut.withColumns({"_more": more, "_on_big": on_big})
+    return cut.select(
+        _HASH,
+        # Never more parts than rows.
+        F.least(F.when(F.col("_on_big"), pb * F.col("_more")).otherwise(pb), nb).cast("int").alias("_pb"),
+        F.least(F.when(F.col("_on_big"), ps).otherwise(ps * F.col("_more")), ns).cast("int").alias("_ps"),
     )
-    if not largest:
-        return []
-    part = max(task_rows, share * all_rows.get["n"])
-    return [(r[_HASH], math.ceil(r["n"] / part)) for r in largest if r["n"] > part]
 
 
 def salted_join(
@@ -52,35 +73,35 @@ def salted_join(
     small: DataFrame,
     keys: Sequence[str],
     how: str = "inner",
-    share: float = HOT_SHARE,
     task_rows: int | None = None,
+    task_pairs: int | None = None,
 ) -> DataFrame:
-    """Shuffle join on ``keys`` with the hot keys of ``big`` split over many tasks.
+    """Shuffle join on ``keys`` with hot keys split over many tasks by the work they make.
 
-    The rows of a hot key are dealt to its parts by a hash of their content, and the rows
-    of ``small`` with that key are repeated once per part, so every pair still meets
-    exactly once.  ``how`` may be inner, left, left_semi or left_anti.
+    The rows of a hot key are dealt to the parts of their side by a hash of their content
+    and repeated for each part of the other, so every pair still meets exactly once.
+    ``how`` may be inner, left, left_semi or left_anti; all but inner split ``big`` only.
     """
-    hot = hot_keys(big, keys, share, task_rows)
-    if not hot:
+    split = cut_lineage(parts(big, small, keys, how == "inner", task_rows, task_pairs), "hot")
+    size = sizing.measure(split)
+    if not size["n_rows"]:
         return big.join(small, list(keys), how)
-    parts = F.broadcast(
-        big.sparkSession.createDataFrame(hot, f"{_HASH} bigint, _parts int")
-    )
-    spread = F.xxhash64(*(F.col(c) for c in big.columns))
-    big = (
-        big.withColumn(_HASH, _hash(keys))
-        .join(parts, _HASH, "left")
-        .withColumn("_salt", F.coalesce(F.pmod(spread, F.col("_parts")).cast("int"), F.lit(0)))
-        .drop("_parts", _HASH)
-    )
-    small = (
-        small.withColumn(_HASH, _hash(keys))
-        .join(parts, _HASH, "left")
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)))
-        .drop("_parts", _HASH)
-    )
-    return big.join(small, [*keys, "_salt"], how).drop("_salt")
+    if sizing.fits_broadcast(split, size["n_bytes"]):
+        split = F.broadcast(split)
+
+    def dealt(df: DataFrame, own: str, other: str, names: tuple[str, str]) -> DataFrame:
+        spread = F.xxhash64(*(F.col(c) for c in df.columns))
+        mine = F.coalesce(F.pmod(spread, F.col(own)).cast("int"), F.lit(0))
+        each = F.sequence(F.lit(0), F.coalesce(F.col(other), F.lit(1)) - 1)
+        return (
+            df.withColumn(_HASH, _hash(keys))
+            .join(split, _HASH, "left")
+            .select(*df.columns, mine.alias(names[0]), F.explode(each).alias(names[1]))
+        )
+
+    big = dealt(big, "_pb", "_ps", ("_sb", "_ss"))
+    small = dealt(small, "_ps", "_pb", ("_ss", "_sb"))
+    return big.join(small, [*keys, "_sb", "_ss"], how).drop("_sb", "_ss")
 
 
 def sized_join(
@@ -89,12 +110,12 @@ def sized_join(
     keys: Sequence[str],
     how: str = "inner",
     n_bytes: float | None = None,
-    salts: int = 8,
+    salts: int = 1,
 ) -> DataFrame:
     """Broadcast ``small`` when its measured size allows it, else a salted shuffle join.
 
-    A stream cannot be counted beforehand: there a fixed number of salts replaces the
-    hot key count.
+    A stream cannot be counted beforehand: there ``salts`` above 1 split every key, which
+    repeats the rows of ``small`` as often.
     """
     if not small.isStreaming:
         if n_bytes is None:
@@ -103,6 +124,8 @@ def sized_join(
             return big.join(F.broadcast(small), list(keys), how)
     if not big.isStreaming and not small.isStreaming:
         return salted_join(big, small, keys, how)
+    if salts == 1:
+        return big.join(small, list(keys), how)
     spread = F.xxhash64(*(F.col(c) for c in big.columns))
     big = big.withColumn("_salt", F.pmod(spread, F.lit(salts)).cast("int"))
     small = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

@@ -62,14 +62,15 @@ def decode_tweet_words(df: DataFrame) -> DataFrame:
     typed = _once(
         _fields(df, " "),
         f.alias("f"),
-        to_double(_at(f, 0)).alias("id"),
+        # A whole number keeps all its digits; a double holds only some 16 of them.
+        F.coalesce(to_long(_at(f, 0)), to_double(_at(f, 0)).cast("bigint")).alias("id"),
         to_double(_at(f, 3)).alias("x"),
         to_double(_at(f, 4)).alias("y"),
     )
     good = F.col("id").isNotNull() & F.col("x").isNotNull() & F.col("y").isNotNull()
     words = F.slice(f, 6, F.greatest(F.size(f) - 5, F.lit(0)))
     return typed.select(
-        F.when(good, F.col("id")).otherwise(0.0).cast("bigint").alias("id"),
+        F.when(good, F.col("id")).otherwise(F.lit(0).cast("bigint")).alias("id"),
         F.when(good, F.col("x")).otherwise(0.0).alias("x"),
         F.when(good, F.col("y")).otherwise(0.0).alias("y"),
         words.alias("words"),
@@ -254,6 +255,4 @@ def bad_rows(df: DataFrame, decoder) -> DataFrame:
     """How many lines there are and how many a one-row-per-line decoder drops."""
     lines = df.agg(F.count("*").alias("n_lines"))
     good = decoder(df).agg(F.count("*").alias("n_good"))
-    return lines.select(
-        "n_lines", (F.col("n_lines") - good.scalar()).alias("n_bad")
-    )
+    return lines.select("n_lines", (F.col("n_lines") - good.scalar()).alias("n_bad"))

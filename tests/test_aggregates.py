@@ -163,7 +163,7 @@ def test_corners(spark):
     assert boxes == {1: (5.0, 2.0, 20.0, 10.0), 2: (1.0, 1.0, 1.0, 1.0)}
     lists = {r.qid: [tuple(p) for p in r.points] for r in query_state.query_polygon(df).collect()}
     assert lists == {1: [(20.0, 10.0), (5.0, 2.0)], 2: [(1.0, 1.0)]}
-    assert query_state.query_polygon(df, limit=1).count() == 3
+    assert query_state.query_polygon(df, page=1).count() == 3
 
 
 def test_labels(spark):

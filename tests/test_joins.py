@@ -90,9 +90,44 @@ def test_no_boxes_no_rows(spark):
 
 def test_hot_cell_is_split(spark):
     points = frame(spark, some_points(600, 1), POINT).withColumn("c", F.floor("x"))
-    hot = skew.hot_keys(points, ["c"], share=1 / 10_000, task_rows=20)
-    assert len(hot) == 1 and hot[0][1] >= 600 / 3 / 20 - 2
-    assert skew.hot_keys(points, ["c"]) == []
+    assert skew.hot_keys(points, ["c"], task_rows=150) and not skew.hot_keys(points, ["c"])
+    assert skew.parts(points, points, ["c"]).count() == 0
+
+
+def crowd(spark, n, columns):
+    """``n`` rows of which a third share one key."""
+    rows = [(0 if i % 3 == 0 else i % 40 + 1, i) for i in range(n)]
+    return spark.createDataFrame(rows, columns)
+
+
+@pytest.mark.parametrize("nb,ns", [(900, 60), (60, 900), (600, 600)])
+def test_crowded_keys_are_split_on_either_side(spark, nb, ns):
+    """No task gets more rows of a side, or more pairs, than it should."""
+    big, small = crowd(spark, nb, "k int, a int"), crowd(spark, ns, "k int, b int")
+    split = {r["_key_hash"]: (r["_pb"], r["_ps"]) for r in skew.parts(big, small, ["k"], True, 50, 500).collect()}
+    counts = [{r.k: r.n for r in d.groupBy("k").agg(F.count("*").alias("n")).collect()} for d in (big, small)]
+    hashes = {r.k: r.h for r in big.select("k", F.xxhash64("k").alias("h")).distinct().collect()}
+    assert hashes[0] in split
+    for k, h in hashes.items():
+        pb, ps = split.get(h, (1, 1))
+        b, s = counts[0][k] / pb, counts[1].get(k, 0) / ps
+        assert b <= 50 and s <= 50 and b * s <= 500
+    want = sorted(map(tuple, big.join(small, "k").collect()))
+    got = sorted(map(tuple, skew.salted_join(big, small, ["k"], "inner", 50, 500).collect()))
+    assert got == want
+    for how in ("left", "left_semi", "left_anti"):
+        want = sorted(map(str, big.join(small.where("k < 9"), "k", how).collect()))
+        got = skew.salted_join(big, small.where("k < 9"), ["k"], how, 50, 500)
+        assert sorted(map(str, got.collect())) == want
+
+
+def test_streaming_boxes_of_any_width_fill_few_cells(spark):
+    """A box a million cells wide; a stream takes the levels of the static way."""
+    width = F.lit(1e6)
+    level = grid.level_for(width, 1.0, grid.TOP_LEVEL)
+    span = grid.cell_index(width, 1.0, level) + 1
+    cells = spark.range(1).select((span * span).alias("n")).first().n
+    assert cells < 100
 
 
 def test_large_boxes_fill_few_cells(spark):
@@ -340,7 +375,6 @@ def test_inside_objects_in_parts(spark, way):
     )
     whole = {r.qid: r.objects for r in query_state.inside_objects(matches).collect()}
     assert whole == {1: list(range(50)), 2: [7]}
-    parts = query_state.inside_objects(matches, limit=10).where(F.col("qid") == 1).collect()
-    assert len(parts) == 5
-    assert sorted(o for r in parts for o in r.objects) == list(range(50))
+    parts = query_state.inside_objects(matches, page=10).where(F.col("qid") == 1).collect()
+    assert {r.part: r.objects for r in parts} == {p: list(range(10 * p, 10 * p + 10)) for p in range(5)}
     assert {r.n_inside for r in parts} == {50}

@@ -195,7 +195,9 @@ def test_sticky_over_a_stream(spark, tmp_path):
     rows = some_points()
     fixed = spark.createDataFrame(*boxes(spark))
     store = str(tmp_path / "store")
-    run.drain(stateful.sticky_stream(feed(spark, tmp_path, rows, SHAPE), fixed, 8.0, store), spark)
+    writer = stateful.sticky_stream(feed(spark, tmp_path, rows, SHAPE), fixed, 8.0, store, 0.0)
+    run.drain(writer, spark)
+    stateful.sticky_flush(spark.createDataFrame([], SHAPE), fixed, 8.0, store)
     got = spark.read.parquet(f"{store}/matches").drop("batch_id")
     same(got, joins.ever_inside(spark.createDataFrame(rows, SHAPE), fixed, 8.0))
 
