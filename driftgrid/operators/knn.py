@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftgrid.functions import spatial
@@ -17,6 +17,8 @@ from driftgrid.session import cut_lineage
 _LEVELS = 7
 _STEP = 4.0
 _EVERYWHERE = 99
+# Cells of one level that a far query is held against at most.
+_FAR_CELLS = 1024
 
 
 def knn_queries(df: DataFrame) -> DataFrame:
@@ -27,15 +29,32 @@ def knn_queries(df: DataFrame) -> DataFrame:
     return latest_per_key(df, "qid", "ts" if "ts" in df.columns else "fx")
 
 
-def _search_boxes(
-    objects: DataFrame, queries: DataFrame, n_queries: int, cell: float, by: Sequence[str]
-) -> DataFrame:
-    """For each query a box sure to hold its k nearest objects.
+def _levels() -> Column:
+    return F.array(*(F.lit(v) for v in [*range(_LEVELS), _EVERYWHERE]))
 
-    Objects are counted per cell on levels of growing cells.  If the three by three cells
-    around a query hold k objects, the far corner of their extent bounds the k-th distance.
-    The smallest such bound over the levels is taken.
-    """
+
+def _at_level(c: Column) -> Column:
+    fan = F.pow(F.lit(_STEP), F.col("_lv"))
+    return F.when(F.col("_lv") == _EVERYWHERE, 0).otherwise(F.floor(c / fan))
+
+
+def _extent() -> tuple[Column, ...]:
+    return (
+        F.sum("_n").alias("_n"),
+        F.min("_x0").alias("_x0"), F.max("_x1").alias("_x1"),
+        F.min("_y0").alias("_y0"), F.max("_y1").alias("_y1"),
+    )
+
+
+def _reach() -> Column:
+    """Distance from (fx, fy) to the far corner of an extent, rounded up."""
+    dx = F.greatest(F.abs(F.col("fx") - F.col("_x0")), F.abs(F.col("fx") - F.col("_x1")))
+    dy = F.greatest(F.abs(F.col("fy") - F.col("_y0")), F.abs(F.col("fy") - F.col("_y1")))
+    return F.sqrt(dx * dx + dy * dy) * (1 + 1e-9)
+
+
+def _density(objects: DataFrame, cell: float, by: Sequence[str]) -> DataFrame:
+    """Number and extent of the objects in each cell of each level."""
     cells = objects.groupBy(
         *by, F.floor(F.col("x") / cell).alias("_bx"), F.floor(F.col("y") / cell).alias("_by")
     ).agg(
@@ -43,41 +62,46 @@ def _search_boxes(
         F.min("x").alias("_x0"), F.max("x").alias("_x1"),
         F.min("y").alias("_y0"), F.max("y").alias("_y1"),
     )
-    levels = F.array(*(F.lit(v) for v in [*range(_LEVELS), _EVERYWHERE]))
-    fan = F.pow(F.lit(_STEP), F.col("_lv"))
+    return (
+        cells.withColumn("_lv", F.explode(_levels()))
+        .groupBy(*by, "_lv", _at_level(F.col("_bx")).alias("_cx"), _at_level(F.col("_by")).alias("_cy"))
+        .agg(*_extent())
+    )
 
-    def at_level(c):
-        return F.when(F.col("_lv") == _EVERYWHERE, 0).otherwise(F.floor(c / fan))
 
-    extent = (
-        F.sum("_n").alias("_n"),
-        F.min("_x0").alias("_x0"), F.max("_x1").alias("_x1"),
-        F.min("_y0").alias("_y0"), F.max("_y1").alias("_y1"),
-    )
-    density = (
-        cells.withColumn("_lv", F.explode(levels))
-        .groupBy(*by, "_lv", at_level(F.col("_bx")).alias("_cx"), at_level(F.col("_by")).alias("_cy"))
-        .agg(*extent)
-    )
+def _search_boxes(
+    objects: DataFrame, queries: DataFrame, n_queries: int, cell: float, by: Sequence[str]
+) -> DataFrame:
+    """For each query a box sure to hold its k nearest objects.
+
+    Objects are counted per cell on levels of growing cells.  If the three by three cells
+    around a query hold k objects, the far corner of their extent bounds the k-th distance.
+    The smallest such bound over the levels is taken.  A query too far from the objects to
+    find k that way is bounded by the nearest of some coarse cells.
+    """
+    density = _density(objects, cell, by)
+    levels = _levels()
     near = F.when(F.col("_lv") == _EVERYWHERE, F.array(F.lit(0))).otherwise(
         F.array(F.lit(-1), F.lit(0), F.lit(1))
     )
     looked = (
         queries.select("qid", "fx", "fy", "k", F.explode(levels).alias("_lv"))
-        .withColumn("_cx", F.explode(F.transform(near, lambda d: at_level(F.floor(F.col("fx") / cell)) + d)))
-        .withColumn("_cy", F.explode(F.transform(near, lambda d: at_level(F.floor(F.col("fy") / cell)) + d)))
+        .withColumn("_cx", F.explode(F.transform(near, lambda d: _at_level(F.floor(F.col("fx") / cell)) + d)))
+        .withColumn("_cy", F.explode(F.transform(near, lambda d: _at_level(F.floor(F.col("fy") / cell)) + d)))
     )
     per_query = (9 * _LEVELS + 1) * 8 * (len(looked.columns) + 2)
     seen = (
         skew.sized_join(density, looked, ["_lv", "_cx", "_cy"], n_bytes=n_queries * per_query)
         .groupBy(*by, "qid", "fx", "fy", "k", "_lv")
-        .agg(*extent)
+        .agg(*_extent())
         .where((F.col("_n") >= F.col("k")) | (F.col("_lv") == _EVERYWHERE))
     )
-    dx = F.greatest(F.abs(F.col("fx") - F.col("_x0")), F.abs(F.col("fx") - F.col("_x1")))
-    dy = F.greatest(F.abs(F.col("fy") - F.col("_y0")), F.abs(F.col("fy") - F.col("_y1")))
-    reach = F.min(F.sqrt(dx * dx + dy * dy)) * (1 + 1e-9)
-    bound = seen.groupBy(*by, "qid", "fx", "fy", "k").agg(reach.alias("_r"))
+    bound = seen.groupBy(*by, "qid", "fx", "fy", "k").agg(
+        F.min(_reach()).alias("_r"), (F.min("_lv") == _EVERYWHERE).alias("_far")
+    )
+    bound = cut_lineage(bound, "bounds")
+    if bound.where("_far").take(1):
+        bound = _nearer(bound, density, by)
     return bound.select(
         *by, "qid", "fx", "fy", "k",
         (F.col("fx") - F.col("_r")).alias("x_min"), (F.col("fy") - F.col("_r")).alias("y_min"),
@@ -85,6 +109,28 @@ def _search_boxes(
     )
 
 
+def _nearer(bound: DataFrame, density: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Bounds of far queries by the cells of the finest level that has few of them.
+
+    Cells are taken in the order of their far corners until they hold k objects.
+    """
+    sizes = density.groupBy(*by, "_lv").agg(F.count("*").alias("n"))
+    sizes = sizes.groupBy("_lv").agg(F.max("n").alias("n")).where(F.col("n") <= _FAR_CELLS)
+    level = sizes.agg(F.min("_lv")).first()[0]
+    cell = F.struct("_n", "_x0", "_x1", "_y0", "_y1")
+    # One row per group of objects, with a bounded list.
+    cells = density.where(F.col("_lv") == level).groupBy(*by).agg(F.collect_list(cell).alias("_cells"))
+    far = bound.where("_far").withColumn("_one", F.col("_far").cast("int"))
+    cells = cells.withColumn("_one", F.least(F.size("_cells"), F.lit(1)))
+    spread = far.join(cells, [*by, "_one"]).select(*far.columns, F.inline("_cells"))
+    spread = spread.withColumn("_reach", _reach())
+    first = Window.partitionBy(*by, "qid").orderBy("_reach").rowsBetween(Window.unboundedPreceding, 0)
+    enough = spread.withColumn("_sum", F.sum("_n").over(first)).where(F.col("_sum") >= F.col("k"))
+    found = enough.groupBy(*by, "qid").agg(F.min("_reach").alias("_better"))
+    both = bound.join(found, [*by, "qid"], "left")
+    return both.withColumn("_r", F.least("_r", F.coalesce("_better", "_r"))).drop("_better")
+
+
 def knn_join(
     objects: DataFrame, queries: DataFrame, cell: float, by: Sequence[str] = ()
 ) -> DataFrame:
@@ -98,7 +144,7 @@ def knn_join(
     size = sizing.measure(queries.select("qid", "fx", "fy", "k"), top=F.max("k"))
     max_k = size["top"] or 0
     objects = objects.select(*by, "oid", "x", "y")
-    boxes = cut_lineage(_search_boxes(objects, queries, size["n_rows"], cell, by))
+    boxes = _search_boxes(objects, queries, size["n_rows"], cell, by)
     candidates = grid_join(objects, boxes, cell, by)
     d = spatial.dist(F.col("x"), F.col("y"), F.col("fx"), F.col("fy"))
     nearest = Window.partitionBy(*by, "qid").orderBy("distance", "oid")

@@ -313,6 +313,20 @@ def test_knn_by_group(spark):
         assert rows == brute.knn([o for o in objects if o["g"] == g], queries)
 
 
+def test_a_far_query_tests_few_objects(spark):
+    rnd = random.Random(3)
+    objects = [dict(oid=i, x=rnd.uniform(0, 100), y=rnd.uniform(0, 100)) for i in range(4000)]
+    queries = [dict(qid=1, fx=5e7, fy=50.0, k=3), dict(qid=2, fx=50.0, fy=50.0, k=3), dict(qid=3, fx=-9e7, fy=9e7, k=5000)]
+    objects_df = spark.createDataFrame(objects, "oid long, x double, y double")
+    queries_df = spark.createDataFrame(queries, "qid int, fx double, fy double, k int")
+    boxes = {r.qid: r for r in knn._search_boxes(objects_df, queries_df, 3, 1.0, []).collect()}
+    tested = {q: sum(b.x_min <= o["x"] <= b.x_max and b.y_min <= o["y"] <= b.y_max for o in objects) for q, b in boxes.items()}
+    assert tested[1] < 400 and tested[2] < 100 and tested[3] == 4000
+    near = [q for q in queries if q["qid"] != 3]
+    got = knn.knn_join(objects_df, spark.createDataFrame(near, "qid int, fx double, fy double, k int"), 1.0)
+    assert {(r.qid, r.oid, r["rank"]) for r in got.collect()} == brute.knn(objects, near)
+
+
 def test_knn_ties_go_to_the_lesser_id(spark):
     objects = spark.createDataFrame([(3, 1.0, 0.0), (1, 0.0, 1.0), (2, -1.0, 0.0)], "oid bigint, x double, y double")
     queries = spark.createDataFrame([(1, 0.0, 0.0, 2)], "qid int, fx double, fy double, k int")
