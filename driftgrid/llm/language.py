@@ -181,8 +181,9 @@ def train(texts: list[str], labels: list[str], settings: Settings) -> Model:
 
 
 def calibrated(model: Model, texts: list[str], labels: list[str]) -> Model:
-    """The temperature with the least log loss, then the highest threshold, at most one
-    half, that loses no more than ``lost`` of the right predictions."""
+    """The temperature with the least log loss, then the highest threshold that loses no
+    more than ``lost`` of the right predictions, and never more than 1.4 times the
+    probability that each language would have by chance: a clear text is kept."""
     best = (np.inf, 1.0)
     if not texts or len(model.langs) < 2:
         return model
@@ -196,7 +197,8 @@ def calibrated(model: Model, texts: list[str], labels: list[str]) -> Model:
     out = model.predict(texts)
     good = out.score[(out.lang_pred == truth)]
     if len(good):
-        model.threshold = min(0.5, 0.9 * float(np.quantile(good, model.settings.lost)))
+        chance = 1.4 / len(model.langs)
+        model.threshold = min(chance, 0.9 * float(np.quantile(good, model.settings.lost)))
     return model
 
 
