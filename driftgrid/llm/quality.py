@@ -165,19 +165,19 @@ def bounds(
     )
     merged = [F.sum("n").alias("n"), *(F.kll_merge_agg_double(m).alias(m) for m in MEASURES)]
     langs = pairs.groupBy("__lang").agg(*merged)
-    every = langs.agg(*merged).withColumn("__every", F.lit(0))
+    # One row, read as a scalar.
+    every = langs.agg(*merged).select(F.struct(*MEASURES)).scalar()
     pick = (
         pairs.alias("p")
         .join(langs.alias("l"), F.col("p.__lang").eqNullSafe(F.col("l.__lang")))
-        .withColumn("__key", F.least(F.col("p.n"), F.lit(0)))
-        .join(every.alias("e"), F.col("__key") == F.col("e.__every"))
+        .withColumn("__all", every)
     )
 
     def chosen(m: str) -> Column:
         return (
             F.when(F.col("p.n") >= least_docs, F.col(f"p.{m}"))
             .when(F.col("l.n") >= least_docs, F.col(f"l.{m}"))
-            .otherwise(F.col(f"e.{m}"))
+            .otherwise(F.col(f"__all.{m}"))
         )
 
     pick = pick.select("p.__lang", "p.__source", *(chosen(m).alias(m) for m in MEASURES))

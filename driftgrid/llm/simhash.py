@@ -467,14 +467,14 @@ def node_of(fp: Column, scheme: Scheme) -> Column:
 
 
 def classes(marked: DataFrame, scheme: Scheme, doc_id: str = "doc_id") -> DataFrame:
-    """``fp`` and ``component_id`` (least document id in its component) of each distinct
-    fingerprint of ``marked``, which has the columns ``doc_id`` and ``fp``."""
+    """``fp``, ``root`` (its component's least node) and ``component_id`` (the least document
+    id in that component) of each distinct fingerprint of ``marked``, which has the columns ``doc_id`` and ``fp``."""
     fps = marked.groupBy("fp").agg(F.min(F.col(f"`{doc_id}`")).alias("least"))
     fps = cut_lineage(fps.withColumn("node", node_of(F.col("fp"), scheme)), "fingerprints")
     roots = components(linked(fps, scheme))
     rooted = fps.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rooted.join(least, "root").select("fp", "component_id")
+    return rooted.join(least, "root").select("fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, scheme: Scheme, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -497,17 +497,23 @@ def drop_copies(
     """One document of each group of near-copies: the one with the least id.
 
     Links are fingerprints of 256 bits within the distance that ``similarity`` gives.  Among
-    rows of one group with the same id one stays; a group of null ids keeps one row.
+    rows of one group with the same id one stays; a group of null ids only keeps one row.
     """
     first = similarity_scheme(2, similarity, shingle)
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
     marked = docs.select(
-        row, F.col(f"`{doc_id}`").alias("id"), fingerprints(first)(F.col(f"`{text}`")).alias("fp")
+        row,
+        F.col(f"`{doc_id}`").alias("id"),
+        fingerprints(first)(F.col(f"`{text}`")).alias("fp"),
+        F.monotonically_increasing_id().alias("place"),
     )
     marked = cut_lineage(marked, "marked")
     n = marked.agg(F.count_distinct("fp")).first()[0]
     scheme = similarity_scheme(n, similarity, shingle)
-    chosen = classes(marked.select(F.col("id").alias("doc_id"), "fp"), scheme)
-    kept = marked.join(chosen, "fp").where(F.col("id").eqNullSafe(F.col("component_id")))
-    kept = kept.dropDuplicates(["component_id"])
+    slim = marked.select(F.col("id").alias("doc_id"), "fp", "place")
+    chosen = slim.join(classes(slim, scheme), "fp")
+    chosen = chosen.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    # Rows are chosen by their places; their texts move once.
+    places = chosen.groupBy("root").agg(F.min("place").alias("place")).select("place")
+    kept = marked.join(places, "place", "left_semi")
     return kept.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))

@@ -150,3 +150,11 @@ def test_one_of_each_group_stays(spark):
     for i, _, g in rows:
         first.setdefault(g, i)
     assert sorted(r.doc_id for r in kept) == sorted(first.values())
+
+
+def test_groups_of_null_ids_stay_apart(spark):
+    texts = [" ".join(f"{c}{i}" for i in range(80)) for c in "abc"]
+    rows = [(None, t) for t in texts for _ in range(3)] + [(4, texts[0] + " x"), (4, texts[1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = S.drop_copies(docs).collect()
+    assert sorted((str(r.doc_id), r.text[0]) for r in kept) == [("4", "a"), ("4", "b"), ("None", "c")]
