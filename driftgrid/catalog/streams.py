@@ -191,19 +191,16 @@ def stream_ttl_join(spark, sf_dir):
 
 @query("stream_moving_range", same_as="moving_range_join")
 def stream_moving_range(spark, sf_dir):
-    """A stream of query versions fills a table; a stream of points is joined with it."""
+    """Points and query versions both stream, in interleaved batches."""
     session = run.replay_session(spark)
-    versions = tables.query_versions_of(_points(session, sf_dir, timed=False))
-    table, store = fresh_dir(spark, "versions"), fresh_dir(spark, "moving")
-    run.drain(run.to_batches(versions, table, "append"), spark)
+    store, late = fresh_dir(spark, "moving"), 2 * DISORDER * HOUR
     points = _points(session, sf_dir, timed=False)
-
-    def arrived():
-        return run.stored(session, table, versions.schema).drop("batch_id")
-
-    run.drain(stateful.moving_range_stream(points, arrived, 5.0, 12 * HOUR, store), spark)
-    shape = joins.moving_range_join(tables.points(session, sf_dir), arrived(), 5.0, 12 * HOUR).schema
-    return run.stored(session, f"{store}/matches", shape).drop("batch_id")
+    versions = tables.query_versions_of(_points(session, sf_dir, timed=False))
+    writer = stateful.moving_range_stream(points, versions, 5.0, 12 * HOUR, store, late)
+    run.drain(writer, spark)
+    fixed = tables.points(session, sf_dir), tables.query_versions(session, sf_dir)
+    stateful.moving_range_flush(*fixed, 5.0, 12 * HOUR, store)
+    return session.read.parquet(f"{store}/matches").drop("batch_id")
 
 
 @query("stream_self_join", same_as="distance_self_join")

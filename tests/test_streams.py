@@ -172,14 +172,35 @@ def some_versions():
     return [(p[1], p[2], p[3] - 4, p[4] - 4, p[3] + 4, p[4] + 4) for p in some_points(200, 5)]
 
 
-def test_moving_queries_over_a_stream(spark, tmp_path):
-    rows = some_points()
-    versions = spark.createDataFrame(some_versions(), VERSION)
+def test_moving_queries_and_points_both_stream(spark, tmp_path):
+    """Points come before versions they need, and versions out of the order of their times."""
+    rows, sent = some_points(120), some_versions()
+    mixed = [r for k in range(4) for r in rows[k::4]]
+    late = [r for k in (2, 0, 3, 1) for r in sent[k::4]]
     store = str(tmp_path / "store")
-    points = feed(spark, tmp_path, rows, SHAPE)
-    run.drain(stateful.moving_range_stream(points, lambda: versions, 8.0, 300.0, store), spark)
+    points = feed(spark, tmp_path, mixed, SHAPE, name="points")
+    versions = feed(spark, tmp_path, late, VERSION, name="versions")
+    run.drain(stateful.moving_range_stream(points, versions, 8.0, 300.0, store, 10_000.0), spark)
+    assert spark.read.parquet(f"{store}/in_force/batch_id=3").count() <= 13
+    fixed = spark.createDataFrame(rows, SHAPE), spark.createDataFrame(sent, VERSION)
+    stateful.moving_range_flush(*fixed, 8.0, 300.0, store)
+    got = spark.read.parquet(f"{store}/matches").drop("batch_id")
+    same(got, joins.moving_range_join(*fixed, 8.0, 300.0))
+
+
+def test_a_point_that_comes_before_the_entry_it_follows(spark, tmp_path):
+    rows = [
+        (1, 7, T0 + dt.timedelta(seconds=20), 90.0, 90.0),
+        (2, 7, T0 + dt.timedelta(seconds=10), 5.0, 5.0),
+    ]
+    box = spark.createDataFrame([(1, 0.0, 0.0, 9.0, 9.0)], "qid bigint, x_min double, y_min double, x_max double, y_max double")
+    store = str(tmp_path / "store")
+    writer = stateful.sticky_stream(feed(spark, tmp_path, rows, SHAPE, parts=2), box, 8.0, store, 60.0)
+    run.drain(writer, spark)
+    stateful.sticky_flush(spark.createDataFrame([], SHAPE), box, 8.0, store)
     got = spark.read.parquet(f"{store}/matches").drop("batch_id")
-    same(got, joins.moving_range_join(spark.createDataFrame(rows, SHAPE), versions, 8.0, 300.0))
+    same(got, joins.ever_inside(spark.createDataFrame(rows, SHAPE), box, 8.0))
+    assert got.count() == 2
 
 
 def test_query_set_over_a_stream(spark, tmp_path):
