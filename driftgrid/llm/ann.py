@@ -3,7 +3,6 @@ classifier that routes queries to the most probable partitions for exact ranking
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 from math import ceil, log2
 

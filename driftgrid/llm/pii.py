@@ -15,7 +15,6 @@ import hmac
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame

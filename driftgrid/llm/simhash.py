@@ -20,7 +20,6 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from driftgrid.llm.components import components
 from driftgrid.llm.frames import WORD_BYTES, tasks, utf8
