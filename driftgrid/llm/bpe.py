@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import base64
 import re
+import sys
 import unicodedata
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -76,137 +76,261 @@ class RankQueue:
             rank = word
 
 
+class _Links:
+    """The linked list of parts, for array operations and (``views``) for single steps."""
+
+    def __init__(self, data: bytes, edge, after, before, token, rank_at):
+        self.data, self.edge, self.edge_bytes = data, edge, edge.tobytes()
+        self.after, self.before, self.token, self.rank_at = after, before, token, rank_at
+        # Positions where a part begins; edges are none.
+        self.live = 1 - edge
+        self.views = tuple(memoryview(a) for a in (after, before, token, rank_at, self.live))
+        self.again: list[np.ndarray] = []
+
+
+class Index(dict):
+    """Numbers for pre-tokens, in the order they are first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        code = self[word] = len(self)
+        return code
+
+
 class Encoder:
     """Ids of pre-tokens by the ranks of a tiktoken file.
 
-    All new pre-tokens of a block are merged in one pass of the queue: parts of many of them
-    share a rank, so that a bucket, once found, serves them all.  About ``KEPT`` pre-tokens
-    are remembered between blocks, packed as bytes, and always those of the last block.
+    Texts are first written as numbers of pre-tokens.  The new ones of all texts at hand are
+    then merged, ``TOGETHER`` at a time in one pass of the queue: parts of many of them share
+    a rank, so that a bucket, once found, serves them all.  Known pre-tokens are kept from
+    one call to the next up to ``KEPT`` of them; a call that ends above starts the next anew.
     """
 
     KEPT = 250_000
+    TOGETHER = 60_000
+    # From so many positions on, a bucket's parts are joined by array operations.
+    WIDE = 128
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.queue = RankQueue(max(ranks.values(), default=0) + 1)
-        self.known: dict[str, bytes] = {}
         self.pairs = np.full(1 << 16, -1, np.int64)
         for token, rank in ranks.items():
             if len(token) == 2:
                 self.pairs[token[0] << 8 | token[1]] = rank
-
-    def learn(self, words: set[str]) -> None:
-        """Ids of pre-tokens that are not yet known."""
-        pieces, names = [], []
-        for word in words:
-            piece = word.encode("utf-8", "replace")
-            whole = self.ranks.get(piece)
-            if whole is None:
-                pieces.append(piece)
-                names.append(word)
-            else:
-                self.known[word] = np.int32(whole).tobytes()
-        self.known.update(zip(names, self.merge(pieces), strict=True))
-
-    def merge(self, pieces: list[bytes]) -> list[bytes]:
+        joins = [
+            (self.ranks[t[:k]], self.ranks[t[k:]], rank)
+            for t, rank in ranks.items()
+            for k in range(1, len(t))
+            if t[:k] in ranks and t[k:] in ranks
+        ]
+        table = np.array(joins, np.int64).reshape(-1, 3)
+        keys = table[:, 0] << 32 | table[:, 1]
+        order = np.argsort(keys)
+        self.joint, self.joint_rank = keys[order], table[order, 2]
+        self.single = np.array([ranks.get(bytes([b]), 0) for b in range(256)], np.int32)
+        self.forget()
+
+    def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of the join of tokens, -1 where the vocabulary has none."""
+        if not len(self.joint):
+            return np.full(len(left), -1, np.int64)
+        key = left.astype(np.int64) << 32 | right
+        at = np.minimum(np.searchsorted(self.joint, key), len(self.joint) - 1)
+        return np.where(self.joint[at] == key, self.joint_rank[at], -1)
+
+    def forget(self) -> None:
+        self.index = Index()
+        # Ids of the known pre-tokens one after the other, and where each begins.
+        self.flat = np.zeros(0, np.int32)
+        self.begin = np.zeros(1, np.int64)
+
+    def learn(self) -> None:
+        """Ids of the pre-tokens that have a number but no ids yet."""
+        known = len(self.begin) - 1
+        new = list(self.index)[known:]
+        flat, sizes = [self.flat], []
+        for low in range(0, len(new), self.TOGETHER):
+            packed = self.ids_of([w.encode("utf-8", "replace") for w in new[low : low + self.TOGETHER]])
+            flat.append(np.frombuffer(b"".join(packed), np.int32))
+            sizes += [len(p) // 4 for p in packed]
+        self.flat = np.concatenate(flat)
+        ends = self.begin[-1] + np.cumsum(np.array(sizes, np.int64))
+        self.begin = np.concatenate([self.begin, ends])
+
+    def ids_of(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of each piece: of one token if the vocabulary has it whole, else merged."""
+        whole = [self.ranks.get(p) for p in pieces]
+        merged = iter(self.merge([p for p, w in zip(pieces, whole, strict=True) if w is None]))
+        return [next(merged) if w is None else w.to_bytes(4, sys.byteorder) for w in whole]
+
+    def merge(self, pieces: list[bytes], together: bool = True) -> list[bytes]:
         """Join the neighbours of least rank in each piece, leftmost first, to the end.
 
         Pieces lie one after the other with an edge between them.  Parts are a linked list
         over their first bytes.  ``rank_at`` holds the rank of the pair that starts at a
         part; a queued position whose pair has since changed is stale and passed over.
+
+        A wide bucket is emptied at once.  Should that make a pair of lesser rank, which had
+        to come before the rest of the bucket, its piece is merged again step by step.
         """
         if not pieces:
             return []
-        queue, buckets, push, rank_of = self.queue, self.queue.buckets, self.queue.push, self.ranks.get
+        queue, buckets = self.queue, self.queue.buckets
         data = b"\0".join(pieces) + b"\0"
         sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
         ends = np.cumsum(sizes + 1) - 1
         n = len(data)
-        edges = np.zeros(n, np.uint8)
-        edges[ends] = 1
-        edge = edges.tobytes()
-        links = np.arange(n + 1)
-        after = links[1:].tolist()
-        links -= 1
-        links[ends + 1] = -1
-        before = links[:n].tolist()
+        edge = np.zeros(n, np.uint8)
+        edge[ends] = 1
+        after = np.arange(1, n + 1, dtype=np.int32)
+        before = np.arange(-1, n, dtype=np.int32)
+        before[ends + 1] = -1
         # First pairs: all at once, by the rank of two bytes, one bucket per rank.
-        codes = np.frombuffer(data, np.uint8).astype(np.int64)
-        first = np.full(n, -1, np.int64)
-        first[:-1] = self.pairs[codes[:-1] << 8 | codes[1:]]
-        first[ends] = -1
-        first[ends[sizes > 0] - 1] = -1
-        rank_at = first.tolist()
-        queued = np.flatnonzero(first >= 0)
-        order = queued[np.argsort(-first[queued], kind="stable")]
-        runs = np.flatnonzero(np.diff(first[order])) + 1
-        for run in np.split(order, runs):
-            if len(run):
-                queue.fill(int(first[run[0]]), run.tolist())
+        codes = np.frombuffer(data, np.uint8)
+        token = self.single[codes]
+        rank_at = np.full(n, -1, np.int32)
+        rank_at[:-1] = self.pairs[codes[:-1].astype(np.int64) << 8 | codes[1:]]
+        rank_at[ends] = -1
+        rank_at[ends[sizes > 0] - 1] = -1
+        self._queue(np.flatnonzero(rank_at >= 0), rank_at)
+        links = _Links(data, edge, after, before, token, rank_at)
         rank = queue.least()
         while rank >= 0:
             bucket = buckets[rank]
-            bucket.sort(reverse=True)
-            lower = False
-            while bucket and not lower:
-                at = bucket.pop()
-                if rank_at[at] != rank:
-                    continue
-                gone = after[at]
-                end = after[gone]
-                after[at] = end
-                rank_at[gone] = rank_at[at] = -1
-                if not edge[end]:
-                    before[end] = at
-                    r = rank_of(data[at : after[end]])
-                    if r is not None:
-                        rank_at[at] = r
-                        if r in buckets:
-                            buckets[r].append(at)
-                        else:
-                            push(r, at)
-                        lower = r < rank
-                left = before[at]
-                if left >= 0:
-                    r = rank_of(data[left:end])
-                    if r is None:
-                        rank_at[left] = -1
-                    else:
-                        rank_at[left] = r
-                        if r in buckets:
-                            buckets[r].append(left)
-                        else:
-                            push(r, left)
-                        lower = lower or r < rank
-            if not bucket:
+            if together and len(bucket) >= self.WIDE:
+                buckets[rank] = []
+                self._join_many(rank, bucket, links)
+            else:
+                self._join_each(rank, bucket, links)
+            if not buckets[rank]:
                 queue.drop(rank)
             rank = queue.least()
-        return self._packed(data, after, ends.tolist(), sizes.tolist())
-
-    def _packed(self, data: bytes, after: list[int], ends: list[int], sizes: list[int]) -> list[bytes]:
-        """The ids of each piece, read off its linked list."""
-        ids, cuts = [], [0]
-        for end, size in zip(ends, sizes, strict=True):
-            at = end - size
-            while at < end:
-                stop = after[at]
-                ids.append(self.ranks[data[at:stop]])
-                at = stop
-            cuts.append(4 * len(ids))
-        packed = np.array(ids, np.int32).tobytes()
-        return [packed[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        live = links.live.view(bool)
+        packed = token[live].tobytes()
+        cuts = 4 * np.concatenate([[0], np.cumsum(live)])
+        spans = zip(cuts[ends - sizes].tolist(), cuts[ends].tolist(), strict=True)
+        out = [packed[a:b] for a, b in spans]
+        if links.again:
+            redo = np.unique(np.searchsorted(ends, np.concatenate(links.again))).tolist()
+            for i, ids in zip(redo, self.merge([pieces[i] for i in redo], False), strict=True):
+                out[i] = ids
+        return out
+
+    def _queue(self, spots: np.ndarray, rank_at: np.ndarray) -> None:
+        """Put positions into the buckets of their ranks."""
+        if not len(spots):
+            return
+        ranks = rank_at[spots]
+        order = np.argsort(ranks, kind="stable")
+        spots, ranks = spots[order], ranks[order]
+        cuts = np.flatnonzero(np.diff(ranks, prepend=-1)).tolist()
+        all_spots, firsts = spots.tolist(), ranks[cuts].tolist()
+        buckets = self.queue.buckets
+        for rank, a, b in zip(firsts, cuts, [*cuts[1:], len(all_spots)], strict=True):
+            bucket = buckets.get(rank)
+            if bucket is None:
+                self.queue.push(rank, all_spots[a])
+                buckets[rank] = all_spots[a:b]
+            else:
+                bucket += all_spots[a:b]
+
+    def _join_many(self, rank: int, bucket: list[int], links: _Links) -> None:
+        """Join all live pairs of a rank at once; of pairs that overlap every second one."""
+        after, before, token, rank_at = links.after, links.before, links.token, links.rank_at
+        at = np.array(bucket, np.int32)
+        at = np.sort(at[rank_at[at] == rank])
+        if not len(at):
+            return
+        # A position may have been queued twice.
+        at = at[np.diff(at, prepend=-1) > 0]
+        gone = after[at]
+        chained = np.zeros(len(at), bool)
+        chained[1:] = at[1:] == gone[:-1]
+        place = np.arange(len(at))
+        start = np.maximum.accumulate(np.where(chained, 0, place))
+        first = (place - start) % 2 == 0
+        at, gone = at[first], gone[first]
+        end = after[gone]
+        after[at] = end
+        token[at] = rank
+        links.live[gone] = 0
+        rank_at[gone] = -1
+        rank_at[at] = -1
+        inner = links.edge[end] == 0
+        left_of, follows = at[inner], end[inner]
+        before[follows] = left_of
+        rank_at[left_of] = self.rank_of(token[left_of], token[follows])
+        previous = before[at]
+        has = previous >= 0
+        previous, at = previous[has], at[has]
+        rank_at[previous] = self.rank_of(token[previous], token[at])
+        spots = np.concatenate([left_of, previous])
+        spots = spots[rank_at[spots] >= 0]
+        lesser = spots[rank_at[spots] < rank]
+        if len(lesser):
+            links.again.append(lesser)
+        self._queue(spots, rank_at)
+
+    def _join_each(self, rank: int, bucket: list[int], links: _Links) -> None:
+        """Join the live pairs of a rank one by one, until a lesser rank comes up."""
+        after, before, token, rank_at, live = links.views
+        data, edge, rank_of = links.data, links.edge_bytes, self.ranks.get
+        buckets, push = self.queue.buckets, self.queue.push
+        bucket.sort(reverse=True)
+        while bucket:
+            at = bucket.pop()
+            if rank_at[at] != rank:
+                continue
+            gone = after[at]
+            end = after[gone]
+            after[at] = end
+            token[at] = rank
+            live[gone] = 0
+            rank_at[gone] = rank_at[at] = -1
+            lower = False
+            if not edge[end]:
+                before[end] = at
+                r = rank_of(data[at : after[end]])
+                if r is not None:
+                    rank_at[at] = r
+                    if r in buckets:
+                        buckets[r].append(at)
+                    else:
+                        push(r, at)
+                    lower = r < rank
+            left = before[at]
+            if left >= 0:
+                r = rank_of(data[left:end])
+                if r is None:
+                    rank_at[left] = -1
+                else:
+                    rank_at[left] = r
+                    if r in buckets:
+                        buckets[r].append(left)
+                    else:
+                        push(r, left)
+                    lower = lower or r < rank
+            if lower:
+                return
 
     def block(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each whole text of a block."""
-        cut = [parts(t) for t in texts]
-        seen = set(chain.from_iterable(cut))
-        self.learn(seen.difference(self.known))
-        of = self.known.__getitem__
-        out = [np.frombuffer(b"".join(map(of, c)), np.int32) for c in cut]
-        if len(self.known) > self.KEPT:
-            self.known = {w: self.known[w] for w in seen}
+        """Ids of each whole text."""
+        number = self.index.__getitem__
+        coded = [np.fromiter(map(number, parts(t)), np.int32) for t in texts]
+        self.learn()
+        out = [self._gather(c) for c in coded]
+        if len(self.index) > self.KEPT:
+            self.forget()
         return out
 
+    def _gather(self, codes: np.ndarray) -> np.ndarray:
+        """The ids of numbered pre-tokens, one after the other."""
+        begin = self.begin[codes]
+        size = self.begin[codes + 1] - begin
+        stop = np.cumsum(size)
+        shift = np.repeat(begin - (stop - size), size)
+        return self.flat[shift + np.arange(len(shift))]
+
 
 # The pattern of the vocabularies in the classes of the standard library, which are those of
 # tiktoken but for a few characters; these are replaced by plain ones of their class.
@@ -274,7 +398,7 @@ def encode(text: Column, path: str = RANKS) -> Column:
         encoder, _ = load(path)
         out: list[np.ndarray] = []
         frame = pd.DataFrame({"text": texts})
-        for run in text_blocks(iter([frame]), "text", 1 << 20):
+        for run in text_blocks(iter([frame]), "text", 8 << 20):
             out += encoder.block([t if isinstance(t, str) else "" for t in run["text"]])
         return pd.Series(out, dtype=object)
 
