@@ -50,11 +50,6 @@ class RankQueue:
                 break
             rank = word
 
-    def fill(self, rank: int, bucket: list[int]) -> None:
-        """Queue all positions of a rank that has none yet."""
-        self.push(rank, bucket[0])
-        self.buckets[rank] = bucket
-
     def least(self) -> int:
         """The least rank with a bucket, or -1."""
         at = 0

@@ -60,6 +60,15 @@ def test_a_small_memory_changes_nothing(monkeypatch, library):
         assert encoder.block([t, t])[1].tolist() == library.encode_ordinary(t)
 
 
+@pytest.mark.parametrize("wide", [1, 4, 10**9])
+def test_wide_and_narrow_buckets_give_the_same(monkeypatch, library, wide):
+    monkeypatch.setattr(bpe.Encoder, "WIDE", wide)
+    encoder = bpe.Encoder(bpe.load(bpe.RANKS)[0].ranks)
+    texts = TRICKY + made()
+    got = encoder.block(texts)
+    assert [g.tolist() for g in got] == [library.encode_ordinary(t) for t in texts]
+
+
 def test_queue_gives_ranks_in_order():
     rng = random.Random(3)
     queue = bpe.RankQueue(300_000)
