@@ -71,6 +71,8 @@ def _written(spark, sf_dir, name, kind):
         )
         add(last)
     if kind == "late":
+        # Lateness is judged by the watermark of the batch before last.
+        add(last.withColumns({"event_id": F.lit(-2).cast("bigint"), "ts": F.col("ts") + F.expr("interval '1' day")}))
         add(rows.where(F.col("_part") == BATCHES))
     _feeds[key] = path
     return path
