@@ -152,13 +152,13 @@ def train(texts: list[str], labels: list[str], settings: Settings) -> Model:
         words, at = words_of(texts[i]), 0
         label = langs.index(labels[i])
         taken = 0
-        while at < len(words) and taken < 12:
+        while at < len(words) and taken < 8:
             step = int(rng.integers(3, 120))
             data = np.frombuffer(b" " + b" ".join(words[at : at + step]) + b" ", np.uint8)
             ids, n = np.unique(grams(data, settings)[0], return_counts=True)
             samples.append((ids, (n / n.sum()).astype(np.float32), label))
             # Pieces are spread over the whole text, however long it is.
-            at += max(step, len(words) // 12)
+            at += max(step, len(words) // 8)
             taken += 1
     embed = rng.normal(0, 0.1, (settings.buckets, settings.dim)).astype(np.float32)
     layer = np.zeros((settings.dim, len(langs)), np.float32)
