@@ -12,15 +12,14 @@ from driftgrid.session import cut_lineage
 
 SYMBOLS = "#*$%&|<>"
 
-# The least spread of each measure: bounds of a language or source whose documents are all
-# alike stay this far from its quartiles.
-LEAST_SPREAD = {
-    "chars_per_word": 0.8,
-    "symbols_per_word": 0.03,
-    "dup_line_share": 0.12,
-    "repeat_word_share": 0.15,
-}
-MEASURES = tuple(LEAST_SPREAD)
+# The least spread of the lengths, far below the usual one (0.3 to 0.5): it decides only where
+# the documents of a language or source are all alike.
+LEAST_SPREAD = 0.1
+# Few texts have a symbol at all and hardly any clean one, so no quantile tells a bound: it is fixed.
+MOST_SYMBOLS = 0.09
+# Repeats that are never passed, however usual they are in a language or source.
+MOST_REPEATS = {"dup_line_share": 0.36, "repeat_word_share": 0.45}
+MEASURES = ("chars_per_word", "symbols_per_word", *MOST_REPEATS)
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 
 # Up to so many different repeated windows, positions are looked up in their list; beyond,
@@ -149,24 +148,35 @@ def bounds(
     lang: str = "lang",
     source: str = "source",
     least_docs: int = 200,
-    reach: float = 3.0,
+    reach: float = 4.0,
 ) -> DataFrame:
     """Per language and source: the highest (and for lengths the lowest) share that passes.
 
-    Quantile sketches are made per language and source, in parts that merge; a pair with
-    fewer than ``least_docs`` documents takes the merged sketch of its language, a language
-    with fewer that of all documents.  A bound lies ``reach`` spreads outside the quartiles;
-    a spread is the distance of the quartiles, or ``LEAST_SPREAD`` where that is greater.
+    Quantile sketches of the documents that pass the base rules are made per language and
+    source, in parts that merge; a pair with fewer than ``least_docs`` documents takes the
+    merged sketch of its language, a language with fewer that of all documents.  Most texts
+    repeat nothing, so the sketches of repeats hold only the shares above 0, and a group
+    counts as many documents as have one.  A bound lies ``reach`` spreads outside the outer
+    tenth of the group; a spread is the distance from its median to that tenth, for lengths
+    ``LEAST_SPREAD`` at least.  Repeats are bounded by ``MOST_REPEATS`` too, which decides
+    alone where all documents have too few of them, and symbols by ``MOST_SYMBOLS`` alone.
     A null language or source is a value like any other.
     """
-    pairs = measured.groupBy(F.col(f"`{lang}`").alias("__lang"), F.col(f"`{source}`").alias("__source")).agg(
-        F.count(F.lit(1)).alias("n"),
-        *(F.kll_sketch_agg_double(m).alias(m) for m in MEASURES),
+    sketched = {"chars_per_word": F.col("chars_per_word")}
+    sketched |= {m: F.when(F.col(m) > 0, F.col(m)) for m in MOST_REPEATS}
+    able = measured.where(~base_failed())
+    pairs = able.groupBy(F.col(f"`{lang}`").alias("__lang"), F.col(f"`{source}`").alias("__source")).agg(
+        *(F.count(v).alias(f"n_{m}") for m, v in sketched.items()),
+        *(F.kll_sketch_agg_double(v).alias(m) for m, v in sketched.items()),
     )
-    merged = [F.sum("n").alias("n"), *(F.kll_merge_agg_double(m).alias(m) for m in MEASURES)]
+    merged = [
+        *(F.sum(f"n_{m}").alias(f"n_{m}") for m in sketched),
+        *(F.kll_merge_agg_double(m).alias(m) for m in sketched),
+    ]
     langs = pairs.groupBy("__lang").agg(*merged)
     # One row, read as a scalar.
-    every = langs.agg(*merged).select(F.struct(*MEASURES)).scalar()
+    every = langs.agg(*merged)
+    every = every.select(F.struct(*every.columns)).scalar()
     pick = (
         pairs.alias("p")
         .join(langs.alias("l"), F.col("p.__lang").eqNullSafe(F.col("l.__lang")))
@@ -174,31 +184,37 @@ def bounds(
     )
 
     def chosen(m: str) -> Column:
+        enough = F.lit(1 if m == "chars_per_word" else least_docs)
         return (
-            F.when(F.col("p.n") >= least_docs, F.col(f"p.{m}"))
-            .when(F.col("l.n") >= least_docs, F.col(f"l.{m}"))
-            .otherwise(F.col(f"__all.{m}"))
+            F.when(F.col(f"p.n_{m}") >= least_docs, F.col(f"p.{m}"))
+            .when(F.col(f"l.n_{m}") >= least_docs, F.col(f"l.{m}"))
+            .when(F.col(f"__all.n_{m}") >= enough, F.col(f"__all.{m}"))
         )
 
-    pick = pick.select("p.__lang", "p.__source", *(chosen(m).alias(m) for m in MEASURES))
-    quartiles = pick.select(
+    pick = pick.select("p.__lang", "p.__source", *(chosen(m).alias(m) for m in sketched))
+    quantiles = pick.select(
         "__lang",
         "__source",
         *(
             F.kll_sketch_get_quantile_double(m, F.lit(q)).alias(f"{m}_{name}")
-            for m in MEASURES
-            for q, name in ((0.25, "low"), (0.75, "high"))
+            for m in sketched
+            for q, name in ((0.1, "low"), (0.5, "mid"), (0.9, "high"))
         ),
     )
 
-    def spread(m: str) -> Column:
-        return F.greatest(F.col(f"{m}_high") - F.col(f"{m}_low"), F.lit(LEAST_SPREAD[m])) * reach
+    def beyond(m: str, side: str, least: float = 0.0) -> Column:
+        away = F.col(f"{m}_{side}") - F.col(f"{m}_mid")
+        far = F.greatest(F.abs(away), F.lit(least)) * reach
+        return F.col(f"{m}_{side}") + (far if side == "high" else -far)
 
-    return quartiles.select(
+    # The least of several passes over nulls.
+    return quantiles.select(
         "__lang",
         "__source",
-        (F.col("chars_per_word_low") - spread("chars_per_word")).alias("__least_chars_per_word"),
-        *((F.col(f"{m}_high") + spread(m)).alias(f"__most_{m}") for m in MEASURES),
+        beyond("chars_per_word", "low", LEAST_SPREAD).alias("__least_chars_per_word"),
+        beyond("chars_per_word", "high", LEAST_SPREAD).alias("__most_chars_per_word"),
+        F.lit(MOST_SYMBOLS).alias("__most_symbols_per_word"),
+        *(F.least(beyond(m, "high"), F.lit(most)).alias(f"__most_{m}") for m, most in MOST_REPEATS.items()),
     )
 
 

@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter
 
@@ -71,6 +72,24 @@ def test_bounds_part_junk_from_clean(spark):
         assert r.kept == (r.doc_id % 20 != 0) and not r.base_failed
 
 
+def test_bounds_follow_their_group(spark):
+    rng = random.Random(5)
+    rows = []
+    for lang, length, most in (("en", 4.0, 0.05), ("de", 6.0, 0.12)):
+        for i in range(900):
+            dup = rng.uniform(0, most) if i % 3 == 0 else 0.0
+            rows.append((lang, "s", 100, 0, rng.gauss(length, length / 20), 0.0, dup, dup / 2))
+    ddl = "lang string, source string, n_words long, n_repeat_words long"
+    measured = spark.createDataFrame(rows, f"{ddl}, {', '.join(f'{m} double' for m in quality.MEASURES)}")
+    got = {r["__lang"]: r for r in quality.bounds(measured).collect()}
+    for m in ("chars_per_word", "dup_line_share", "repeat_word_share"):
+        assert got["en"][f"__most_{m}"] < 0.8 * got["de"][f"__most_{m}"], m
+    # Nothing but the outer tenth decides: nearly five times the distance from the median to it.
+    assert 0.12 < got["en"]["__most_dup_line_share"] < 0.2
+    assert 4.8 < got["en"]["__most_chars_per_word"] < 5.6
+    assert 2.4 < got["en"]["__least_chars_per_word"] < 3.2
+
+
 def test_kept_rows_come_back_whole(spark):
     rows = corpus(40) + [(None, None, None, None, None), (7, "", "en", "s1", "x")] + corpus(40)[:2]
     docs = spark.createDataFrame(rows, "doc_id int, text string, lang string, source string, `n words` string")
