@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from math import ceil, log, log2
+from math import ceil, comb, log2
 
 import numpy as np
 import pandas as pd
@@ -51,21 +51,29 @@ def exact_scheme(shingle: int = 4, distance: int = 4) -> Scheme:
 
 
 def similarity_scheme(
-    n: int, similarity: float = 0.8, shingle: int = 5, words: int = 4, missed: float = 0.02
+    n: int, similarity: float = 0.8, shingle: int = 5, words: int = 4, missed: float = 0.01
 ) -> Scheme:
-    """For texts whose shingle sets have a Jaccard similarity of ``similarity`` or more.
+    """Candidates for texts whose shingle sets have a Jaccard similarity of ``similarity`` or more.
 
-    The angle of such texts gives the mean distance of their fingerprints; one and a half
+    The angle of such texts gives the mean distance of their fingerprints; two and a half
     standard deviations are added.  Keys grow with the logarithm of the number ``n`` of
-    fingerprints, so that buckets stay small, and tables are as many as a link at the mean
-    distance needs to be found but for a share ``missed``.
+    fingerprints, so that buckets stay small, and tables are as many as make the share of
+    texts of just that similarity which no table or distance finds ``missed`` at most, over
+    all distances they may have, whatever ``n``.
     """
     bits = 64 * words
     cosine = 2 * similarity / (1 + similarity)
     share = np.arccos(cosine) / np.pi
-    distance = int(bits * share + 1.5 * np.sqrt(bits * share * (1 - share)))
+    distance = int(bits * share + 2.5 * np.sqrt(bits * share * (1 - share)))
     width = min(48, max(10, ceil(log2(max(2, n) / 128))))
-    count = ceil(log(missed) / log(1 - (1 - share) ** width))
+    near = range(distance + 1)
+    likely = np.array([comb(bits, d) * share**d * (1 - share) ** (bits - d) for d in near])
+    agree = np.array([comb(bits - d, width) / comb(bits, width) for d in near])
+    # What the distance alone loses is no matter of tables.
+    least = (1 - missed) * likely.sum()
+    count = 1
+    while likely @ (1 - (1 - agree) ** count) < least:
+        count += 1
     rng = np.random.default_rng(20)
     tables = tuple(tuple(sorted(map(int, rng.choice(bits, width, False)))) for _ in range(count))
     return Scheme(words, shingle, distance, tables)
@@ -102,9 +110,12 @@ def _mixed(h: np.ndarray, k: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def fingerprint(text: str | None, words: int, size: int) -> bytes:
-    """Big-endian bits, each 1 if set in over half the shingle hashes; 0 without a word."""
+def fingerprint(text: str | None, words: int, size: int, distinct: bool = False) -> bytes:
+    """Big-endian bits, each 1 if set in over half the shingle hashes; 0 without a word.
+
+    ``distinct`` takes each shingle once, however often it is repeated."""
     h = _shingle_hashes(text or "", size)
+    h = np.unique(h) if distinct else h
     out = b""
     for k in range(words):
         ones = np.zeros(64, np.int64)
@@ -115,13 +126,14 @@ def fingerprint(text: str | None, words: int, size: int) -> bytes:
     return out
 
 
-def fingerprints(scheme: Scheme):
+def fingerprints(scheme: Scheme, distinct: bool = False):
     """Column function: text to fingerprint, as binary."""
     words, size = scheme.words, scheme.shingle
 
     @F.pandas_udf("binary")
     def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([fingerprint(t if isinstance(t, str) else None, words, size) for t in texts])
+        whole = (t if isinstance(t, str) else None for t in texts)
+        return pd.Series([fingerprint(t, words, size, distinct) for t in whole])
 
     return of
 
@@ -490,29 +502,144 @@ def near_duplicates(docs: DataFrame, scheme: Scheme, doc_id: str = "doc_id", tex
     return marked.join(classes(marked, scheme), "fp").select("doc_id", "fp", "component_id")
 
 
+# ---------------------------------------------------------------- exact similarity
+
+# A part of a group of candidates holds about so many texts and so many shingles at most.
+PART_TEXTS = 1024
+PART_SHINGLES = 1 << 20
+
+
+def _shingle_sets(size: int):
+    """Column function: text to its distinct shingle hashes in order, as binary."""
+
+    @F.pandas_udf("binary")
+    def of(texts: pd.Series) -> pd.Series:
+        whole = (t if isinstance(t, str) else "" for t in texts)
+        return pd.Series([np.unique(_shingle_hashes(t, size)).tobytes() for t in whole])
+
+    return of
+
+
+def similar(sets: list[bytes], similarity: float, forest: Forest, first: int) -> None:
+    """Join in ``forest`` the sets of at least this Jaccard similarity, each of the first
+    ``first`` with all that follow it.  Two empty sets are alike.
+
+    It ends when all are joined.  Pairs joined already are compared only with others.
+    """
+    sizes = np.array([len(s) // 8 for s in sets], np.int64)
+    codes = pd.factorize(np.frombuffer(b"".join(sets), np.uint64))[0]
+    ends = np.cumsum(sizes)
+    marked = np.zeros(int(codes.max(initial=-1)) + 1, np.int64)
+    for i in range(first):
+        root = forest.find(np.arange(len(sets)))
+        if np.all(root == root[0]):
+            return
+        if np.all(root[i + 1 :] == root[i]):
+            continue
+        own, start = codes[ends[i] - sizes[i] : ends[i]], int(ends[i])
+        marked[own] = 1
+        total = np.concatenate([[0], np.cumsum(marked[codes[start:]])])
+        marked[own] = 0
+        both = total[ends[i + 1 :] - start] - total[ends[i + 1 :] - sizes[i + 1 :] - start]
+        near = np.flatnonzero(both >= similarity * (sizes[i] + sizes[i + 1 :] - both) - 1e-9) + i + 1
+        forest.join(np.full(len(near), i), near)
+
+
+def verified(candidates: DataFrame, similarity: float) -> DataFrame:
+    """Edges ``u``, ``v`` that connect what links of at least this similarity connect.
+
+    ``candidates`` has ``root`` (its group), ``node`` and ``shingles``.  All pairs of a group
+    count, by their whole sets.  A group is dealt into parts of bounded size; the least node
+    stands in all of them, so that copies of one text are connected without a look at pairs
+    of parts.  Only parts of a group that is not connected by then meet in pairs.
+    """
+    edge = "u long, v long"
+
+    def inside(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.drop_duplicates("node").sort_values("node")
+        forest = Forest(len(group))
+        similar(list(group["shingles"]), similarity, forest, len(group))
+        return _star_edges(forest, group["node"].to_numpy(np.int64))
+
+    def between(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("side")
+        forest = Forest(len(group))
+        known = group.groupby("label").ngroup().to_numpy()
+        at = np.unique(known, return_index=True)[1]
+        forest.join(np.arange(len(group)), at[known])
+        similar(list(group["shingles"]), similarity, forest, int((group["side"] == 0).sum()))
+        return _star_edges(forest, group["node"].to_numpy(np.int64))
+
+    sizes = candidates.groupBy("root").agg(
+        F.greatest(
+            F.ceil(F.count(F.lit(1)) / PART_TEXTS),
+            F.ceil(F.sum(F.octet_length("shingles") / 8) / PART_SHINGLES),
+            F.lit(1),
+        ).cast("int").alias("parts"),
+        F.min("node").alias("least"),
+    )
+    # Only groups of several parts need to be looked up.
+    large = cut_lineage(sizes.where("parts > 1"), "large-groups")
+    dealt = candidates.join(large.select("root", "parts"), "root", "left").select(
+        "root", "node", "shingles", F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1))).cast("int").alias("part")
+    )
+    heads = large.join(candidates.withColumnRenamed("node", "least"), ["root", "least"]).select(
+        "root", F.col("least").alias("node"), "shingles", F.explode(F.expr("sequence(0, parts - 1)")).alias("part")
+    )
+    whole = dealt.unionByName(heads).repartition("root", "part")
+    edges = cut_lineage(whole.groupBy("root", "part").applyInPandas(inside, edge), "verified")
+    if large.isEmpty():
+        return edges
+    members = candidates.select("root", "node").join(large.select("root"), "root", "left_semi")
+    own = edges.join(members.select(F.col("node").alias("u")), "u", "left_semi")
+    labels = components(own).withColumnRenamed("root", "label")
+    labelled = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    apart = labelled.groupBy("root").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b")
+    labelled = cut_lineage(labelled.join(apart.select("root"), "root", "left_semi"), "labels")
+    if labelled.isEmpty():
+        return edges
+    rows = dealt.join(labelled.select("node", "label"), "node").join(large.select("root", "parts"), "root")
+    other = F.explode(F.expr("filter(sequence(0, parts - 1), x -> x <> part)"))
+    rows = rows.select("root", "node", "shingles", "label", "part", other.alias("other"))
+    rows = rows.select(
+        "root", "node", "shingles", "label",
+        F.least("part", "other").alias("one"), F.greatest("part", "other").alias("two"),
+        F.when(F.col("part") < F.col("other"), 0).otherwise(1).alias("side"),
+    ).repartition("root", "one", "two")
+    return edges.unionByName(rows.groupBy("root", "one", "two").applyInPandas(between, edge))
+
+
 def drop_copies(
     docs: DataFrame, similarity: float = 0.8, shingle: int = 5, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """One document of each group of near-copies: the one with the least id.
 
-    Links are fingerprints of 256 bits within the distance that ``similarity`` gives.  Among
-    rows of one group with the same id one stays; a group of null ids only keeps one row.
+    Fingerprints of 256 bits over the distinct shingles bring candidates together; a link is
+    a Jaccard similarity of their shingle sets of ``similarity`` or more, worked out whole.
+    Texts of equal fingerprints count as one.  Among rows of one group with the same id one
+    stays; a group of null ids only keeps one row.
     """
     first = similarity_scheme(2, similarity, shingle)
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
     marked = docs.select(
         row,
         F.col(f"`{doc_id}`").alias("id"),
-        fingerprints(first)(F.col(f"`{text}`")).alias("fp"),
+        fingerprints(first, True)(F.col(f"`{text}`")).alias("fp"),
         F.monotonically_increasing_id().alias("place"),
     )
     marked = cut_lineage(marked, "marked")
-    n = marked.agg(F.count_distinct("fp")).first()[0]
-    scheme = similarity_scheme(n, similarity, shingle)
-    slim = marked.select(F.col("id").alias("doc_id"), "fp", "place")
-    chosen = slim.join(classes(slim, scheme), "fp")
-    chosen = chosen.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    # Rows are chosen by their places; their texts move once.
-    places = chosen.groupBy("root").agg(F.min("place").alias("place")).select("place")
+    fps = marked.groupBy("fp").agg(F.min("place").alias("place"))
+    fps = cut_lineage(fps.withColumn("node", node_of(F.col("fp"), first)), "fingerprints")
+    scheme = similarity_scheme(fps.count(), similarity, shingle)
+    near = fps.select("node", "place").join(components(linked(fps, scheme)), "node")
+    texts = marked.select("place", F.col("row").getField(text).alias("text"))
+    sets = near.join(texts, "place").select("root", "node", _shingle_sets(shingle)(F.col("text")).alias("shingles"))
+    roots = components(verified(cut_lineage(sets, "shingles"), similarity))
+    rooted = fps.select("fp", "node").join(roots, "node", "left")
+    rooted = rooted.select("fp", F.coalesce("root", "node").alias("root"))
+    # The least id, null last, then the least place; texts move once.
+    slim = marked.select("id", "fp", "place").join(rooted, "fp")
+    best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "place"))
+    places = slim.groupBy("root").agg(best.alias("best")).select(F.col("best.place").alias("place"))
     kept = marked.join(places, "place", "left_semi")
     return kept.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))

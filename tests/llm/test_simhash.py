@@ -158,3 +158,52 @@ def test_groups_of_null_ids_stay_apart(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     kept = S.drop_copies(docs).collect()
     assert sorted((str(r.doc_id), r.text[0]) for r in kept) == [("4", "a"), ("4", "b"), ("None", "c")]
+
+
+def slow_kept(sets, similarity):
+    up = list(range(len(sets)))
+
+    def find(a):
+        while up[a] != a:
+            a = up[a]
+        return a
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if len(a & sets[j]) >= similarity * len(a | sets[j]):
+                low, high = sorted((find(i), find(j)))
+                up[high] = low
+    return [i for i in range(len(sets)) if find(i) == i]
+
+
+@pytest.mark.parametrize("part", [1024, 3])
+def test_links_are_verified_by_whole_sets(spark, monkeypatch, part):
+    monkeypatch.setattr(S, "PART_TEXTS", part)
+    rng = random.Random(12)
+    texts = []
+    for g in range(40):  # pairs of a similarity of 0.6 to 0.95, chains among them
+        words = ["g%dw%d" % (g, i) for i in range(200)]
+        for k in range(5):
+            texts.append(" ".join(words))
+            for at in rng.sample(range(0, 200, 5), rng.choice([1, 3, 4, 6, 8])):
+                words[at] = "x%d" % rng.randrange(10**6)
+    line = " ".join("r%d" % i for i in range(12))
+    for k in range(4):  # one long repeated line is one line
+        texts.append(" ".join([line] * 30 + ["k%dv%d" % (k, i) for i in range(40)]))
+    sets = []
+    for t in texts:
+        w = t.split()
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)})
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in S.drop_copies(docs).collect()) == slow_kept(sets, 0.8)
+
+
+def test_tables_find_as_much_at_any_size():
+    share = np.arccos(1.6 / 1.8) / np.pi
+    for n in (10**3, 10**5, 15 * 10**6):
+        scheme = S.similarity_scheme(n)
+        drawn = np.random.default_rng(1).random((4000, 256)) < share
+        found = np.zeros(4000, bool)
+        for bits in scheme.tables:
+            found |= ~drawn[:, list(bits)].any(axis=1)
+        assert (found & (drawn.sum(axis=1) <= scheme.distance)).mean() > 0.97
