@@ -8,7 +8,20 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftgrid.llm import ann, bpe, html, language, packing, pii, quality, simhash, toxicity, urls
+from driftgrid.llm import (
+    ann,
+    bpe,
+    html,
+    language,
+    packing,
+    pii,
+    quality,
+    simhash,
+    spelling,
+    token_files,
+    toxicity,
+    urls,
+)
 from driftgrid.llm.frames import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -161,3 +174,19 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document, written to token files in the order of doc_id and read back."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    files = token_files.write(docs)
+    back = token_files.read(files, docs.schema["doc_id"].dataType.simpleString())
+    return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frequent words of all documents, each with its likely form and the root of its group."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spelling.variants(docs).select("word", "form", "root", "n", "n_near", "form_n")
