@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from driftgrid.llm import (
     ann,
     bpe,
+    conversations,
     html,
     language,
     packing,
@@ -23,6 +24,7 @@ from driftgrid.llm import (
     urls,
 )
 from driftgrid.llm.frames import table
+from driftgrid.session import cut_lineage
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -190,3 +192,21 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frequent words of all documents, each with its likely form and the root of its group."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return spelling.variants(docs).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+@query
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest repair and digest of the repaired text of every conversation."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    placed = cut_lineage(conversations.placed(conversations.damage(rows)), "placed")
+    found = cut_lineage(conversations.report(placed), "reports")
+    digests = conversations.digests(conversations.repaired(placed, found))
+    every = rows.select(conversations.key(F.col("conv_id")).alias("_conv"), "conv_id").distinct()
+    both = every.join(found.drop("conv_id"), "_conv", "left").join(digests, "_conv", "left")
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return both.select(
+        "conv_id",
+        *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts),
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
