@@ -3,18 +3,23 @@
 from __future__ import annotations
 
 import base64
+import hashlib
 import re
 import sys
 import unicodedata
+from array import array
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftgrid.llm.frames import text_blocks
+from driftgrid.llm.frames import row_runs, text_blocks
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -97,10 +102,12 @@ class Encoder:
     Texts are first written as numbers of pre-tokens.  The new ones of all texts at hand are
     then merged, ``TOGETHER`` at a time in one pass of the queue: parts of many of them share
     a rank, so that a bucket, once found, serves them all.  Known pre-tokens are kept from
-    one call to the next up to ``KEPT`` of them; a call that ends above starts the next anew.
+    one call to the next up to ``KEPT`` of them, or ``CHARS`` characters; a call that ends
+    above starts the next anew.
     """
 
     KEPT = 250_000
+    CHARS = 8 << 20
     TOGETHER = 60_000
     # From so many positions on, a bucket's parts are joined by array operations.
     WIDE = 128
@@ -112,16 +119,15 @@ class Encoder:
         for token, rank in ranks.items():
             if len(token) == 2:
                 self.pairs[token[0] << 8 | token[1]] = rank
-        joins = [
-            (self.ranks[t[:k]], self.ranks[t[k:]], rank)
-            for t, rank in ranks.items()
-            for k in range(1, len(t))
-            if t[:k] in ranks and t[k:] in ranks
-        ]
-        table = np.array(joins, np.int64).reshape(-1, 3)
-        keys = table[:, 0] << 32 | table[:, 1]
+        keys, joint = array("q"), array("i")
+        for t, rank in ranks.items():
+            for k in range(1, len(t)):
+                if t[:k] in ranks and t[k:] in ranks:
+                    keys.append(ranks[t[:k]] << 32 | ranks[t[k:]])
+                    joint.append(rank)
+        keys, joint = np.array(keys, np.int64), np.array(joint, np.int32)
         order = np.argsort(keys)
-        self.joint, self.joint_rank = keys[order], table[order, 2]
+        self.joint, self.joint_rank = keys[order], joint[order]
         self.single = np.array([ranks.get(bytes([b]), 0) for b in range(256)], np.int32)
         self.forget()
 
@@ -134,7 +140,7 @@ class Encoder:
         return np.where(self.joint[at] == key, self.joint_rank[at], -1)
 
     def forget(self) -> None:
-        self.index = Index()
+        self.index, self.chars = Index(), 0
         # Ids of the known pre-tokens one after the other, and where each begins.
         self.flat = np.zeros(0, np.int32)
         self.begin = np.zeros(1, np.int64)
@@ -142,7 +148,8 @@ class Encoder:
     def learn(self) -> None:
         """Ids of the pre-tokens that have a number but no ids yet."""
         known = len(self.begin) - 1
-        new = list(self.index)[known:]
+        new = list(islice(self.index, known, None))
+        self.chars += sum(map(len, new))
         flat, sizes = [self.flat], []
         for low in range(0, len(new), self.TOGETHER):
             packed = self.ids_of([w.encode("utf-8", "replace") for w in new[low : low + self.TOGETHER]])
@@ -314,7 +321,7 @@ class Encoder:
         coded = [np.fromiter(map(number, parts(t)), np.int32) for t in texts]
         self.learn()
         out = [self._gather(c) for c in coded]
-        if len(self.index) > self.KEPT:
+        if len(self.index) > self.KEPT or self.chars > self.CHARS:
             self.forget()
         return out
 
@@ -410,3 +417,34 @@ def decode(ids: Column, path: str = RANKS) -> Column:
         return pd.Series([b"" if v is None else b"".join(map(name, v.tolist())) for v in values])
 
     return named(ids)
+
+
+def digests(docs: DataFrame, path: str = RANKS, limit: int = 2 << 20) -> DataFrame:
+    """Digests of the ids of every whole text and of what they decode to, in one pass.
+
+    Columns: doc_id, n_tokens, ids_sha256 (of the decimal ids, joined by commas) and
+    decoded_sha256 (of the decoded bytes).  Texts are encoded about ``limit`` characters at a
+    time and ids never leave their task.  Null and empty texts have no ids.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, names = load(path)
+        number, name = [str(i) for i in range(len(names))].__getitem__, names.__getitem__
+        for batch in batches:
+            texts = batch.column(1)
+            for low, high in row_runs(texts, limit):
+                found = encoder.block([t or "" for t in texts.slice(low, high - low).to_pylist()])
+                out = []
+                for ids in map(np.ndarray.tolist, found):
+                    listed = ",".join(map(number, ids)).encode()
+                    decoded = b"".join(map(name, ids))
+                    out.append((len(ids), *(hashlib.sha256(x).hexdigest() for x in (listed, decoded))))
+                columns = zip(*out, strict=True)
+                kinds = (pa.int64(), pa.string(), pa.string())
+                arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
+                made = [batch.column(0).slice(low, high - low), *arrays]
+                yield pa.RecordBatch.from_arrays(made, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, schema)

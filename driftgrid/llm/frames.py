@@ -7,6 +7,8 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 # White space of the contracts: blank, tab, line feed, vertical tab, form feed, return.
@@ -48,3 +50,11 @@ def text_blocks(
         for low, high in zip([0, *cuts], [*cuts, len(batch)], strict=True):
             if high > low:
                 yield batch.iloc[low:high]
+
+
+def row_runs(texts: pa.Array, limit: int) -> Iterator[tuple[int, int]]:
+    """Neighbouring rows whose texts make about ``limit`` bytes together; a larger one stands alone."""
+    if len(texts):
+        sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+        cuts = (np.flatnonzero(np.diff(np.cumsum(sizes, dtype=np.int64) // limit)) + 1).tolist()
+        yield from zip([0, *cuts], [*cuts, len(sizes)], strict=True)

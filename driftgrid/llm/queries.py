@@ -167,15 +167,7 @@ def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids of every document, and of the bytes those ids decode to."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    ids = docs.select("doc_id", bpe.encode(F.col("text")).alias("ids"))
-    both = ids.select("doc_id", "ids", bpe.decode(F.col("ids")).alias("decoded"))
-    return both.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    return bpe.digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 @query

@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import public_tokenizers
@@ -85,3 +86,18 @@ def test_queue_gives_ranks_in_order():
 
 def test_no_rows(spark, empty):
     assert empty("text string").select(bpe.decode(bpe.encode(F.col("text")))).count() == 0
+
+
+def test_digests_in_one_pass(spark, library):
+    texts = TRICKY + made() + ["long words " * 60_000]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, "x y"), (-1, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for limit in (2 << 20, 100):
+        got = {r.doc_id: r for r in bpe.digests(docs, limit=limit).collect()}
+        assert len(got) == len(rows)
+        for doc_id, text in rows:
+            ids, r = library.encode_ordinary(text or ""), got[doc_id]
+            assert r.n_tokens == len(ids)
+            assert r.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+            assert r.decoded_sha256 == hashlib.sha256((text or "").encode()).hexdigest()
+    assert bpe.digests(docs.limit(0)).count() == 0
