@@ -21,22 +21,22 @@ import re
 import struct
 import uuid
 import zlib
-from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain, islice
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftgrid.llm.frames import tasks
+from driftgrid.llm.bpe import Index
+from driftgrid.llm.frames import row_runs, tasks
 from driftgrid.session import cut_lineage, fresh_dir
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -224,18 +224,23 @@ class Reader:
 # A point or comma behind a letter or digit and before a blank is a pre-token of its own.
 _POINT = re.compile(r"(?<=[^\W_])([.,;:!?])(?=[ \n])")
 
+# No letter, digit or blank: a pre-token of its own between blanks.
+_MARK = "\x02"
+
 
 class Encoder:
     """Ids by a file of the tokenizers library, which encodes each stretch between blanks once.
 
     The vocabulary's pattern never takes in a blank, so a text's ids are those of its
     stretches.  Texts of Latin-1 are put in lower case first, as the vocabulary does, and
-    points cut off, which leaves fewer different stretches.  Stretches met lately are kept,
-    between one and two times ``KEPT`` bytes of them.
+    points cut off, which leaves fewer different stretches.  Texts are written as numbers of
+    stretches, whose ids lie in one array; above ``KEPT`` stretches, or ``CHARS`` characters
+    of them, the next call starts anew.
     """
 
-    KEPT = 64 << 20
-    LONG = 64
+    KEPT = 500_000
+    TOGETHER = 512
+    CHARS = 24 << 20
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -246,15 +251,39 @@ class Encoder:
             n.get("type") == "Lowercase"
             for n in (json.loads(self.library.to_str())["normalizer"] or {}).get("normalizers", [])
         )
-        self.known, self.older, self.bytes = {}, {}, 0
-
-    def look_up(self, new: list[str]) -> dict[str, bytes]:
-        found = {}
-        for low in range(0, len(new), 10_000):
-            some = new[low : low + 10_000]
-            for text, e in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                found[text] = array("I", e.ids).tobytes()
-        return found
+        (self.mark,) = self.ids(_MARK)
+        self.forget()
+
+    def forget(self) -> None:
+        self.index, self.chars = Index(), 0
+        # Ids of the known stretches one after the other, and where each begins.
+        self.flat, self.begin = np.zeros(0, "<u4"), np.zeros(1, np.int64)
+
+    def learn(self) -> None:
+        """Ids of the stretches that have a number but no ids yet."""
+        known = len(self.begin) - 1
+        new = list(islice(self.index, known, None))
+        flat, sizes = [self.flat], []
+        # Many are encoded in one go, a mark of one id between them; one with the mark alone.
+        cuts = [i for i, s in enumerate(new) if _MARK in s]
+        for low, high in zip([0, *(i + 1 for i in cuts)], [*cuts, len(new)], strict=True):
+            for at in range(low, high, self.TOGETHER):
+                some = new[at : min(at + self.TOGETHER, high)]
+                ids = self.ids(f" {_MARK} ".join([*some, ""]))
+                ends = np.flatnonzero(ids == self.mark)
+                flat.append(np.delete(ids, ends))
+                sizes.append(np.diff(ends, prepend=-1) - 1)
+            if high < len(new):
+                flat.append(self.ids(new[high]))
+                sizes.append([len(flat[-1])])
+        self.chars += sum(map(len, new))
+        self.flat = np.concatenate(flat)
+        sizes = np.concatenate([np.zeros(0, np.int64), *sizes])
+        self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(sizes)])
+
+    def ids(self, text: str) -> np.ndarray:
+        found = self.library.encode_batch_fast([text], add_special_tokens=False)
+        return np.array(found[0].ids, "<u4")
 
     def stretches(self, text: str | None) -> list[str]:
         if not text:
@@ -271,22 +300,20 @@ class Encoder:
     def encode(self, texts: list[str | None], end: int | None) -> tuple[np.ndarray, np.ndarray]:
         """Number of ids of each text and all ids, with ``end`` behind each text if given."""
         cut = [self.stretches(t) for t in texts]
-        known, older = self.known, self.older
-        missing = {s for c in cut for s in c if s not in known}
-        again = {s: older[s] for s in missing if s in older}
-        new = [s for s in missing if s not in again]
-        short = again | self.look_up([s for s in new if len(s) <= self.LONG])
-        rare = self.look_up([s for s in new if len(s) > self.LONG])
-        known.update(short)
-        self.bytes += sum(len(s) + len(b) + 230 for s, b in short.items())
-        tail = b"" if end is None else array("I", [end]).tobytes()
-        if rare:
-            ids = [b"".join([known[s] if s in known else rare[s] for s in c]) + tail for c in cut]
-        else:
-            ids = [b"".join(map(known.__getitem__, c)) + tail for c in cut]
-        if self.bytes > self.KEPT:
-            self.known, self.older, self.bytes = {}, known, 0
-        return np.array([len(b) // 4 for b in ids], np.int64), np.frombuffer(b"".join(ids), "<u4")
+        upto = np.cumsum([0, *map(len, cut)])
+        codes = np.fromiter(map(self.index.__getitem__, chain.from_iterable(cut)), np.int32, upto[-1])
+        self.learn()
+        begin = self.begin[codes]
+        size = self.begin[codes + 1] - begin
+        stop = np.cumsum(size)
+        ids = self.flat[np.repeat(begin - (stop - size), size) + np.arange(int(size.sum()))]
+        ends = np.concatenate([[0], stop])[upto]
+        sizes = np.diff(ends)
+        if end is not None:
+            ids, sizes = np.insert(ids, ends[1:], end), sizes + 1
+        if len(self.index) > self.KEPT or self.chars > self.CHARS:
+            self.forget()
+        return sizes, ids
 
 
 @lru_cache(maxsize=2)
@@ -294,12 +321,6 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def runs(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
-    """Neighbouring rows that make about ``limit`` together; a larger one stands alone."""
-    cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // limit)) + 1
-    yield from zip([0, *cuts.tolist()], [*cuts.tolist(), len(sizes)], strict=True)
-
-
 # ---------------------------------------------------------------- Spark
 
 
@@ -333,8 +354,7 @@ def write(
         path = f"{folder}/ids-{part:06d}-{uuid.uuid4().hex}.planes"
         for batch in batches:
             names, texts = batch.column(0), batch.column(1)
-            sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(False)
-            for low, high in runs(sizes, settings.chars) if len(sizes) else ():
+            for low, high in row_runs(texts, settings.chars):
                 if out is None:
                     out = Writer(path, names.type, settings)
                 some = texts.slice(low, high - low).to_pylist()

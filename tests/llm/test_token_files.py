@@ -83,6 +83,7 @@ TEXTS = [
     None, "", " ", "\n\n", "One, two. Three", "don't I'LL we've o'clock.", "Árbol, ́x é.", "ΣΑΣ ΟΔΟΣ. ΤΕΛΟΣ,",
     "x),. y!? z;", "mid.dle 3.14, 1,000. ", "İstanbul. ǅ Ǆ", "<|endoftext|> a <|startoftext|>b", "tab\tand\x0bvt\x0cff\rcr\x85nel\xa0nbsp",
     "\x1c\x1d x y　z", "日本語。 テキスト, 한국어. ", "é, ß. µ! ÿ? ª; ²: ¼, _. -, ", "a" * 3000, "ab1" * 900 + ". end", "é" * 200,
+    "\x02", "a\x02 \x02b c", "x \x02\x02. y",
     "emoji 👩‍👩‍👧‍👦. flags 🇫🇷, ok", "WORDİ. İ, KK. ſ,",
 ]
 
@@ -94,10 +95,10 @@ def plain(texts):
 
 def test_ids_are_those_of_the_library():
     rng = random.Random(9)
-    signs = "abcABC .,;:!?'\n\t-_19éÉßÀΣσſİ́̈\xa0‍日"
+    signs = "abcABC .,;:!?'\n\t-_19éÉßÀΣσſİ́̈\xa0\x02‍日"
     texts = TEXTS + ["".join(rng.choice(signs) for _ in range(rng.randint(1, 60))) for _ in range(3000)]
     encoder = tf.Encoder(tf.TOKENIZER)
-    encoder.KEPT = 20_000  # turns over several times
+    encoder.KEPT, encoder.TOGETHER = 900, 50  # starts anew several times
     want = plain(texts)
     for low in range(0, len(texts), 50):
         sizes, ids = encoder.encode(texts[low : low + 50], 2)
