@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from driftgrid.llm import toxicity as X
 
+from tests.llm.lexicon_reference import build
+
 
 @pytest.mark.parametrize(
     "text,want",
@@ -40,9 +42,15 @@ def made(n, toxic, seed):
     return out
 
 
+def taught(spark, toxic, clean, **settings):
+    texts = [(i, t, int(i < len(toxic))) for i, t in enumerate(toxic + clean)]
+    rows = spark.createDataFrame(texts, "doc_id long, text string, toxic int")
+    return X.learn(rows.select("doc_id", "text"), rows.select("doc_id", "toxic"), F.lit(True), X.Settings(**settings))
+
+
 @pytest.fixture(scope="module")
-def lexicon():
-    return X.build(made(300, True, 1), made(900, False, 2))
+def lexicon(spark):
+    return taught(spark, made(300, True, 1), made(900, False, 2))
 
 
 def score(lexicon, *texts):
@@ -66,9 +74,9 @@ def test_held_out_texts(lexicon):
     assert (score(lexicon, *made(200, False, 4)) < 0.5).mean() > 0.97
 
 
-def test_words_of_copied_texts_are_not_learned():
+def test_words_of_copied_texts_are_not_learned(spark):
     copies = ["grumble " + " ".join(f"only{c}{d}" for c in "abcd" for d in "wxyz")] * 60
-    lexicon = X.build(made(200, True, 5) + copies, made(600, False, 6))
+    lexicon = taught(spark, made(200, True, 5) + copies, made(600, False, 6))
     assert not any("oniy" in k for k in lexicon.weights)
 
 
@@ -89,3 +97,62 @@ def test_rows(spark, empty):
     blank = X.learn(none, empty("doc_id long, toxic int"), F.col("doc_id") > 0)
     assert X.rate(none, blank).count() == 0
     assert {r.toxicity.hits for r in X.rate(docs, blank).collect()} == {0}
+
+
+@pytest.mark.parametrize("seed,n", [(11, 60), (12, 300)])
+def test_spark_counts_give_the_lexicon_of_lists(spark, seed, n):
+    toxic, clean = sorted(set(made(n, True, seed))), sorted(set(made(3 * n, False, seed + 1)))
+    got, want = taught(spark, toxic, clean, trial=0), build(toxic, clean)
+    assert got.weights == want.weights and got.exceptions == want.exceptions
+    assert (got.slope, got.offset) == pytest.approx((want.slope, want.offset))
+
+
+def test_lexicon_of_a_table_is_that_of_lists(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "labels"))
+    got = X.learn(docs, labels, F.lit(True), X.Settings(trial=0))
+    rows = docs.join(labels.where("toxic in (0, 1)"), "doc_id").select("toxic", "text").distinct().collect()
+    texts = [sorted(r.text for r in rows if r.toxic == k and r.text is not None) for k in (1, 0)]
+    want = build(*texts)
+    assert got.weights and got.weights == want.weights and got.exceptions == want.exceptions
+
+
+def test_words_that_fail_the_trial_are_left_out(spark):
+    """Words that mark some toxic texts that teach, and none on trial."""
+    import zlib
+
+    toxic, clean = made(400, True, 21), made(900, False, 22)
+    toxic = [t + " byccance" if zlib.crc32(t.encode()) % 5 and i % 8 == 0 else t for i, t in enumerate(toxic)]
+    toxic = [t for t in toxic if "byccance" not in t or zlib.crc32(t.encode()) % 5]
+    settings = {"company": 2}
+    assert any("bycc" in e for e in taught(spark, toxic, clean, trial=0, **settings).weights)
+    assert not any("bycc" in e for e in taught(spark, toxic, clean, **settings).weights)
+
+
+def test_very_long_texts_teach_too(spark):
+    toxic, clean = made(60, True, 31), made(120, False, 32)
+    toxic = [t + " of the" * 12_000 for t in toxic]
+    assert score(taught(spark, toxic, clean), "a vexer to", "a snarkle to").min() >= 0.5
+
+
+def test_entries_that_count_from_the_second_hit_on():
+    lexicon = X.Lexicon({" vex+": 4.0, " snark ": 2.0, " snark +": 1.0}, (" no vexing ",), 1.0, 0.0)
+    found = lexicon.automaton()
+
+    def weight(text):
+        return X.weigh(X.fold(text), found)
+
+    assert weight("vexed") == (0.0, 1) and weight("vexed and vexing") == (4.0, 2)
+    assert weight("vexed, no vexing") == (0.0, 1)
+    assert weight("vexed vexer vex snark") == (10.0, 4)
+    assert weight("snark or snark") == (5.0, 2)
+
+
+def test_words_that_clean_texts_have_once(spark):
+    """A stem in a clean text now and then, and several times in toxic ones."""
+    rng = random.Random(41)
+    toxic = [t + " aggri" + rng.choice("abcdef") * 3 + " and aggri" + rng.choice("ghij") * 2 for t in made(200, False, 42)]
+    clean = [t + (" aggri" + rng.choice("abcdefghij") * 2 if rng.random() < 0.3 else "") for t in made(900, False, 43)]
+    lexicon = taught(spark, toxic, clean)
+    assert score(lexicon, "the aggrixx plain aggriyy of").min() >= 0.5
+    assert score(lexicon, "the aggrixx plain of", "the plain of").max() < 0.5
