@@ -12,7 +12,7 @@ from driftgrid.operators import aggregates as agg
 from driftgrid.operators import enrich, joins, words
 from driftgrid.session import cut_lineage, fresh_dir
 from driftgrid.sources import decoders, readers, sinks, tables
-from driftgrid.streaming import run, stateful
+from driftgrid.streaming import nearest, run, stateful
 
 # Every table is dealt to this many files, each replayed in a micro-batch of its own.
 BATCHES = 5
@@ -233,12 +233,37 @@ def stream_knn(spark, sf_dir):
         spatial.trunc_int(F.col("x")).alias("x"),
         spatial.trunc_int(F.col("y")).alias("y"),
     )
-    writer = stateful.knn_stream(points, tables.knn_queries(session, sf_dir), 4.0, store)
-    run.drain(writer, spark)
-    ranks = session.read.parquet(f"{store}/ranks")
-    last = ranks.agg(F.max("batch_id")).first()[0]
-    lists = ranks.where(F.col("batch_id") == last).drop("batch_id")
-    return lists.withColumn("distance", F.round("distance", 9))
+    lists = nearest.knn_stream(points, tables.knn_queries(session, sf_dir), 4.0, store)
+    run.drain(lists.writer(), spark)
+    last = run.last_batch(session, f"{store}/changes")
+    return lists.current(session, last).withColumn("distance", F.round("distance", 9))
+
+
+@query("stream_knn_queries", same_as="knn_join")
+def stream_knn_queries(spark, sf_dir):
+    """Objects and queries both stream, in interleaved batches; older versions of the queries,
+    and queries that leave, come among them."""
+    session = run.replay_session(spark)
+    store = fresh_dir(spark, "knn")
+    points = _points(session, sf_dir, timed=False).select(
+        "oid",
+        "ts",
+        spatial.trunc_int(F.col("x")).alias("x"),
+        spatial.trunc_int(F.col("y")).alias("y"),
+    )
+    asked = tables.knn_queries_of(_stream(session, sf_dir, "supplier"))
+    hour = F.expr("timestamp_ntz'2024-01-01'") + F.expr("make_interval(0, 0, 0, 0, version)")
+    versions = asked.withColumn("version", F.explode(F.array(F.lit(2), F.lit(1), F.lit(0)))).select(
+        "qid",
+        hour.alias("ts"),
+        (F.col("fx") + 2 - F.col("version")).alias("fx"),
+        "fy",
+        F.when(F.col("version") != 1, F.col("k")).otherwise(0).alias("k"),
+    )
+    lists = nearest.knn_stream(points, versions, 4.0, store)
+    run.drain(lists.writer(), spark)
+    last = run.last_batch(session, f"{store}/changes")
+    return lists.current(session, last).withColumn("distance", F.round("distance", 9))
 
 
 @query("stream_sticky", same_as="ever_inside")

@@ -65,3 +65,8 @@ def seconds(n) -> Column:
     """Day-time interval of ``n`` seconds (a number or a column)."""
     n = n if isinstance(n, Column) else F.lit(float(n))
     return F.make_dt_interval(secs=n.cast("decimal(18,6)"))
+
+
+def span(n: float) -> str:
+    """A number of seconds as window functions take it, in whole microseconds."""
+    return f"{round(n * 1_000_000)} microseconds"

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftgrid.functions.spatial import rect_filter
-from driftgrid.functions.timestamps import seconds
+from driftgrid.functions.timestamps import seconds, span
 from driftgrid.plans import ordered
 
 FUNCTIONS = ("count", "max", "min", "sum", "avg")
@@ -77,8 +77,7 @@ def _window_seconds(size: float, fn: str | Sequence[str]) -> float:
 
 
 def _window(size: float, slide: float | None) -> Column:
-    text = f"{int(size * 1000)} milliseconds"
-    return F.window("ts", text, f"{int((slide or size) * 1000)} milliseconds")
+    return F.window("ts", span(size), span(slide or size))
 
 
 def agg_window(

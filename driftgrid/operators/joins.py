@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from driftgrid.functions import spatial
 from driftgrid.functions.text import any_shared_word, shared_words
-from driftgrid.functions.timestamps import epoch_micros, seconds
+from driftgrid.functions.timestamps import epoch_micros, seconds, span
 from driftgrid.operators.aggregates import latest_per_key
 from driftgrid.plans import ordered, skew
 from driftgrid.plans.grid import TOP_LEVEL, grid_join
@@ -170,7 +170,7 @@ def distance_self_join(
 
 
 def _window(ts: Column, size: float, slide: float) -> Column:
-    return F.window(ts, f"{int(size * 1000)} milliseconds", f"{int(slide * 1000)} milliseconds")
+    return F.window(ts, span(size), span(slide))
 
 
 # Which text a message has: a number in its place while pairs are looked for.

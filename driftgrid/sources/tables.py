@@ -86,8 +86,12 @@ def query_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def knn_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One k-nearest query per supplier, k from 1 to 5."""
+    return knn_queries_of(table(spark, sf_dir, "supplier"))
+
+
+def knn_queries_of(supplier: DataFrame) -> DataFrame:
     k = F.col("s_suppkey")
-    return table(spark, sf_dir, "supplier").select(
+    return supplier.select(
         k.cast("int").alias("qid"),
         (k * 17 % 200).cast("int").alias("fx"),
         (k * 11 % 100).cast("int").alias("fy"),

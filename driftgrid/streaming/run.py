@@ -59,6 +59,13 @@ def drain(writer: DataStreamWriter, spark: SparkSession) -> None:
     start(writer, fresh_dir(spark, "checkpoint"), every=None).awaitTermination()
 
 
+def last_batch(spark: SparkSession, path: str) -> int:
+    """The greatest ``batch_id=…`` folder in ``path``."""
+    name = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = name.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(name)
+    return max(int(f.getPath().getName().split("=")[1]) for f in files)
+
+
 def stored(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """All batches a query wrote, with their ``batch_id``."""
     with_batch = T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])

@@ -178,3 +178,31 @@ def test_labels(spark):
     got = {(r.eid, r.label, r.lang) for r in enrich.enrich_labels(entities, triples).collect()}
     assert got == {(1, "Town", "en"), (5, "Town", "en")}
     assert enrich.match_pattern(triples).count() == 3
+
+
+def test_sliding_counts_by_panes(spark):
+    """Windows that are no whole number of slides, and rows that are counted before they are copied."""
+    rnd = random.Random(8)
+    rows = [(T0 + dt.timedelta(milliseconds=rnd.randrange(60_000)), rnd.choice(["a,b", "a", "", "c,c,a"])) for _ in range(300)]
+    df = spark.createDataFrame(rows, "ts timestamp_ntz, value string")
+    for size, slide in ((10, 4), (30, 1), (4, 2), (0.0015, 0.001)):
+        got = {(r.window_start, r.word): r.n for r in words.word_count_window(df, size, slide).collect()}
+        want = {}
+        step, width = dt.timedelta(seconds=slide), dt.timedelta(seconds=size)
+        for ts, text in rows:
+            start = ts - (ts - dt.datetime(1970, 1, 1)) % step
+            while start + width > ts:
+                for w in text.split(","):
+                    want[(start, w)] = want.get((start, w), 0) + 1
+                start -= step
+        assert got == want
+    plan = words.word_count_window(df, 30, 1)._jdf.queryExecution().optimizedPlan().toString()
+    # Rows are copied into windows above the counts per pane.
+    assert plan.index("Expand") < plan.rindex("Aggregate")
+
+
+def test_windows_of_a_fraction_of_a_millisecond(spark):
+    rows = [(i, 0, T0 + dt.timedelta(microseconds=m), 1.0, 1.0) for i, m in enumerate([0, 1400, 1500, 2999, 3000])]
+    df = spark.createDataFrame(rows, "pid long, oid long, ts timestamp_ntz, x double, y double")
+    got = agg.agg_window(df, "count", None, 0.0015).collect()
+    assert sorted(((r.window_start - T0).microseconds, r.n_points) for r in got) == [(0, 2), (1500, 2), (3000, 1)]

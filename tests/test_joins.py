@@ -392,3 +392,10 @@ def test_inside_objects_in_parts(spark, way):
     parts = query_state.inside_objects(matches, page=10).where(F.col("qid") == 1).collect()
     assert {r.part: r.objects for r in parts} == {p: list(range(10 * p, 10 * p + 10)) for p in range(5)}
     assert {r.n_inside for r in parts} == {50}
+
+
+def test_pairs_of_windows_of_a_fraction_of_a_millisecond(spark):
+    rows = [(i, T0 + dt.timedelta(microseconds=m), 0.0, 0.1 * i, ["a"]) for i, m in enumerate([0, 1200])]
+    df = spark.createDataFrame(rows, "id long, ts timestamp_ntz, x double, y double, words array<string>")
+    assert joins.distance_self_join(df, 1.0, 0.0015).count() == 2
+    assert joins.distance_self_join(df, 1.0, 0.0015, distinct_pairs=True).count() == 2

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from driftgrid.operators import aggregates as agg
 from driftgrid.operators import joins, knn, words
 from driftgrid.sources import readers, sinks
-from driftgrid.streaming import run, stateful
+from driftgrid.streaming import nearest, run, stateful
+from driftgrid.streaming.state_log import StateLog
 
 T0 = dt.datetime(2024, 1, 1)
 SHAPE = "pid bigint, oid bigint, ts timestamp_ntz, x double, y double"
@@ -223,21 +224,65 @@ def test_sticky_over_a_stream(spark, tmp_path):
     same(got, joins.ever_inside(spark.createDataFrame(rows, SHAPE), fixed, 8.0))
 
 
+ASKED = "qid int, ts timestamp_ntz, fx double, fy double, k int"
+
+
+def as_of(spark, lists, rows, queries, cell=4.0):
+    """Lists of the objects' latest places and the queries' latest versions."""
+    objects = agg.latest_per_key(spark.createDataFrame(rows, SHAPE), "oid")
+    last = agg.latest_per_key(queries, "qid") if "ts" in queries.columns else queries
+    return knn.knn_join(objects, last.where("k > 0"), cell)
+
+
 def test_knn_over_a_stream(spark, tmp_path):
     rows = some_points()
-    queries = spark.createDataFrame([(i, 7.0 * i, 50.0 - 5 * i, 1 + i % 4) for i in range(9)], "qid int, fx double, fy double, k int")
+    queries = spark.createDataFrame([(i, 7.0 * i, 50.0 - 5 * i, 1 + i % 4) for i in range(9)] + [(50, 5.0, 5.0, 40)], "qid int, fx double, fy double, k int")
     store = str(tmp_path / "store")
-    run.drain(stateful.knn_stream(feed(spark, tmp_path, rows, SHAPE), queries, 4.0, store), spark)
+    lists = nearest.knn_stream(feed(spark, tmp_path, rows, SHAPE), queries, 4.0, store)
+    run.drain(lists.writer(), spark)
+    assert run.last_batch(spark, f"{store}/changes") == 3
     before = None
     for i in range(4):
-        so_far = agg.latest_per_key(spark.createDataFrame(rows[: 100 * (i + 1)], SHAPE), "oid")
-        ranked = knn.knn_join(so_far, queries, 4.0)
-        same(spark.read.parquet(f"{store}/ranks/batch_id={i}"), ranked)
+        ranked = as_of(spark, lists, rows[: 100 * (i + 1)], queries)
+        same(lists.current(spark, i), ranked)
         if before is not None:
             same(spark.read.parquet(f"{store}/changes/batch_id={i}"), knn.knn_changes(before, ranked))
         before = ranked
 
 
+def test_knn_queries_that_arrive_move_and_leave(spark, tmp_path):
+    """Batches hold objects and queries in no order; every list is exact after every batch."""
+    rnd = random.Random(3)
+    rows = [(i, rnd.randrange(40), T0 + dt.timedelta(seconds=rnd.randrange(3000)), float(rnd.randrange(30)), float(rnd.randrange(30))) for i in range(80)]
+    asked = [(rnd.randrange(12), T0 + dt.timedelta(seconds=rnd.randrange(3000)), rnd.uniform(-9, 40), rnd.uniform(0, 30), rnd.choice([0, 0, 1, 2, 5, 60])) for _ in range(20)]
+    store = str(tmp_path / "store")
+    points = feed(spark, tmp_path, rows, SHAPE, 4, "objects")
+    lists = nearest.knn_stream(points, feed(spark, tmp_path, asked, ASKED, 4, "asked"), 4.0, store)
+    lists.objects.every = lists.lists.every = 2  # tables written whole in between
+    run.drain(lists.writer(), spark)
+    for i in (1, 2, 3):
+        queries = spark.createDataFrame(asked[: 5 * (i + 1)], ASKED)
+        same(lists.current(spark, i), as_of(spark, lists, rows[: 20 * (i + 1)], queries))
+
+
+def test_one_update_ranks_few_queries_and_writes_little(spark, tmp_path):
+    rnd = random.Random(5)
+    objects = [(i, i, T0, rnd.uniform(0, 500), rnd.uniform(0, 500)) for i in range(600)]
+    moves = [(900, 17, T0 + dt.timedelta(seconds=9), 250.0, 250.0)]
+    queries = [(i, rnd.uniform(0, 500), rnd.uniform(0, 500), 1 + i % 4) for i in range(300)]
+    asked = spark.createDataFrame(queries, "qid int, fx double, fy double, k int")
+    for name, rows in (("a", objects), ("b", moves)):
+        feed(spark, tmp_path, rows, SHAPE, 1, name)
+        os.makedirs(tmp_path / "all", exist_ok=True)
+        os.rename(tmp_path / name / "000.parquet", tmp_path / "all" / f"{name}.parquet")
+    lists = nearest.knn_stream(readers.replay(spark, str(tmp_path / "all"), spark.createDataFrame([], SHAPE).schema), asked, 8.0, str(tmp_path / "store"))
+    run.drain(lists.writer(), spark)
+    ranked = lists.lists.changed(spark, 1).count()
+    assert 0 < ranked < 0.05 * len(queries)
+    assert lists.objects.changed(spark, 1).count() == 1
+    same(lists.current(spark, 1), as_of(spark, lists, objects + moves, asked))
+
+
 def test_a_batch_run_again_leaves_one_copy(spark, tmp_path):
     """Same batch id, same folder: written twice, read once."""
     out = str(tmp_path / "out")
@@ -292,3 +337,19 @@ def test_stream_times_do_not_depend_on_the_session_zone(spark, tmp_path, zone):
         same(got, agg.agg_window(spark.createDataFrame(rows, SHAPE), "count", None, 3600.0))
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_state_written_whole_now_and_then(spark, tmp_path):
+    """Every batch writes what it changed; folders of spans long past go."""
+    schema = spark.createDataFrame([], "k long, v long").schema
+    log = StateLog(str(tmp_path), "log", schema, ["k"], every=2)
+    want = {}
+    for b in range(7):
+        rows = [(b % 3, b), (10 + b, b)]
+        want |= dict(rows)
+        assert log.append(spark.createDataFrame(rows, schema), b).count() == 2
+        assert dict(tuple(r) for r in log.before(spark, b + 1).collect()) == want
+    log.append(spark.createDataFrame([(0, 99)], schema), 6)  # run again
+    want = {k: v for k, v in want.items() if v != 6} | {0: 99}
+    assert dict(tuple(r) for r in log.before(spark, 7).collect()) == want | {0: 99}
+    assert not os.path.exists(tmp_path / "log" / "delta-000000000")
