@@ -20,11 +20,13 @@ _PIECE = 1 << 20
 
 @dataclass(frozen=True)
 class Settings:
-    """``sample`` labelled documents per language at most, none longer than ``sample_chars``,
-    train the model; every text is then predicted whole."""
+    """``sample`` labelled texts per language at most train the model, a longer one than
+    ``sample_chars`` as several; up to ``pieces`` parts of each are learned from.  Every text is
+    then predicted whole."""
 
     sample: int = 800
     sample_chars: int = 60_000
+    pieces: int = 12
     buckets: int = 1 << 15
     dim: int = 16
     lengths: tuple[int, ...] = (2, 3, 4)
@@ -32,6 +34,8 @@ class Settings:
     rate: float = 4.0
     # Share of rightly predicted documents that the rejection may cost on held-out labels.
     lost: float = 0.001
+    # Rejection is calibrated apart for texts of up to so many subwords, and for longer ones.
+    classes: tuple[int, ...] = (32, 128, 512, 2048)
     seed: int = 7
 
 
@@ -81,17 +85,26 @@ def grams(data: np.ndarray, settings: Settings) -> tuple[np.ndarray, np.ndarray]
 
 @dataclass
 class Model:
-    """``table[b]`` is what bucket b adds to the logits: its embedding times the softmax layer."""
+    """``table[b]`` is what bucket b adds to the logits: its embedding times the softmax layer.
+
+    ``usual[b]`` is the log frequency of bucket b in the language that has it most.  A text is
+    rejected if its probability is below ``floor`` (no language stands out, not even as in a
+    text half of one and half of another), or its mean ``usual`` below ``limits`` of its class
+    of lengths (no learned language has such subwords: another language, or gibberish).
+    """
 
     langs: list[str]
     table: np.ndarray
     bias: np.ndarray
+    usual: np.ndarray
     temperature: float
-    threshold: float
+    floor: float
+    limits: np.ndarray
     settings: Settings
 
     def predict(self, texts: list[str | None]) -> pd.DataFrame:
-        """Language, calibrated probability and rejection of every whole text.
+        """Language, calibrated probability, rejection and mean ``usual`` of every whole text,
+        and its class of lengths.
 
         A null text or one without a letter is ``und`` with score 0, rejected.
         """
@@ -103,6 +116,7 @@ class Model:
                 parts += [(i, p) for p in pieces(words_of(t))]
         sums = np.zeros((len(texts), len(self.langs)))
         counts = np.zeros(len(texts))
+        usual = np.zeros(len(texts))
         low = 0
         while low < len(parts):
             high, size = low, 0
@@ -118,6 +132,9 @@ class Model:
             first = int(owner[0])
             span = int(owner[-1]) - first + 1
             counts[first : first + span] += np.bincount(rows - first, minlength=span)
+            usual[first : first + span] += np.bincount(
+                rows - first, weights=self.usual[buckets], minlength=span
+            )
             for k in range(len(self.langs)):
                 sums[first : first + span, k] += np.bincount(
                     rows - first, weights=self.table[buckets, k], minlength=span
@@ -129,8 +146,19 @@ class Model:
             best = p.argmax(axis=1)
             pred[seen] = np.array(self.langs, object)[best]
             score[seen] = p[np.arange(len(seen)), best]
-        rejected = (pred == UNKNOWN) | (score < self.threshold)
-        return pd.DataFrame({"lang_pred": pred, "score": score, "rejected": rejected})
+            usual[seen] /= counts[seen]
+        kind = np.searchsorted(self.settings.classes, counts, side="left")
+        rejected = (pred == UNKNOWN) | (score < self.floor) | (usual < self.limits[kind])
+        return pd.DataFrame(
+            {"lang_pred": pred, "score": score, "rejected": rejected, "usual": usual, "kind": kind}
+        )
+
+
+def unlearned(settings: Settings) -> Model:
+    """A model that knows no language: every text is unknown."""
+    none, open_ = np.zeros(0, np.float32), np.full(len(settings.classes) + 1, -np.inf)
+    table = np.zeros((settings.buckets, 0), np.float32)
+    return Model([], table, none, np.zeros(settings.buckets, np.float32), 1.0, 0.0, open_, settings)
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -141,24 +169,28 @@ def softmax(z: np.ndarray) -> np.ndarray:
 def train(texts: list[str], labels: list[str], settings: Settings) -> Model:
     """Stochastic gradient descent over pieces of the texts of varied length.
 
-    One text in five is held out of it to fit the temperature and the rejection threshold.
+    One text in five is held out of it to calibrate the probabilities and the rejection.
     """
     langs = sorted(set(labels))
     rng = np.random.default_rng(settings.seed)
     order = rng.permutation(len(texts))
     held, used = order[: len(order) // 5], order[len(order) // 5 :]
+    # Buckets and counts of a piece, in the narrowest types that hold them.
+    small = np.min_scalar_type(settings.buckets - 1)
     samples: list[tuple[np.ndarray, np.ndarray, int]] = []
+    seen = np.zeros((len(langs), settings.buckets))
     for i in used:
         words, at = words_of(texts[i]), 0
         label = langs.index(labels[i])
         taken = 0
-        while at < len(words) and taken < 8:
+        while at < len(words) and taken < settings.pieces:
             step = int(rng.integers(3, 120))
             data = np.frombuffer(b" " + b" ".join(words[at : at + step]) + b" ", np.uint8)
             ids, n = np.unique(grams(data, settings)[0], return_counts=True)
-            samples.append((ids, (n / n.sum()).astype(np.float32), label))
+            samples.append((ids.astype(small), n.astype(np.min_scalar_type(n.max())), label))
+            seen[label, ids] += n
             # Pieces are spread over the whole text, however long it is.
-            at += max(step, len(words) // 8)
+            at += max(step, len(words) // settings.pieces)
             taken += 1
     embed = rng.normal(0, 0.1, (settings.buckets, settings.dim)).astype(np.float32)
     layer = np.zeros((settings.dim, len(langs)), np.float32)
@@ -166,7 +198,8 @@ def train(texts: list[str], labels: list[str], settings: Settings) -> Model:
     steps, done = max(1, settings.epochs * len(samples)), 0
     for _ in range(settings.epochs):
         for s in rng.permutation(len(samples)):
-            ids, share, label = samples[s]
+            ids, n, label = samples[s]
+            share = n.astype(np.float32) / np.float32(n.sum())
             rate = settings.rate * (1 - done / steps)
             hidden = share @ embed[ids]
             g = softmax(hidden @ layer + bias).astype(np.float32)
@@ -176,38 +209,68 @@ def train(texts: list[str], labels: list[str], settings: Settings) -> Model:
             bias -= rate * 0.01 * g
             embed[ids] -= np.outer(rate * share, back)
             done += 1
-    model = Model(langs, (embed @ layer).astype(np.float32), bias, 1.0, 0.0, settings)
+    share = (seen + 0.5) / (seen + 0.5).sum(axis=1, keepdims=True)
+    model = unlearned(settings)
+    model.langs, model.table, model.bias = langs, (embed @ layer).astype(np.float32), bias
+    model.usual = np.log(share.max(axis=0)).astype(np.float32)
     return calibrated(model, [texts[i] for i in held], [labels[i] for i in held])
 
 
+def _trials(texts: list[str], labels: list[str], settings: Settings) -> list[tuple[str, set[str]]]:
+    """Held-out texts and the languages they hold: whole, beginnings of several lengths, and
+    for every second one its first half after that of the next text of another language."""
+    out = []
+    for i, (text, label) in enumerate(zip(texts, labels, strict=True)):
+        words = text.split()
+        out += [(text, {label})]
+        out += [(" ".join(words[:n]), {label}) for n in (2, 6, 24, 100) if n < len(words)]
+        other = next((j for j in range(i + 1, min(i + 20, len(texts))) if labels[j] != label), None)
+        if i % 2 == 0 and other is not None:
+            more = texts[other].split()
+            size = max(1, min(len(words), len(more)) // 2)
+            out.append((" ".join(words[:size] + more[:size]), {label, labels[other]}))
+    return out
+
+
 def calibrated(model: Model, texts: list[str], labels: list[str]) -> Model:
-    """The temperature with the least log loss, then the highest threshold that loses no
-    more than ``lost`` of the right predictions, and never more than 1.4 times the
-    probability that each language would have by chance: a clear text is kept."""
-    best = (np.inf, 1.0)
-    if not texts or len(model.langs) < 2:
+    """The temperature with the least log loss on whole texts, then the highest bounds that
+    lose no more than ``lost`` of the right predictions: of all for the probability; of each
+    class of lengths for the subwords, less half of the distance to the median.  A class
+    without trials takes the loosest limit."""
+    if not texts or len(model.langs) < 1:
         return model
-    truth = np.array(labels, object)
+    truth, best = np.array(labels, object), (np.inf, 1.0)
     for temperature in (0.1, 0.2, 0.35, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0, 5.0):
         model.temperature = temperature
         out = model.predict(texts)
-        right = np.where(out.lang_pred == truth, out.score, (1 - out.score) / (len(model.langs) - 1))
+        others = max(1, len(model.langs) - 1)
+        right = np.where(out.lang_pred == truth, out.score, (1 - out.score) / others)
         best = min(best, (float(-np.log(np.clip(right, 1e-9, 1)).mean()), temperature))
     model.temperature = best[1]
-    out = model.predict(texts)
-    good = out.score[(out.lang_pred == truth)]
-    if len(good):
-        chance = 1.4 / len(model.langs)
-        model.threshold = min(chance, 0.9 * float(np.quantile(good, model.settings.lost)))
+    trials = _trials(texts, labels, model.settings)
+    out = model.predict([t for t, _ in trials])
+    out = out[[p in held for p, (_, held) in zip(out.lang_pred, trials, strict=True)]]
+
+    limits = np.full(len(model.limits), np.nan)
+    for kind, values in out.groupby("kind").usual:
+        least = values.quantile(model.settings.lost)
+        limits[kind] = least - 0.5 * (values.median() - least)
+    if len(out):
+        model.limits = np.where(np.isnan(limits), np.nanmin(limits), limits)
+        model.floor = float(out.score.quantile(model.settings.lost))
     return model
 
 
 def learn(docs: DataFrame, usable: Column, settings: Settings = Settings(), text: str = "text", lang: str = "lang") -> Model:
     """Train on at most ``settings.sample`` labelled rows of each language, chosen by the
-    hash of their text.  Without labelled rows the model knows no language."""
+    hash of their text; a long text counts as several of ``sample_chars``.  Without labelled
+    rows the model knows no language."""
     t, y = F.col(f"`{text}`"), F.col(f"`{lang}`")
-    able = docs.where(usable & y.isNotNull() & (F.length(t) <= settings.sample_chars))
-    able = able.select(y.alias("label"), t.alias("text")).where(F.col("text").rlike(r"\p{L}"))
+    chars = settings.sample_chars
+    cut = F.regexp_extract_all(t, F.lit(f"(?s).{{1,{chars}}}"), F.lit(0))
+    parts = F.explode(F.when(F.length(t) <= chars, F.array(t)).otherwise(cut))
+    able = docs.where(usable & y.isNotNull() & t.isNotNull()).select(y.alias("label"), parts.alias("text"))
+    able = able.where(F.col("text").rlike(r"\p{L}"))
     able = able.withColumn("h", F.xxhash64("text"))
     # Only hashes are ranked: first in 64 parts of each language, then the best of the parts.
     within = Window.partitionBy("label", F.pmod("h", F.lit(64))).orderBy("h")
@@ -220,8 +283,7 @@ def learn(docs: DataFrame, usable: Column, settings: Settings = Settings(), text
     rows = able.join(F.broadcast(marks), ["label", "h"]).dropDuplicates(["label", "h"])
     found = sorted((r.label, r.text) for r in rows.select("label", "text").collect())
     if not found:
-        empty = np.zeros((settings.buckets, 0), np.float32)
-        return Model([], empty, np.zeros(0, np.float32), 1.0, 0.0, settings)
+        return unlearned(settings)
     return train([t for _, t in found], [y for y, _ in found], settings)
 
 
@@ -236,7 +298,7 @@ def predictor(df: DataFrame, model: Model):
         cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // (4 << 20))) + 1
         for low, high in zip([0, *cuts], [*cuts, len(texts)], strict=True):
             part = [t if isinstance(t, str) else None for t in texts.iloc[low:high]]
-            out.append(shared.value.predict(part))
+            out.append(shared.value.predict(part)[["lang_pred", "score", "rejected"]])
         return pd.concat(out, ignore_index=True)
 
     return predict

@@ -49,6 +49,39 @@ def test_long_texts_are_read_whole(model, monkeypatch):
     assert abs(whole.score[0] - pieces.score[0]) < 1e-9
 
 
+@pytest.mark.parametrize("left", ["aa", "bb", "cc"])
+def test_languages_never_learned_are_rejected(left):
+    rows = [r for r in made(600) if r[2] != left]
+    model = language.train([t for _, t, _ in rows], [y for _, _, y in rows], language.Settings())
+    fresh = made(300, 3)
+    out = model.predict([t for _, t, _ in fresh])
+    foreign = [y == left for _, _, y in fresh]
+    assert out.rejected[foreign].mean() >= 0.95
+    assert out.rejected[[not f for f in foreign]].mean() <= 0.02
+    one, other = ([t for _, t, y in fresh if y == k][:20] for k in model.langs)
+    mixed = model.predict([f"{a} {b}" for a, b in zip(one, other)])
+    assert mixed.rejected.sum() <= 1
+
+
+def test_rejection_with_one_language():
+    rows = [r for r in made(300) if r[2] == "aa"]
+    model = language.train([t for _, t, _ in rows], [y for _, _, y in rows], language.Settings())
+    fresh = made(200, 4)
+    out = model.predict([t for _, t, _ in fresh])
+    own = [y == "aa" for _, _, y in fresh]
+    assert out.rejected[own].mean() <= 0.05
+    assert out.rejected[[not o for o in own]].mean() >= 0.9
+
+
+def test_long_labelled_texts_are_learned_from(spark):
+    long = {y: " ".join(t for _, t, z in made(400, 5) if z == y) for y in SYLLABLES}
+    docs = spark.createDataFrame([(t * 3, y) for y, t in long.items()], "text string, lang string")
+    model = language.learn(docs, F.lit(True), language.Settings(sample_chars=2000))
+    assert model.langs == sorted(SYLLABLES)
+    out = model.predict([t for _, t, _ in made(100, 6)])
+    assert (out.lang_pred == [y for _, _, y in made(100, 6)]).mean() >= 0.95
+
+
 def test_rows(spark, empty):
     rows = [(*r, "x") for r in made(150)] + [(900, None, None, "x"), (901, "ka lo", None, "x"), (0, "ka", "aa", "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, language string")
