@@ -234,9 +234,9 @@ def _trials(texts: list[str], labels: list[str], settings: Settings) -> list[tup
 
 def calibrated(model: Model, texts: list[str], labels: list[str]) -> Model:
     """The temperature with the least log loss on whole texts, then the highest bounds that
-    lose no more than ``lost`` of the right predictions: of all for the probability; of each
-    class of lengths for the subwords, less half of the distance to the median.  A class
-    without trials takes the loosest limit."""
+    lose no more than ``lost`` of the right predictions, loosened as the sample is small: of
+    all for the probability, half-way to chance; of each class of lengths for the subwords,
+    less half of the distance to the median.  A class without trials takes the loosest limit."""
     if not texts or len(model.langs) < 1:
         return model
     truth, best = np.array(labels, object), (np.inf, 1.0)
@@ -257,7 +257,8 @@ def calibrated(model: Model, texts: list[str], labels: list[str]) -> Model:
         limits[kind] = least - 0.5 * (values.median() - least)
     if len(out):
         model.limits = np.where(np.isnan(limits), np.nanmin(limits), limits)
-        model.floor = float(out.score.quantile(model.settings.lost))
+        chance = 1 / len(model.langs)
+        model.floor = (chance + float(out.score.quantile(model.settings.lost))) / 2
     return model
 
 
