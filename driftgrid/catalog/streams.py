@@ -11,7 +11,7 @@ from driftgrid.functions import spatial, text, timestamps
 from driftgrid.operators import aggregates as agg
 from driftgrid.operators import enrich, joins, words
 from driftgrid.session import cut_lineage, fresh_dir
-from driftgrid.sources import decoders, readers, sinks, tables
+from driftgrid.sources import decoders, paced, readers, sinks, tables
 from driftgrid.streaming import nearest, run, stateful
 
 # Every table is dealt to this many files, each replayed in a micro-batch of its own.
@@ -279,14 +279,31 @@ def stream_sticky(spark, sf_dir):
 
 @query("stream_upsert_queries", same_as="latest_query")
 def stream_upsert_queries(spark, sf_dir):
-    """The query set in force after the last batch of versions."""
-    session = run.replay_session(spark)
-    store = fresh_dir(spark, "queries")
+    """The query set in force after the last batch of versions, kept in the state store."""
+    session = run.keep_state_on_disk(run.replay_session(spark))
     versions = tables.query_versions_of(_points(session, sf_dir, timed=False))
-    run.drain(stateful.upsert_stream(versions, store), spark)
-    sets = session.read.parquet(f"{store}/queries")
-    last = sets.agg(F.max("batch_id")).first()[0]
-    return sets.where(F.col("batch_id") == last).drop("batch_id")
+    return run.collected(spark, stateful.upsert_stream(versions), "update", ["qid"])
+
+
+@query(
+    "stream_replay_rate",
+    """select event_id, row_number() over (order by ts nulls first, event_id nulls first) - 1 place
+    from events""",
+)
+def stream_replay_rate(spark, sf_dir):
+    """All events once and in order, at a rate that brings a twelfth of them every half
+    second; the query is stopped after half of them and started again."""
+    session = run.replay_session(spark)
+    events = tables.table(session, sf_dir, "events")
+    laid, out = fresh_dir(spark, "laid"), fresh_dir(spark, "paced")
+    paced.lay_out(events, ["ts", "event_id"], laid)
+    n = events.count()
+    progress, checkpoint = fresh_dir(spark, "progress"), fresh_dir(spark, "checkpoint")
+    for until in (n // 2, n):
+        rows = paced.paced(session, laid, events.schema, n / 6, 0.5, progress)
+        places = rows.select("event_id", paced.PLACE)
+        run.drain_paced(run.to_batches(places, out, "append"), checkpoint, progress, until)
+    return run.stored(session, out, places.schema).drop("batch_id")
 
 
 @query(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ast
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,7 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from driftgrid.functions.timestamps import as_calendar, as_instant
 from driftgrid.session import fresh_dir
+from driftgrid.sources.paced import noted
 
 
 def event_time(df: DataFrame, lateness: str, ts: str = "ts") -> DataFrame:
@@ -98,6 +100,35 @@ def collected(
     return last_updates(out, keys) if keys else out.drop("batch_id")
 
 
+def drain_paced(writer: DataStreamWriter, checkpoint: str, progress: str, until: int) -> list[int]:
+    """Run a query over the source ``paced`` at least to the place ``until``; rows of each batch."""
+    sizes: dict[int, int] = {}
+    end = offered = noted(progress)
+    query = start(writer, checkpoint, "0 seconds")
+    if offered >= until:
+        query.processAllAvailable()
+    while end < until and query.isActive:
+        query.awaitTermination(0.1)
+        for p in query.recentProgress:
+            source = p.sources[0]
+            if p.numInputRows:
+                sizes[p.batchId] = p.numInputRows
+            if source.endOffset:
+                end = max(end, ast.literal_eval(source.endOffset)["place"])
+    query.stop()
+    if query.exception() is not None:
+        raise query.exception()
+    return [sizes[k] for k in sorted(sizes)]
+
+
+def keep_state_on_disk(session: SparkSession) -> SparkSession:
+    """State beyond the memory: RocksDB, whose checkpoints hold what a batch changed."""
+    provider = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    session.conf.set("spark.sql.streaming.stateStore.providerClass", provider)
+    session.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+    return session
+
+
 def replay_session(spark: SparkSession) -> SparkSession:
     """A session whose state is split over as many partitions as there are cores."""
     session = spark.newSession()

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from driftgrid.operators import aggregates as agg
 from driftgrid.operators import joins, knn, words
-from driftgrid.sources import readers, sinks
+from driftgrid.sources import paced, readers, sinks
 from driftgrid.streaming import nearest, run, stateful
 from driftgrid.streaming.state_log import StateLog
 
@@ -206,11 +206,65 @@ def test_a_point_that_comes_before_the_entry_it_follows(spark, tmp_path):
 
 def test_query_set_over_a_stream(spark, tmp_path):
     store = str(tmp_path / "store")
-    run.drain(stateful.upsert_stream(feed(spark, tmp_path, some_versions(), VERSION), store), spark)
-    sizes = [spark.read.parquet(f"{store}/queries/batch_id={i}").count() for i in range(4)]
-    assert sizes == [13] * 4
-    last = spark.read.parquet(f"{store}/queries/batch_id=3")
-    same(last, agg.latest_per_key(spark.createDataFrame(some_versions(), VERSION), "qid", "ts"))
+    session = run.keep_state_on_disk(run.replay_session(spark))
+    changes = stateful.upsert_stream(feed(session, tmp_path, some_versions(), VERSION))
+    query = run.start(run.to_batches(changes, store, "update"), str(tmp_path / "check"), None)
+    query.awaitTermination()
+    out = run.stored(session, store, changes.schema)
+    same(
+        run.last_updates(out, ["qid"]),
+        agg.latest_per_key(spark.createDataFrame(some_versions(), VERSION), "qid", "ts"),
+    )
+
+
+def test_upserts_write_the_state_of_their_own_queries(spark, tmp_path):
+    rows = [(q, T0, float(q), 0.0, 1.0, 1.0) for q in range(300)]
+    rows += [(q, T0 + dt.timedelta(hours=1), float(q), 0.0, 2.0, 2.0) for q in (3, 4) for _ in range(150)]
+    session = run.keep_state_on_disk(run.replay_session(spark))
+    schema = "qid int, ts timestamp_ntz, x_min double, y_min double, x_max double, y_max double"
+    changes = stateful.upsert_stream(feed(session, tmp_path, rows, schema, parts=2))
+    store = str(tmp_path / "store")
+    query = run.start(run.to_batches(changes, store, "update"), str(tmp_path / "check"), None)
+    query.awaitTermination()
+    updated = [p.stateOperators[0].numRowsUpdated for p in query.recentProgress if p.numInputRows]
+    assert updated == [300, 2]
+    assert run.stored(session, store, changes.schema).where("batch_id = 1").count() == 2
+
+
+def paced_rows(spark, laid, schema, rate, step, tmp_path, until, out):
+    progress = str(tmp_path / "progress")
+    rows = paced.paced(spark, laid, schema, rate, step, progress)
+    return run.drain_paced(run.to_batches(rows, out, "append"), str(tmp_path / "check"), progress, until)
+
+
+def test_replay_at_a_rate(spark, tmp_path):
+    """Batches are whole slots of the rate; a restart goes on; every row comes once, in order."""
+    rows = some_points()
+    random.Random(3).shuffle(rows)
+    rows.append((400, None, None, None, 1.0))
+    df = spark.createDataFrame(rows, SHAPE).repartition(3)
+    laid, out = str(tmp_path / "laid"), str(tmp_path / "out")
+    paced.lay_out(df, ["ts", "pid"], laid, rows_per_file=37)
+    begun = time.monotonic()
+    first = paced_rows(spark, laid, df.schema, 25, 1.0, tmp_path, 150, out)
+    assert 150 <= sum(first) <= 25 * (time.monotonic() - begun) + 25
+    assert all(n % 25 == 0 for n in first)
+    second = paced_rows(spark, laid, df.schema, 25, 1.0, tmp_path, 401, out)
+    assert all(n % 25 == 0 for n in second[:-1])
+    assert paced_rows(spark, laid, df.schema, 25, 1.0, tmp_path, 401, out) == []
+    got = spark.read.parquet(out).orderBy("place").collect()
+    assert [r.place for r in got] == list(range(401))
+    want = sorted(rows, key=lambda r: (r[2] is not None, r[2] or T0, r[0]))
+    assert [tuple(r)[:5] for r in got] == want
+
+
+def test_replay_of_an_empty_table(spark, tmp_path):
+    df = spark.createDataFrame([], SHAPE)
+    paced.lay_out(df, ["ts", "pid"], str(tmp_path / "laid"))
+    out = str(tmp_path / "out")
+    assert paced_rows(spark, str(tmp_path / "laid"), df.schema, 10, 0.5, tmp_path, 0, out) == []
+    with pytest.raises(ValueError):
+        paced.paced(spark, "x", df.withColumnRenamed("x", "place").schema, 1, 1, "y")
 
 
 def test_sticky_over_a_stream(spark, tmp_path):
