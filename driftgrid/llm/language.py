@@ -236,7 +236,7 @@ def calibrated(model: Model, texts: list[str], labels: list[str]) -> Model:
     """The temperature with the least log loss on whole texts, then the highest bounds that
     lose no more than ``lost`` of the right predictions, loosened as the sample is small: of
     all for the probability, half-way to chance; of each class of lengths for the subwords,
-    less half of the distance to the median.  A class without trials takes the loosest limit."""
+    less their distance to the median again.  A class without trials takes the loosest limit."""
     if not texts or len(model.langs) < 1:
         return model
     truth, best = np.array(labels, object), (np.inf, 1.0)
@@ -254,7 +254,7 @@ def calibrated(model: Model, texts: list[str], labels: list[str]) -> Model:
     limits = np.full(len(model.limits), np.nan)
     for kind, values in out.groupby("kind").usual:
         least = values.quantile(model.settings.lost)
-        limits[kind] = least - 0.5 * (values.median() - least)
+        limits[kind] = least - (values.median() - least)
     if len(out):
         model.limits = np.where(np.isnan(limits), np.nanmin(limits), limits)
         chance = 1 / len(model.langs)
