@@ -8,6 +8,7 @@ from driftgrid.catalog.registry import PLANAR_LAT, PLANAR_LNG, query
 from driftgrid.functions import spatial
 from driftgrid.operators import aggregates as agg
 from driftgrid.operators import words
+from driftgrid.operators.reducers import Reducer, fold_windows
 from driftgrid.sources import decoders, tables
 
 RECT = "60,70,20,10"
@@ -241,3 +242,47 @@ def planar_to_latlng(spark, sf_dir):
     return tables.trips(spark, sf_dir).select(
         "moid", "tripid", F.round(p["lat"], 9).alias("lat"), F.round(p["lng"], 9).alias("lng")
     )
+
+
+def _before(x, pid, x2, pid2):
+    """Whether a point comes before another: the greater x, then the lesser id; absent ones last."""
+    first = (x > x2) | ((x == x2) & (pid < pid2))
+    return (first.fillna(False) | x2.isna()) & x.notna()
+
+
+def _two_best(a, b):
+    out = a.copy()
+    out["n"] = a.n + b.n
+    left = _before(a.x, a.pid, b.x, b.pid)
+    low, low_pid = b.x.where(left, a.x), b.pid.where(left, a.pid)
+    out["x"], out["pid"] = a.x.where(left, b.x), a.pid.where(left, b.pid)
+    next_, next_pid = a.x2.where(left, b.x2), a.pid2.where(left, b.pid2)
+    stays = _before(next_, next_pid, low, low_pid)
+    out["x2"], out["pid2"] = next_.where(stays, low), next_pid.where(stays, low_pid)
+    return out
+
+
+@query(
+    "agg_window_user",
+    f"""with w as (select time_bucket(interval '2 hours', ts) - k * interval '2 hours' window_start, pid, x
+        from points cross join (select unnest(range(3)) k) where {INSIDE}),
+    r as (select *, row_number() over (partition by window_start order by x desc, pid) p from w)
+    select window_start, window_start + interval '6 hours' window_end, count(*) n,
+           max(case when p = 1 then x end) x, max(case when p = 1 then pid end) pid,
+           max(case when p = 2 then x end) x2, max(case when p = 2 then pid end) pid2
+    from r group by 1""",
+)
+def agg_window_user(spark, sf_dir):
+    """The two points of greatest x in every sliding window, by a reducer of the user's own."""
+    two_best = Reducer(
+        {
+            "n": "cast(1 as bigint)",
+            "x": "x",
+            "pid": "cast(pid as bigint)",
+            "x2": "cast(null as double)",
+            "pid2": "cast(null as bigint)",
+        },
+        _two_best,
+    )
+    rect = decoders.parse_rect(RECT)
+    return fold_windows(tables.points(spark, sf_dir), two_best, 6 * HOUR, 2 * HOUR, rect=rect)
