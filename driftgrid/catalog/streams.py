@@ -11,7 +11,7 @@ from driftgrid.functions import spatial, text, timestamps
 from driftgrid.operators import aggregates as agg
 from driftgrid.operators import enrich, joins, words
 from driftgrid.session import cut_lineage, fresh_dir
-from driftgrid.sources import decoders, paced, readers, sinks, tables
+from driftgrid.sources import decoders, paced, pushed, readers, sinks, tables
 from driftgrid.streaming import nearest, run, stateful
 
 # Every table is dealt to this many files, each replayed in a micro-batch of its own.
@@ -153,15 +153,15 @@ def stream_late_rows(spark, sf_dir):
     "select concat_ws(',', qid, pid, oid) line from hits",
 )
 def stream_output_lines(spark, sf_dir):
-    """Matches of every batch written as lines of a user's own format, and read back."""
+    """Matches of every batch pushed as lines of a user's own format, and read back."""
     session = run.replay_session(spark)
     matches = joins.range_join(
         _points(session, sf_dir, timed=False), tables.boxes(session, sf_dir), CELL
     )
     line = F.concat_ws(",", *(F.col(c).cast("string") for c in ("qid", "pid", "oid")))
     path = fresh_dir(spark, "lines")
-    run.drain(sinks.write_output(matches, line, path), spark)
-    return session.read.text(path).select(F.col("value").alias("line"))
+    run.drain(sinks.push_lines(matches, line, path), spark)
+    return pushed.read_pushed(session, path).select(F.col("value").alias("line"))
 
 
 @query("stream_word_count", same_as="word_count_window")
