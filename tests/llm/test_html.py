@@ -26,6 +26,21 @@ def test_main_role_and_class_landmarks():
     assert text("<p>only</p><div hidden>h</div><div style='display: none'>d</div>") == "only"
 
 
+def test_the_larger_of_main_part_and_article():
+    assert text("<main><h1>Title</h1><p>lead of some words</p><article>teaser</article><p>rest</p></main>") == "Title\nlead of some words\nteaser\nrest"
+    assert text("<div class=story-text>teaser</div><main><p>the whole body</p></main>") == "the whole body"
+    # What every page of the host says does not speak for its part.
+    same = "<main><p>the house shows these same ten words on all pages</p></main>"
+    pages = [f"{same}<article>own{k} text{k} only</article>" for k in range(3)]
+    assert [t for t, _ in H.main_texts(pages)] == [f"own{k} text{k} only" for k in range(3)]
+
+
+def test_text_blocks_of_an_article_stay():
+    page = "<article><p class=legal>a</p><h2 class='tags-intro'>b</h2><p class=related>c</p><p class=ad>d</p><div class=related>e</div><p>x <math><mi>y</mi></math><object>z</object></p></article>"
+    assert text(page) == "a\nb\nc\nx yz"
+    assert text("<p class=legal>a</p><p>b</p>") == "b"
+
+
 def test_odd_markup():
     assert text("") == "" and text("plain < text") == "plain < text"
     assert text("<p title='a>b'>x</p><P>y") == "x\ny"
@@ -83,3 +98,35 @@ def test_rows(spark, empty):
             assert r.text == f"text {r.page_id - 10}"
         assert r.n_chars == len(r.text)
     assert H.extract(empty("page_id long, url string, html string")).count() == 0
+
+
+def site(n, menu_on):
+    """Pages without landmarks, some with a menu, one pair of equal ones, one with an article."""
+    menu = "<ul>" + "".join(f"<li>entry number {i}</li>" for i in range(6)) + "</ul>"
+    pages = [f"{menu if k in menu_on else ''}<p>{' '.join(f'w{k}x{i}' for i in range(30))}</p>" for k in range(n)]
+    pages += [pages[-1], f"<div>{menu}</div><article>own text</article>", "", None]
+    return pages
+
+
+def test_texts_do_not_depend_on_the_size_of_shards(spark):
+    pages = site(120, {3, 50, 90})
+    rows = [(i, "http://b.org/x", p) for i, p in enumerate(pages)] + [(500, "http://c.org/", pages[3])]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    whole = {r.page_id: r.text for r in H.extract(df, shard_chars=1 << 20).collect()}
+    parts = {r.page_id: r.text for r in H.extract(df, shard_chars=600).collect()}
+    assert whole == parts and len(whole) == len(rows)
+    assert not any("entry number" in whole[i] for i in (3, 50, 90))
+    # A host of its own has no other page to compare with.
+    assert whole[500].startswith("entry number 0") and whole[121] == "own text"
+    for i in range(121):
+        assert whole[i].startswith("w")
+
+
+def test_window_hashes_meet_where_runs_are_equal():
+    rng = np.random.default_rng(5)
+    tokens = [f"t{x}" for x in rng.integers(0, 2, 300)]
+    got = H.window_hashes(tokens, 4)
+    runs = [tuple(tokens[i : i + 4]) for i in range(297)]
+    assert len(got) == 297 and len({*got.tolist()}) == len({*runs})
+    assert len({*zip(got.tolist(), runs, strict=True)}) == len({*runs})
+    assert len(H.window_hashes(tokens[:3], 4)) == 0
