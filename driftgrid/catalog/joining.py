@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from driftgrid.catalog.decoding import DAILY_CHANGES, daily_changes
@@ -10,7 +9,7 @@ from driftgrid.catalog.registry import query
 from driftgrid.functions import formats, spatial, text, timestamps
 from driftgrid.operators import enrich, joins, knn, query_state
 from driftgrid.operators.aggregates import latest_per_key
-from driftgrid.plans import skew
+from driftgrid.plans import ordered, skew
 from driftgrid.sources import decoders, tables
 
 CELL = 16.0
@@ -182,8 +181,8 @@ def corner_lists(spark, sf_dir):
     """Points in the corner lists of decoded query lines; only two corners make a box."""
     boxes = tables.boxes(spark, sf_dir)
     m = boxes.count()
-    at = F.row_number().over(Window.orderBy("qid")) - 1
-    named = boxes.withColumn("at", at).withColumn("line", formats.query_line(F.col("qid"), *(F.col(b) for b in joins.BOUNDS)))
+    placed = ordered.positions(boxes, [], ["qid"], "at")
+    named = placed.withColumn("line", formats.query_line(F.col("qid"), *(F.col(b) for b in joins.BOUNDS)))
     third = F.concat_ws(":", F.col("x_min").cast("string"), F.col("y_max").cast("string"))
     line = (
         F.when(F.col("qid") % 3 == 0, F.array_join(F.slice(F.split("line", ","), 1, 2), ","))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftgrid.functions.spatial import rect_filter
-from driftgrid.functions.timestamps import seconds, span
+from driftgrid.functions.timestamps import epoch_micros, seconds, span
 from driftgrid.plans import ordered
 
 FUNCTIONS = ("count", "max", "min", "sum", "avg")
@@ -109,13 +109,35 @@ def agg_window(
     return _filled(out, fn, size) if fill_empty else out
 
 
+# Numbers a row is made into at once when a range of them is written out.
+SPREAD = 4096
+
+
+def _numbers(df: DataFrame, last: str, name: str) -> DataFrame:
+    """A row per whole number ``name`` from 0 to ``last``, however many those are.
+
+    Ranges are cut in three steps, with rows dealt anew in between, so that neither a row nor
+    a task holds a long one.
+    """
+    df = df.withColumns({"_low": F.lit(0).cast("bigint"), "_high": F.col(last).cast("bigint")})
+    for width in (SPREAD**2, SPREAD, 1):
+        cut = df.withColumn("_low", F.explode(F.sequence("_low", "_high", F.lit(width).cast("bigint"))))
+        df = cut.withColumn("_high", F.least("_high", F.col("_low") + (width - 1)))
+        if width > 1:
+            df = df.repartition("_low", last)
+    return df.withColumnRenamed("_low", name).drop("_high")
+
+
 def _filled(windows: DataFrame, fn: str | Sequence[str], size: float) -> DataFrame:
     step = seconds(size)
     nxt = ordered.with_next(
         windows.select("window_start"), [], "window_start", size * ordered.CHUNK_ROWS, "_next"
     )
-    gaps = nxt.where(F.col("_next") > F.col("window_start") + step).select(
-        F.explode(F.sequence(F.col("window_start") + step, F.col("_next") - step, step)).alias(
+    apart = epoch_micros(nxt, "_next") - epoch_micros(nxt, "window_start")
+    # Number of the last empty window behind a window, from 0.
+    missing = nxt.withColumn("_last", F.round(apart / (size * 1_000_000)).cast("bigint") - 2)
+    gaps = _numbers(missing.where("_last >= 0"), "_last", "_nth").select(
+        (F.col("window_start") + seconds((F.col("_nth") + 1) * F.lit(size).cast("decimal(18,6)"))).alias(
             "window_start"
         )
     )

@@ -53,8 +53,11 @@ def test_windows(spark):
         assert r.window_end == r.window_start + dt.timedelta(seconds=100)
 
 
-def test_empty_windows_on_request(spark):
-    rows = some(40)
+@pytest.mark.parametrize("spread", [3, 4096])
+def test_empty_windows_on_request(spark, monkeypatch, spread):
+    # Gaps longer than the spread are made in three steps.
+    monkeypatch.setattr(agg, "SPREAD", spread)
+    rows = some(40) if spread > 3 else [(0, 1, at(0), 30.0, 30.0), (1, 1, at(230), 30.0, 30.0), (2, 1, at(250), 30.0, 30.0)]
     df = spark.createDataFrame(rows, SHAPE)
     got = agg.agg_window(df, ["count", "max", "avg"], RECT, 10.0, fill_empty=True).collect()
     expected = by_window(kept(rows), 10)
@@ -66,6 +69,14 @@ def test_empty_windows_on_request(spark):
         assert r.avg_value == (sum(xs) / len(xs) if xs else 0.0)
 
 
+def test_long_gaps_and_fractional_windows(spark):
+    rows = [(0, 1, at(0), 30.0, 30.0), (1, 1, at(50), 30.0, 30.0)]
+    df = spark.createDataFrame(rows, SHAPE)
+    filled = agg.agg_window(df, "count", RECT, 0.0025, fill_empty=True)
+    got = filled.agg(F.count("*"), F.countDistinct("window_start"), F.sum("n_points"), F.max("window_end")).first()
+    assert tuple(got) == (20_001, 20_001, 2, at(50.0025))
+
+
 @pytest.mark.parametrize("chunk", [1, 3, 4096])
 def test_landmarks(spark, monkeypatch, chunk):
     monkeypatch.setattr(ordered, "CHUNK_ROWS", chunk)
