@@ -29,6 +29,8 @@ from driftgrid.operators.aggregates import inside
 
 # A task's states are sent on when it holds so many keys.
 HELD_KEYS = 200_000
+# Rows that are folded at once, at least.
+FOLD_ROWS = 50_000
 
 Merge = Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]
 
@@ -112,19 +114,20 @@ def _folded(table: pa.Table, keys: Sequence[str], merge: Merge) -> pa.Table:
 
 def _partial(keys: Sequence[str], merge: Merge, held: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = None
+        # Rows wait until they are as many as the states held, so that a state is not folded
+        # anew with every batch.
+        waiting, n, states = [], 0, 0
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            table = pa.Table.from_batches([batch])
-            if kept is not None:
-                table = pa.concat_tables([kept, table])
-            kept = _folded(table, keys, merge)
-            if kept.num_rows > held:
-                yield from kept.to_batches()
-                kept = None
-        if kept is not None:
-            yield from kept.to_batches()
+            waiting.append(pa.Table.from_batches([batch]))
+            n += batch.num_rows
+            if n - states >= max(FOLD_ROWS, states):
+                kept = _folded(pa.concat_tables(waiting), keys, merge)
+                waiting, n, states = [kept], kept.num_rows, kept.num_rows
+                if states > held:
+                    yield from kept.to_batches()
+                    waiting, n, states = [], 0, 0
+        if n:
+            yield from _folded(pa.concat_tables(waiting), keys, merge).to_batches()
 
     return run
 

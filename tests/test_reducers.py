@@ -4,8 +4,10 @@ import datetime as dt
 import random
 from decimal import Decimal
 
+import pyarrow as pa
 import pytest
 
+from driftgrid.operators import reducers
 from driftgrid.operators.reducers import Reducer, fold_by_key, fold_windows, lawful
 
 T0 = dt.datetime(2024, 1, 1)
@@ -48,6 +50,20 @@ def expected(groups):
     return out
 
 
+def test_a_task_folds_many_batches(monkeypatch):
+    monkeypatch.setattr(reducers, "FOLD_ROWS", 20)
+    rnd = random.Random(3)
+    rows = [(rnd.choice([None, 1, 2, 3]), rnd.randrange(100)) for _ in range(500)]
+    table = pa.table({"k": pa.array([r[0] for r in rows], pa.int64()), "v": pa.array([r[1] for r in rows], pa.int64())})
+    for held in (0, 2, 100):
+        total = {}
+        run = reducers._partial(["k"], lambda a, b: a + b, held)
+        for out in run(table.to_batches(max_chunksize=7)):
+            for r in out.to_pylist():
+                total[r["k"]] = total.get(r["k"], 0) + r["v"]
+        assert total == {k: sum(v for k2, v in rows if k2 == k) for k in (None, 1, 2, 3)}
+
+
 @pytest.mark.parametrize("held", [2, 200_000])
 def test_by_key_with_nulls_and_large_ids(spark, held):
     rows = some_rows()
