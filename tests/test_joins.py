@@ -399,3 +399,50 @@ def test_pairs_of_windows_of_a_fraction_of_a_millisecond(spark):
     df = spark.createDataFrame(rows, "id long, ts timestamp_ntz, x double, y double, words array<string>")
     assert joins.distance_self_join(df, 1.0, 0.0015).count() == 2
     assert joins.distance_self_join(df, 1.0, 0.0015, distinct_pairs=True).count() == 2
+
+
+def equal_boxes():
+    """Eleven shapes, each of nine queries, one of which has a second box."""
+    kinds = some_boxes(12, 31)[:9] + some_boxes(60, 32)[40:42]
+    boxes = [dict(b, qid=9 * k + i) for k, b in enumerate(kinds) for i in range(9)]
+    return [*boxes, dict(boxes[0], qid=boxes[-1]["qid"])]
+
+
+def test_equal_boxes_are_joined_once(spark, way):
+    points, boxes = some_points(200, 30), equal_boxes()
+    points_df, boxes_df = frame(spark, points, POINT), frame(spark, boxes, BOX)
+    kinds = joins.box_shapes(boxes_df)
+    held = [b for b in boxes if b["x_min"] <= b["x_max"]]
+    assert kinds.rows.count() == len({(b["x_min"], b["y_min"], b["x_max"], b["y_max"]) for b in held}) <= 11
+    expected = sorted((b["qid"], p["pid"]) for p in points for b in boxes if brute.inside(p, b))
+    got = joins.range_join(points_df, boxes_df, 10.0)
+    assert got.columns == ["pid", "oid", "ts", "x", "y", "qid"]
+    assert sorted((r.qid, r.pid) for r in got.collect()) == expected
+    first = {}
+    for p in points:
+        for b in boxes:
+            if brute.inside(p, b):
+                key = (b["qid"], p["oid"], b["x_min"], b["y_max"])
+                first[key] = min(first.get(key, p["ts"]), p["ts"])
+    rows = joins.first_entries(points_df, boxes_df, 10.0).collect()
+    assert len(rows) == len(first)
+    assert {(r.qid, r.oid, r.x_min, r.y_max): r.entered for r in rows} == first
+
+
+def test_few_equal_boxes_are_taken_as_they_are(spark):
+    assert joins.box_shapes(frame(spark, some_boxes(20, 2), BOX)).members is None
+
+
+def test_sticky_points_of_equal_boxes(spark, way):
+    points = [dict(p, ts=T0 + dt.timedelta(seconds=i)) for i, p in enumerate(some_points(80, 33))]
+    boxes = equal_boxes()[:45]
+    got = joins.ever_inside(frame(spark, points, POINT), frame(spark, boxes, BOX), 10.0)
+    expected = []
+    for b in boxes:
+        entered = set()
+        for p in points:
+            now = brute.inside(p, b)
+            entered |= {p["oid"]} if now else set()
+            if p["oid"] in entered:
+                expected.append((b["qid"], p["pid"], now))
+    assert sorted((r.qid, r.pid, r.inside_now) for r in got.collect()) == sorted(expected)
