@@ -11,6 +11,7 @@ from driftgrid.functions import spatial
 from driftgrid.operators.aggregates import latest_per_key
 from driftgrid.plans import sizing, skew
 from driftgrid.plans.grid import grid_join
+from driftgrid.plans.shapes import shapes
 from driftgrid.session import cut_lineage
 
 # Levels of the density histogram and how cells grow; a last one takes in all objects.
@@ -137,18 +138,20 @@ def knn_join(
     """The k nearest objects (oid, x, y) of every query (qid, fx, fy, k), with ranks.
 
     Objects must be one row each (``latest_per_key``).  Ties in distance go to the
-    lesser oid.  ``by`` runs the queries separately on each group of objects.
+    lesser oid.  ``by`` runs the queries separately on each group of objects.  Queries for the
+    same k and place are answered once.
     Columns: by…, qid, oid, distance, rank.
     """
-    queries = knn_queries(queries)
+    kinds = shapes(knn_queries(queries).dropna(subset=["fx", "fy", "k"]), ["fx", "fy", "k"])
+    queries = kinds.rows
     size = sizing.measure(queries.select("qid", "fx", "fy", "k"), top=F.max("k"))
     max_k = size["top"] or 0
-    objects = objects.select(*by, "oid", "x", "y")
+    objects = _foremost(objects.select(*by, "oid", "x", "y"), max_k, by)
     boxes = _search_boxes(objects, queries, size["n_rows"], cell, by)
     candidates = grid_join(objects, boxes, cell, by)
     d = spatial.dist(F.col("x"), F.col("y"), F.col("fx"), F.col("fy"))
     nearest = Window.partitionBy(*by, "qid").orderBy("distance", "oid")
-    return (
+    return kinds.expand(
         candidates.select(*by, "qid", "k", "oid", d.alias("distance"))
         .withColumn("rank", F.row_number().over(nearest))
         # The literal bound lets every task drop all but its own best before the shuffle.
@@ -157,6 +160,12 @@ def knn_join(
     )
 
 
+def _foremost(objects: DataFrame, k: int, by: Sequence[str]) -> DataFrame:
+    """Of the objects in one spot the ``k`` of least oid: no list can hold another one."""
+    spot = Window.partitionBy(*by, "x", "y").orderBy("oid")
+    return objects.withColumn("_nth", F.row_number().over(spot)).where(F.col("_nth") <= k).drop("_nth")
+
+
 def knn_current(ranked: DataFrame) -> DataFrame:
     """Ranks in force: (qid, oid, rank)."""
     return ranked.select("qid", "oid", "rank")

@@ -446,3 +446,25 @@ def test_sticky_points_of_equal_boxes(spark, way):
             if p["oid"] in entered:
                 expected.append((b["qid"], p["pid"], now))
     assert sorted((r.qid, r.pid, r.inside_now) for r in got.collect()) == sorted(expected)
+
+
+def test_equal_questions_are_answered_once(spark, way, monkeypatch):
+    """Forty queries for four lists, among objects of which many share a spot."""
+    objects = [dict(oid=i, x=float(i % 7), y=float(i % 3)) for i in range(300)]
+    queries = [dict(qid=i, fx=float(i % 4), fy=1.0, k=3 + i % 2) for i in range(40)]
+    asked = []
+    search = knn._search_boxes
+
+    def seen(objects, queries, *rest):
+        asked.append((objects.count(), queries.count()))
+        return search(objects, queries, *rest)
+
+    monkeypatch.setattr(knn, "_search_boxes", seen)
+    got = knn.knn_join(
+        frame(spark, objects, "oid bigint, x double, y double"),
+        frame(spark, queries, "qid int, fx double, fy double, k int"),
+        2.0,
+    )
+    rows = [(r.qid, r.oid, r["rank"]) for r in got.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == brute.knn(objects, queries)
+    assert asked == [(21 * 4, 4)]
