@@ -4,7 +4,8 @@ After a batch only queries are ranked again whose list it can have changed: thos
 updated object in the circle of their k-th distance or among their members, those whose list
 is short while new objects came, and those that are new themselves.  For a full list the
 present distance of its farthest member bounds the search, so that no density of all objects
-is needed.
+is needed.  If a batch moves most of the objects that bound says little, and the density is
+taken.  Queries for the same place and k are ranked once.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from driftgrid.streaming.state_log import StateLog
 
 _QUERY = ("qid", "ts", "fx", "fy", "k")
 _SPOT = ("oid", "ts", "x", "y")
+# What a list depends on, besides the objects.
+_QUESTION = ("fx", "fy", "k")
 
 
 class NearestLists:
@@ -71,13 +74,13 @@ class NearestLists:
             new = self.queries if batch_id == 0 else self.queries.where(F.lit(False))
         arrived = cut_lineage(self._arrived(new, known), "arrived")
         hit = cut_lineage(self._hit(known, arrived, moved), "hit")
-        ranked = self._ranked(hit, arrived, objects)
-        lists = ranked.groupBy("qid").agg(
+        ranked = self._ranked(hit, arrived, moved, objects)
+        lists = ranked.groupBy(*_QUESTION).agg(
             F.sort_array(F.collect_list(F.struct("rank", "oid", "distance"))).alias("members")
         )
         asked = hit.select(*_QUERY).unionByName(arrived)
         none = F.array().cast(self.lists.schema["members"].dataType)
-        rows = asked.join(lists, "qid", "left").withColumn("members", F.coalesce("members", none))
+        rows = asked.join(lists, [*_QUESTION], "left").withColumn("members", F.coalesce("members", none))
         now = self.lists.append(rows, batch_id)
         touched = known.join(now.select("qid"), "qid", "left_semi")
         changes = knn.knn_changes(_exploded(touched), _exploded(now))
@@ -107,57 +110,74 @@ class NearestLists:
     def _hit(self, known: DataFrame, arrived: DataFrame, moved: DataFrame) -> DataFrame:
         """Queries in force that the moved objects may concern, with the members so far."""
         kept = known.where("k > 0").join(arrived.select("qid"), "qid", "left_anti")
+        asked = _questions(kept)
         size, r = F.size("members"), F.col("members")[F.size("members") - 1]["distance"] * (1 + 1e-9)
-        full = kept.where(size >= F.col("k")).withColumn("_r", r)
-        circles = full.select(
-            "qid", "fx", "fy", "_r",
-            (F.col("fx") - F.col("_r")).alias("x_min"), (F.col("fy") - F.col("_r")).alias("y_min"),
-            (F.col("fx") + F.col("_r")).alias("x_max"), (F.col("fy") + F.col("_r")).alias("y_max"),
-        )
+        full = asked.where(size >= F.col("k")).withColumn("_r", r)
+        circles = _around(full.select("qid", *_QUESTION, "_r"))
         d = spatial.dist(F.col("x"), F.col("y"), F.col("fx"), F.col("fy"))
         entered = grid_join(moved.select("oid", "x", "y"), circles, self.cell).where(d <= F.col("_r"))
-        members = kept.select("qid", F.explode("members.oid").alias("oid"))
+        members = asked.select(*_QUESTION, F.explode("members.oid").alias("oid"))
         left = members.join(moved.select("oid"), "oid", "left_semi")
         # A short list holds all objects there are: only new ones can come to it.
         some = moved.where("fresh").limit(1).select(F.lit(True).alias("_some"))
-        short = kept.where(size < F.col("k")).withColumn("_some", F.lit(True)).join(some, "_some", "left_semi")
-        ids = entered.select("qid").unionByName(left.select("qid")).unionByName(short.select("qid"))
-        return kept.join(ids.distinct(), "qid", "left_semi")
-
-    def _ranked(self, hit: DataFrame, arrived: DataFrame, objects: DataFrame) -> DataFrame:
+        short = asked.where(size < F.col("k")).withColumn("_some", F.lit(True)).join(some, "_some", "left_semi")
+        concerned = entered.select(*_QUESTION).unionByName(left.select(*_QUESTION)).unionByName(short.select(*_QUESTION))
+        return kept.join(concerned.distinct(), [*_QUESTION], "left_semi")
+
+    def _ranked(self, hit: DataFrame, arrived: DataFrame, moved: DataFrame, objects: DataFrame) -> DataFrame:
+        """The lists of all that is asked by these queries, with its place and k."""
+        hit = cut_lineage(_questions(hit), "questions")
+        new = arrived.where("k > 0").select(*_QUESTION).distinct()
+        state = hit.agg(F.max("k").alias("most"), F.count_if(F.size("members") < F.col("k")).alias("short"))
+        state = state.crossJoin(new.agg(F.count("*").alias("arrived"))).first()
+        most, anew = state.most or 0, hit.where(F.size("members") < F.col("k"))
+        many = 2 * moved.count() >= objects.count()
+        if many:
+            anew = hit
+        anew = anew.select(*_QUESTION).unionByName(new).distinct().withColumn("qid", F.struct(*_QUESTION))
+        found = None
+        if most and many or state.short or state.arrived:
+            found = knn.knn_join(objects, anew, self.cell)
+        if many and found is not None:
+            return found.select("qid.*", "oid", "distance", "rank")
         full = hit.where(F.size("members") >= F.col("k"))
-        member = full.select("qid", "fx", "fy", "k", F.explode("members.oid").alias("oid"))
+        member = full.select("qid", *_QUESTION, F.explode("members.oid").alias("oid"))
         placed = member.join(objects.select("oid", "x", "y"), "oid")
         d = spatial.dist(F.col("x"), F.col("y"), F.col("fx"), F.col("fy"))
-        bound = placed.groupBy("qid", "fx", "fy", "k").agg((F.max(d) * (1 + 1e-9)).alias("_r"))
-        boxes = bound.select(
-            "qid", "fx", "fy", "k",
-            (F.col("fx") - F.col("_r")).alias("x_min"), (F.col("fy") - F.col("_r")).alias("y_min"),
-            (F.col("fx") + F.col("_r")).alias("x_max"), (F.col("fy") + F.col("_r")).alias("y_max"),
-        )
-        near = grid_join(objects.select("oid", "x", "y"), cut_lineage(boxes, "bounds"), self.cell)
+        bound = placed.groupBy("qid", *_QUESTION).agg((F.max(d) * (1 + 1e-9)).alias("_r"))
+        boxes = cut_lineage(_around(bound).drop("_r"), "bounds")
+        near = grid_join(objects.select("oid", "x", "y"), boxes, self.cell)
         order = Window.partitionBy("qid").orderBy("distance", "oid")
-        state = hit.agg(F.max("k").alias("most"), F.count_if(F.size("members") < F.col("k")).alias("short"))
-        state = state.crossJoin(arrived.agg(F.count_if(F.col("k") > 0).alias("arrived"))).first()
-        most = state.most or 0
         ranked = (
             near.select("qid", "k", "oid", d.alias("distance"))
             .withColumn("rank", F.row_number().over(order))
             .where((F.col("rank") <= most) & (F.col("rank") <= F.col("k")))
             .select("qid", "oid", "distance", "rank")
         )
-        short = hit.where(F.size("members") < F.col("k")).select(*_QUERY)
-        anew = arrived.where("k > 0").unionByName(short)
-        if state.short or state.arrived:
-            found = knn.knn_join(objects, anew, self.cell)
+        if found is not None:
             ranked = ranked.unionByName(found.select("qid", "oid", "distance", "rank"))
-        return ranked
+        return ranked.select("qid.*", "oid", "distance", "rank")
 
     def current(self, spark, batch_id: int) -> DataFrame:
         """The lists after a batch, as ``knn.knn_join`` gives them."""
         return _exploded(self.lists.before(spark, batch_id + 1))
 
 
+def _questions(queries: DataFrame) -> DataFrame:
+    """What queries with lists ask, each once: equal questions have equal lists."""
+    one = queries.select(*_QUESTION, "members").dropDuplicates([*_QUESTION])
+    return one.withColumn("qid", F.struct(*_QUESTION))
+
+
+def _around(circles: DataFrame) -> DataFrame:
+    """The boxes around circles of radius ``_r``."""
+    return circles.select(
+        "*",
+        (F.col("fx") - F.col("_r")).alias("x_min"), (F.col("fy") - F.col("_r")).alias("y_min"),
+        (F.col("fx") + F.col("_r")).alias("x_max"), (F.col("fy") + F.col("_r")).alias("y_max"),
+    )
+
+
 def _exploded(lists: DataFrame) -> DataFrame:
     rows = lists.select("qid", F.inline("members"))
     return rows.select("qid", "oid", "distance", "rank")
