@@ -468,3 +468,31 @@ def test_equal_questions_are_answered_once(spark, way, monkeypatch):
     rows = [(r.qid, r.oid, r["rank"]) for r in got.collect()]
     assert len(rows) == len(set(rows)) and set(rows) == brute.knn(objects, queries)
     assert asked == [(21 * 4, 4)]
+
+
+def test_pairs_without_words(spark, way):
+    rows = some_messages(150, 12)
+    got = joins.close_pairs(words_frame(spark, rows).drop("words"), 5.0, 20.0).collect()
+    expected = {p for p in brute.close_pairs(rows, 5.0) if abs((p[2] - p[3]).total_seconds()) < 20}
+    assert {(r.id1, r.id2, r.ts1, r.ts2) for r in got} == expected
+
+
+def test_few_copies_of_messages_and_no_shuffle_of_pairs(spark, monkeypatch):
+    rnd = random.Random(7)
+    rows = [
+        dict(id=i, ts=T0 + dt.timedelta(seconds=rnd.randrange(4000)), x=rnd.uniform(-90, 90), y=rnd.uniform(-90, 90), words=["a"])
+        for i in range(900)
+    ]
+    copies, join = [], skew.salted_join
+
+    def seen(big, small, keys):
+        copies.append(small.count())
+        return join(big, small, keys)
+
+    monkeypatch.setattr(skew, "salted_join", seen)
+    got = joins.distance_self_join(words_frame(spark, rows), 5.0, 100.0, distinct_pairs=True)
+    expected = {p for p in brute.close_pairs(rows, 5.0) if abs((p[2] - p[3]).total_seconds()) < 100}
+    assert {(r.id1, r.id2, r.ts1, r.ts2) for r in got.collect()} == expected
+    assert copies[0] < 5 * len(rows)
+    plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Join ") == 1
