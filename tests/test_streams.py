@@ -407,3 +407,13 @@ def test_state_written_whole_now_and_then(spark, tmp_path):
     want = {k: v for k, v in want.items() if v != 6} | {0: 99}
     assert dict(tuple(r) for r in log.before(spark, 7).collect()) == want | {0: 99}
     assert not os.path.exists(tmp_path / "log" / "delta-000000000")
+
+
+def test_word_counts_keep_their_state_on_disk(spark, monkeypatch):
+    """Words by windows are as many as the texts bring: the state must not lie in the heap."""
+    from driftgrid.catalog import streams
+
+    kept, keep = [], run.keep_state_on_disk
+    monkeypatch.setattr(streams.run, "keep_state_on_disk", lambda session: kept.append(session) or keep(session))
+    assert streams.stream_word_count(spark, "/root/testdata/sf0.001").count() > 0
+    assert len(kept) == 1
