@@ -496,3 +496,22 @@ def test_few_copies_of_messages_and_no_shuffle_of_pairs(spark, monkeypatch):
     assert copies[0] < 5 * len(rows)
     plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert plan.count("Join ") == 1
+
+
+def test_equal_versions_and_points_of_one_spot_are_joined_once(spark, way, monkeypatch):
+    """Five queries that move alike, and points that come four at a time."""
+    versions = [dict(v, qid=100 * k + v["qid"]) for v in some_versions(6)[:60] for k in range(5)]
+    points = [dict(p, pid=4 * p["pid"] + k) for p in some_points(60, 5) for k in range(4)]
+    met, grid = [], joins.grid_join
+
+    def seen(points, boxes, *rest, **named):
+        met.append((points.count(), boxes.count()))
+        return grid(points, boxes, *rest, **named)
+
+    monkeypatch.setattr(joins, "grid_join", seen)
+    got = joins.moving_range_join(frame(spark, points, POINT), frame(spark, versions, VERSION), 10.0, 300.0)
+    assert got.columns == ["pid", "oid", "ts", "x", "y", "qid", "valid_from"]
+    rows = [(r.qid, r.pid, r.valid_from) for r in got.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == brute.moving_join(points, versions)
+    assert met == [(len({(p["ts"], p["x"], p["y"]) for p in points}), met[0][1])]
+    assert met[0][1] <= 60 and len(points) == 4 * met[0][0]
