@@ -189,6 +189,22 @@ def test_moving_queries_and_points_both_stream(spark, tmp_path):
     same(got, joins.moving_range_join(*fixed, 8.0, 300.0))
 
 
+def test_matches_of_moving_queries_are_stored_in_lists(spark, tmp_path):
+    """Six queries move alike and points come three at a time: one row stands for 18 matches."""
+    rows = [(3 * r[0] + k, *r[1:]) for r in some_points(40) for k in range(3)]
+    sent = [(100 * k + v[0], *v[1:]) for v in some_versions()[:80] for k in range(6)]
+    store = str(tmp_path / "store")
+    points = feed(spark, tmp_path, rows, SHAPE, 2, "points")
+    versions = feed(spark, tmp_path, sent, VERSION, 2, "versions")
+    run.drain(stateful.moving_range_stream(points, versions, 8.0, 300.0, store, 10_000.0, listed=True), spark)
+    fixed = spark.createDataFrame(rows, SHAPE), spark.createDataFrame(sent, VERSION)
+    stateful.moving_range_flush(*fixed, 8.0, 300.0, store, listed=True)
+    got = stateful.moving_range_matches(fixed[0], store)
+    same(got, joins.moving_range_join(*fixed, 8.0, 300.0))
+    assert spark.read.parquet(f"{store}/found").count() * 18 == got.count()
+    assert not os.path.exists(f"{store}/matches")
+
+
 def test_a_point_that_comes_before_the_entry_it_follows(spark, tmp_path):
     rows = [
         (1, 7, T0 + dt.timedelta(seconds=20), 90.0, 90.0),
