@@ -13,7 +13,7 @@ from driftgrid.functions.text import any_shared_word, shared_words
 from driftgrid.functions.timestamps import epoch_micros, seconds, span
 from driftgrid.operators.aggregates import latest_per_key
 from driftgrid.plans import ordered, skew
-from driftgrid.plans.grid import TOP_LEVEL, grid_join
+from driftgrid.plans.grid import TOP_LEVEL, grid_join, level_of
 from driftgrid.plans.shapes import Shapes, shapes
 from driftgrid.session import cut_lineage
 
@@ -42,16 +42,22 @@ def box_shapes(boxes: DataFrame, on: Sequence[str] = ()) -> Shapes:
 
 
 def range_join_ttl(
-    points: DataFrame, queries: DataFrame, ttl: float, cell: float
+    points: DataFrame, queries: DataFrame, ttl: float, cell: float, widest: float | None = None
 ) -> DataFrame:
-    """``range_join`` with queries that live ``ttl`` seconds from their own ``ts`` on."""
+    """``range_join`` with queries that live ``ttl`` seconds from their own ``ts`` on.
+
+    Streams of boxes cannot be measured, so their points are looked up on every level of cells.
+    ``widest``, the side that few boxes exceed, spares the levels above; a wider box is filed under
+    more cells, so the result does not depend on it.
+    """
     live = queries.select(
         "qid", *BOUNDS, F.col("ts").alias("q_ts"), (F.col("ts") + seconds(ttl)).alias("_end")
     )
     # A lifetime is one time bucket long, so it always lies on the lowest time level.
-    levels = [(level, 0) for level in range(TOP_LEVEL + 1)]
+    top = TOP_LEVEL if widest is None else level_of(widest, cell)
+    levels = [(level, 0) for level in range(top + 1)]
     joined = grid_join(
-        points, live, cell, valid=("q_ts", "_end"), bucket=ttl, levels=levels
+        points, live, cell, valid=("q_ts", "_end"), bucket=ttl, levels=levels, top=top
     ).drop("_end", *BOUNDS)
     # Said once more on the watermarked columns: a stream may then forget old points.
     life = F.expr(f"interval '{ttl}' second")

@@ -35,6 +35,11 @@ def level_for(extent: Column, size: float, top: int) -> Column:
     return F.least(F.greatest(F.coalesce(needed, F.lit(0)), F.lit(0)), F.lit(top)).cast("int")
 
 
+def level_of(extent: float, size: float) -> int:
+    """``level_for`` a known extent."""
+    return next((k for k in range(TOP_LEVEL) if extent <= size * FAN ** (k + 1)), TOP_LEVEL)
+
+
 def grid_join(
     points: DataFrame,
     boxes: DataFrame,
@@ -45,6 +50,7 @@ def grid_join(
     ts: str = "ts",
     salts: int = 1,
     levels: Sequence[tuple] | None = None,
+    top: int = TOP_LEVEL,
 ) -> DataFrame:
     """Join points (x, y) to the closed boxes (x_min, y_min, x_max, y_max) holding them.
 
@@ -55,10 +61,10 @@ def grid_join(
     Static boxes are measured first: if they are small they are broadcast, otherwise
     both sides are shuffled by cell with crowded cells split.  Streaming boxes,
     which cannot be looked at beforehand, may lie on any level, or on the ``levels`` given;
-    ``salts`` above 1 split every cell of theirs over that many parts.
+    ``salts`` above 1 split every cell of theirs over that many parts.  Boxes too wide for the
+    level ``top`` are filed there, under more cells.
     """
     measured = not boxes.isStreaming
-    top = TOP_LEVEL
     boxes = boxes.where(
         (F.col("x_min") <= F.col("x_max")) & (F.col("y_min") <= F.col("y_max"))
     )
@@ -78,7 +84,7 @@ def grid_join(
         t1 = epoch_seconds(boxes, end)
         # Intervals without an end sit together on a level of their own (-1).
         length = (t1 - t0).cast("double")
-        tlevel = F.when(F.col(end).isNull(), -1).otherwise(level_for(length, bucket, top))
+        tlevel = F.when(F.col(end).isNull(), -1).otherwise(level_for(length, bucket, TOP_LEVEL))
         boxes = boxes.withColumn("_tl", tlevel.cast("int"))
         open_ended = F.col("_tl") < 0
         lo = F.when(open_ended, 0).otherwise(cell_index(t0, bucket, F.col("_tl")))

@@ -142,6 +142,22 @@ def test_ttl_join_of_two_streams(spark, tmp_path):
     same(got, joins.range_join_ttl(spark.createDataFrame(rows, SHAPE), spark.createDataFrame(q_rows, q_shape), 600, 8.0))
 
 
+def test_ttl_join_of_boxes_of_known_width(spark, tmp_path):
+    """Points wait on one level only, and boxes wider than was said are found too."""
+    rows = some_points()
+    q_rows, q_shape = boxes(spark)
+    points = run.event_time(feed(spark, tmp_path, rows, SHAPE, 2), LATE)
+    queries = run.event_time(feed(spark, tmp_path, q_rows, q_shape, 2, "queries"), LATE)
+    path = str(tmp_path / "out")
+    joined = joins.range_join_ttl(points, queries, 600, 8.0, widest=10.0)
+    q = run.start(run.to_batches(joined, path, "append"), str(tmp_path / "check"), every=None)
+    q.awaitTermination()
+    got = run.calendar_time(run.stored(spark, path, joined.schema).drop("batch_id"))
+    same(got, joins.range_join_ttl(spark.createDataFrame(rows, SHAPE), spark.createDataFrame(q_rows, q_shape), 600, 8.0))
+    kept = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+    assert max(kept) < 7 * len(rows)
+
+
 def test_ttl_join_forgets(spark, tmp_path):
     """With a short lateness the join drops state that can match nothing any more."""
     rows = some_points()
