@@ -449,3 +449,29 @@ def test_word_counts_keep_their_state_on_disk(spark, monkeypatch):
     monkeypatch.setattr(streams.run, "keep_state_on_disk", lambda session: kept.append(session) or keep(session))
     assert streams.stream_word_count(spark, "/root/testdata/sf0.001").count() > 0
     assert len(kept) == 1
+
+
+def test_fold_of_many_keys_in_few_slots(spark, tmp_path):
+    """States are carried over batches, null keys apart from others, with fewer groups than keys."""
+    big = 2**53 + 1
+    rows = [(i, None if i % 17 == 0 else big + i % 29, float(i)) for i in range(600)]
+
+    def fold(state, rows):
+        n, top = state
+        return n + len(rows), max(top, float(rows["x"].max()))
+
+    fed = [(pid, 0 if oid is None else oid, x) for pid, oid, x in rows]
+    df = feed(spark, tmp_path, fed, "pid bigint, oid bigint, x double", 3)
+    df = df.withColumn("oid", F.expr("nullif(oid, 0)"))
+    states = stateful.stateful_fold(df, "oid", fold, (0, 0.0), "n bigint, top double", salts=2, slots=4)
+    assert states.columns == ["oid", "salt", "n", "top"]
+    path = str(tmp_path / "out")
+    q = run.start(run.to_batches(states, path, "update"), str(tmp_path / "check"), every=None)
+    q.awaitTermination()
+    out = run.last_updates(run.stored(spark, path, states.schema), ["oid", "salt"])
+    got = {r.oid: (r.n, r.top) for r in out.groupBy("oid").agg(F.sum("n").alias("n"), F.max("top").alias("top")).collect()}
+    expected = {k: [r[2] for r in rows if r[1] == k] for k in {r[1] for r in rows}}
+    assert got == {k: (len(v), max(v)) for k, v in expected.items()}
+    assert q.recentProgress[-1]["stateOperators"][0]["numRowsTotal"] <= 5
+    with pytest.raises(ValueError):
+        stateful.stateful_fold(df, "oid", fold, (0, 0.0), "n bigint, top double", idle_ms=1, slots=4)
