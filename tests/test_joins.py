@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from driftgrid import catalog
 from driftgrid.operators import joins, knn, query_state
-from driftgrid.plans import grid, skew
+from driftgrid.plans import grid, sizing, skew
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -434,6 +434,27 @@ def test_few_equal_boxes_are_taken_as_they_are(spark):
     assert joins.box_shapes(frame(spark, some_boxes(20, 2), BOX)).members is None
 
 
+@pytest.mark.parametrize("crowded", [False, True])
+def test_lists_beyond_one_broadcast(spark, crowded):
+    """They are dealt over a few broadcasts and results are not shuffled, unless a box has most ids."""
+    rows = [(i, float(0 if crowded and i < 4000 else i % 100), 0.0, 200.0, 5.0) for i in range(5000)]
+    boxes = spark.createDataFrame(rows, BOX)
+    kinds = joins.box_shapes(boxes)
+    result = kinds.rows.crossJoin(spark.range(0, 20, 1, 4))
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(int(sizing.measure(kinds.members)["n_bytes"] / 2)))
+    try:
+        got = kinds.expand(result)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        found = [(*(r[c] for c in boxes.columns), r.id) for r in got.collect()]
+    finally:
+        spark.conf.set(key, before)
+    assert sorted(found) == [(*r, i) for r in rows for i in range(20)]
+    assert ("SortMergeJoin" in plan) == crowded
+    assert (plan.count("BroadcastHashJoin") > 1) == (not crowded)
+
+
 def test_sticky_points_of_equal_boxes(spark, way):
     points = [dict(p, ts=T0 + dt.timedelta(seconds=i)) for i, p in enumerate(some_points(80, 33))]
     boxes = equal_boxes()[:45]
