@@ -455,6 +455,15 @@ def test_lists_beyond_one_broadcast(spark, crowded):
     assert (plan.count("BroadcastHashJoin") > 1) == (not crowded)
 
 
+def test_equal_match_lines_come_together(spark):
+    """They are made once and written out next to each other, so files of them are small."""
+    lines = catalog.QUERIES["format_match"](spark, "/root/testdata/sf0.001")
+    parts = [p for p in lines.rdd.map(lambda r: r.line).glom().collect() if p]
+    found = [line for p in parts for line in p]
+    turns = sum(a != b for p in parts for a, b in zip(p, p[1:])) + len(parts)
+    assert turns == len(set(found)) < len(found)
+
+
 def test_sticky_points_of_equal_boxes(spark, way):
     points = [dict(p, ts=T0 + dt.timedelta(seconds=i)) for i, p in enumerate(some_points(80, 33))]
     boxes = equal_boxes()[:45]
