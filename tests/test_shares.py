@@ -107,3 +107,46 @@ def test_queries_shuffle_the_points(spark, small, tmp_path, name, by):
         expected = hits.select("qid", "oid").distinct()
     want, found = sorted(map(tuple, expected.collect())), sorted(map(tuple, got.collect()))
     assert found == want and want
+
+
+def test_matches_of_a_stream_are_stored_once_per_distinct_box(spark, tmp_path, monkeypatch):
+    """Four queries to a box: what the streams store does not grow with them."""
+    from driftgrid.streaming import run, stateful
+
+    tables(spark, str(tmp_path), 4)
+    stored = []
+    keep, read = stateful._keep, run.stored
+
+    def seen(df, store, name, batch_id):
+        kept = keep(df, store, name, batch_id)
+        if name in ("found", "matches"):
+            stored.append(kept.count())
+        return kept
+
+    def seen_read(*args):
+        out = read(*args)
+        stored.append(out.count())
+        return out
+
+    monkeypatch.setattr(stateful, "_keep", seen)
+    monkeypatch.setattr(run, "stored", seen_read)
+    for name, batch in (("stream_sticky", "ever_inside"), ("stream_range_join", "range_join")):
+        stored.clear()
+        got = catalog.QUERIES[name](spark, str(tmp_path))
+        want = catalog.QUERIES[batch](spark, str(tmp_path)).select(*got.columns)
+        rows = sorted(map(tuple, got.collect()))
+        assert rows == sorted(map(tuple, want.collect())) and rows
+        assert sum(stored) * 4 == len(rows)
+
+
+def test_pairs_without_words_share_the_same(spark):
+    from test_joins import some_messages, words_frame
+
+    df = words_frame(spark, some_messages(150, 10)).unionByName(
+        spark.sql("select 999L id, timestamp_ntz'2024-01-01 00:00:01' ts, 0d x, 0d y, cast(null as array<string>) words")
+    )
+    for named in ({"slide": 10.0}, {}, {"distinct_pairs": True, "require_keywords": True}):
+        full = joins.distance_self_join(df, 5.0, 20.0, **named).drop("words1", "words2")
+        lean = joins.distance_self_join(df, 5.0, 20.0, words=False, **named)
+        assert lean.columns == full.columns
+        assert sorted(map(str, lean.collect())) == sorted(map(str, full.collect())) != []
